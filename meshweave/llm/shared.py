@@ -74,3 +74,35 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after.select("node", "root")
         if not changed:
             return labels
+
+
+#: Rolling hashes: powers of an odd number and of its inverse modulo 2**64, for texts of up to PART characters at once.
+PART = 1 << 19
+RADIX = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    if not _powers:
+        for base in (RADIX, pow(RADIX, -1, 1 << 64)):
+            x = np.full(PART + 1, base, dtype=np.uint64)
+            x[0] = 1
+            _powers.append(np.multiply.accumulate(x))
+    return _powers[0], _powers[1]
+
+
+def words(c: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each maximal run of code points (at most PART) where apart is false."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], apart, [True]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    up, down = powers()
+    prefix = np.concatenate([[np.uint64(0)], np.add.accumulate((c + np.uint64(1)) * up[: len(c)])])
+    return start, end, mix64((prefix[end] - prefix[start]) * down[start])
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+
+
+def white(c: np.ndarray) -> np.ndarray:
+    return (c <= 32) | (c == 133) | (c == 160) | (c == 0x2028) | (c == 0x2029) | (c == 0x3000)
