@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, topk, warc
+from . import chat, decontam, packing, quality, topk, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,26 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0).withColumn("score", F.col("score").cast("long"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' labels are the outcomes of the pages made from them: a page's url ends in its document's number."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.expr("try_cast(regexp_extract(url, '/([0-9]{1,18})([.]html)?/?([?#].*)?$', 1) AS BIGINT)")
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    known = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    outcomes = pages.select("page_id", number.alias("doc_id")).join(known, "doc_id").select("page_id", "bad")
+    return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matched", "windows")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("spans", lambda x: F.concat_ws("+", x["start"].cast("string"), x["length"].cast("string"))), ",")
+    return out.select("conv_id", "part", "speaker", "rendered", mask.alias("mask"), "turns", "loss_chars")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -41,6 +61,19 @@ SQL = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
     """,
+    "op8_chat": """
+        WITH t AS (SELECT conv_id, CAST(coalesce(floor(turn / 1024), 0) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        p AS (SELECT DISTINCT conv_id, part, role AS speaker FROM t WHERE role <> 'system'),
+        r AS (SELECT p.conv_id, p.part, p.speaker, t.turn, t.role, t.text, t.role = p.speaker AS own,
+                     CASE WHEN t.role = p.speaker THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>' ELSE '<|user name=' || t.role || '|>' END || chr(10) AS head
+              FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.part = p.part),
+        n AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(text) + 1) OVER w - length(text) - 1 AS start FROM r
+              WINDOW w AS (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, part, speaker, string_agg(head || text || chr(10), '' ORDER BY k) AS rendered,
+               string_agg(CAST(start AS VARCHAR) || '+' || CAST(length(text) AS VARCHAR), ',' ORDER BY k) FILTER (own) AS mask,
+               CAST(count(*) AS BIGINT) AS turns, CAST(sum(length(text)) FILTER (own) AS BIGINT) AS loss_chars
+        FROM n GROUP BY conv_id, part, speaker
+    """,
     "op9_warc": """
         WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
@@ -51,7 +84,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op9_warc": op9_warc, "op10_quality": op10_quality}
+    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
