@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from .shared import shared_folder
 
-#: Tokens: words, numbers, and ends of sentences, after which a capital makes no name.
-TOKEN = r"[\p{L}][\p{L}\p{M}]*|[0-9]+(?:[.,][0-9]+)*|[.!?\n]"
-ENDS = (".", "!", "?", "\n")
+NUMERAL = r"[0-9]+(?:[.,][0-9]+)*"
+#: A word with a capital and then a small letter, after a word, number or comma and not after the end of a sentence.
+NAMED = r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{M}0-9][^\p{L}\p{M}0-9.!?\n]{1,8})[\p{L}\p{M}]+"
+#: Placeholders are digits, for no other digit is left in a template.
+NUMBER, NAME, UNIT = "0", "1", "2"
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "hours", "hour", "minutes", "days", "day", "weeks", "years", "year", "miles", "feet", "inches", "pounds", "dollars", "euros", "cents", "percent", "mph", "degrees")
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 
 @dataclass(frozen=True)
@@ -33,28 +34,23 @@ class Settings:
     chunk: int = 500_000
 
 
-def tokens(text: Column) -> Column:
-    """Words, numbers and sentence ends in order; null text has none."""
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
+def template(text: Column) -> Column:
+    """Template tokens of a text in order: words in lower case and placeholders. Null text has none."""
+    numbered = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), NUMERAL, f" {NUMBER} ")
+    measured = F.regexp_replace(numbered, f"(?i)(?<=0 {{1,3}})(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{M}}])", f" {UNIT} ")
+    named = F.lower(F.regexp_replace(measured, NAMED, f" {NAME} "))
+    return F.filter(F.split(named, r"[^\p{L}\p{M}0-2]+"), lambda t: t != "")
 
 
-def canonical(raw: Column) -> Column:
-    """Each token as struct(t: template token, v: its text in lower case), sentence ends left out. raw is a plain column: it is read once for each of its elements."""
+def values(text: Column) -> Column:
+    """The text of every template token, in lower case: as many, in the same order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(rf"[\p{{L}}\p{{M}}]+|{NUMERAL}"), F.lit(0))
 
-    def one(x: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(raw, i - 1)).otherwise(F.lit("."))
-        low = F.lower(x)
-        digit = lambda c: (c >= "0") & (c < ":")
-        name = (low != x) & (F.length(x) > 1) & (F.substring(x, 2, 1) == F.substring(low, 2, 1)) & ~before.isin(*ENDS)
-        return F.struct(F.when(digit(x), NUMBER).when(digit(before) & low.isin(*UNITS), UNIT).when(name, NAME).otherwise(low).alias("t"), low.alias("v"))
 
-    return F.filter(F.transform(raw, one), lambda x: ~x["t"].isin(*ENDS))
-
-
-def windows(template: Column, width: int) -> Column:
-    """Hash of the template tokens of every window, in order; shorter texts have none."""
-    at = F.when(F.size(template) >= width, F.sequence(F.lit(0), F.size(template) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(template, i + j)["t"] for j in range(width)]))
+def windows(t: Column, width: int) -> Column:
+    """Hash of the template tokens of every window, in order; shorter texts have none. t is a plain column: it is read for every window."""
+    at = F.when(F.size(t) >= width, F.sequence(F.lit(0), F.size(t) - width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(width)]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -66,23 +62,24 @@ def contamination(docs: DataFrame, items: DataFrame, s: Settings = Settings(), i
     """
     w = s.window
     shared_folder(docs.sparkSession)
-    bench = items.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("raw")).select("item_id", canonical(F.col("raw")).alias("c"))
-    bench = bench.select("item_id", "c", F.posexplode(windows(F.col("c"), w)).alias("at", "hash")).withColumn("slots", F.slice("c", F.col("at") + 1, w)).drop("c")
-    literal = F.size(F.filter("slots", lambda x: ~x["t"].isin(NUMBER, NAME, UNIT)))
-    bench = bench.where(literal >= s.literals).checkpoint()
+    bench = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"), template(F.col(item_text_col)).alias("t"))
+    bench = bench.select("item_id", "text", "t", F.posexplode(windows(F.col("t"), w)).alias("at", "hash"))
+    literal = F.size(F.filter(F.slice("t", F.col("at") + 1, w), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
+    bench = bench.where(literal >= s.literals).select("item_id", "at", "hash", F.slice("t", F.col("at") + 1, w).alias("kinds"), F.slice(values(F.col("text")), F.col("at") + 1, w).alias("own")).checkpoint()
     sizes = bench.groupBy("item_id").agg(F.countDistinct("hash").alias("windows"))
     chunks = max(1, -(-bench.count() // s.chunk))
-    text = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("raw")).select("doc_id", canonical(F.col("raw")).alias("d"))
-    text = text.select("doc_id", "d", F.posexplode(windows(F.col("d"), w)).alias("pos", "hash"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), template(F.col(text_col)).alias("t"))
+    text = text.select("doc_id", "text", F.posexplode(windows(F.col("t"), w)).alias("pos", "hash"))
     found = None
     for n in range(chunks):  # more chunks scan the documents again; each is small enough to be broadcast
         part = bench if chunks == 1 else bench.where(F.pmod(F.col("hash"), F.lit(chunks)) == n)
-        hit = text.join(F.broadcast(part), "hash").select("doc_id", "item_id", "hash", (F.col("pos") - F.col("at")).alias("shift"), F.arrays_zip("slots", F.slice("d", F.col("pos") + 1, w).alias("d")).alias("both"))
+        hit = text.join(F.broadcast(part), "hash")
+        hit = hit.select("doc_id", "item_id", "hash", (F.col("pos") - F.col("at")).alias("shift"), F.arrays_zip("kinds", "own", F.slice(values(F.col("text")), F.col("pos") + 1, w).alias("theirs")).alias("both"))
         found = hit if found is None else found.unionByName(hit)
-    slots = F.transform(F.filter("both", lambda x: x["slots"]["t"].isin(NUMBER, NAME, UNIT)), lambda x: F.struct(x["slots"]["t"].alias("t"), x["slots"]["v"].alias("item"), x["d"]["v"].alias("doc")))
+    slots = F.transform(F.filter("both", lambda x: x["kinds"].isin(NUMBER, NAME, UNIT)), lambda x: F.struct(x["kinds"].alias("t"), x["own"].alias("item"), x["theirs"].alias("doc")))
     aligned = found.select("doc_id", "item_id", "shift", "hash", slots.alias("pairs")).groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p["item"]))))
-    fair = aligned.where((F.size("pairs") == 0) | (values >= s.agree * F.size("pairs")))
+    told = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p["item"]))))
+    fair = aligned.where((F.size("pairs") == 0) | (told >= s.agree * F.size("pairs")))
     matched = fair.select("doc_id", "item_id", F.explode("hashes").alias("hash")).groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("matched"))
     out = matched.join(sizes, "item_id").withColumn("share", F.col("matched") / F.col("windows")).where(F.col("share") >= s.share)
     return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col if item_col != id_col else "item_id"), "matched", "windows", "share")
