@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, quality, topk, toxicity, urls, warc
+from . import chat, decontam, jaccard, packing, quality, topk, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("spans", lambda x: F.concat_ws("+", x["start"].cast("string"), x["length"].cast("string"))), ",")
@@ -89,7 +93,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op6_toxicity": op6_toxicity, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality}
+    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op6_toxicity": op6_toxicity, "op7_jaccard": op7_jaccard, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

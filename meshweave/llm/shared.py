@@ -106,3 +106,34 @@ def code_points(text: str) -> np.ndarray:
 
 def white(c: np.ndarray) -> np.ndarray:
     return (c <= 32) | (c == 133) | (c == 160) | (c == 0x2028) | (c == 0x2029) | (c == 0x3000)
+
+
+_alnum: list[np.ndarray] = []
+
+
+def letters(c: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter, mark or digit; beyond the basic plane all count as letters."""
+    if not _alnum:
+        _alnum.append(np.array([chr(n).isalnum() or 0x300 <= n < 0x370 for n in range(0x10000)]))
+    return np.where(c < 0x10000, _alnum[0][np.minimum(c, 0xFFFF).astype(np.int64)], True)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hash of every word of a lower-cased text of any length, in order; parts end between words where that is possible."""
+    found, at = [], 0
+    while at < len(text):
+        c = code_points(text[at : at + PART])
+        apart = ~letters(c)
+        size = len(c)
+        if at + size < len(text):
+            gaps = np.flatnonzero(apart)
+            if len(gaps) and gaps[-1]:
+                size = int(gaps[-1])
+        found.append(words(c[:size], apart[:size])[2])
+        at += size
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A written table marked for broadcast if it has at most so many rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
