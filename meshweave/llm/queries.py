@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, packing, quality, topk, toxicity, urls, warc
+from . import chat, decontam, jaccard, lines, packing, quality, topk, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matched", "windows")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.detect(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -93,7 +97,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op6_toxicity": op6_toxicity, "op7_jaccard": op7_jaccard, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality}
+    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op5_lines": op5_lines, "op6_toxicity": op6_toxicity, "op7_jaccard": op7_jaccard, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
