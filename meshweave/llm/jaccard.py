@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import RADIX, bounded, components, discard, mix64, shared_folder, word_hashes, written
 
-BLOCK = 256
+#: A block has at most about so many members and, together, shingles.
+BLOCK, WEIGHT = 256, 200_000
 
 
 @dataclass(frozen=True)
@@ -109,16 +110,16 @@ def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
             out = []
             for text in pdf["text"]:
                 found = shingles(text or "", s.width)
-                out.append((content(found), prefixes(found, multipliers, s.trees, length)) if len(found) else (None, None))
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "content": [x[0] for x in out], "keys": [x[1] for x in out]})
+                out.append((content(found), prefixes(found, multipliers, s.trees, length), len(found)) if len(found) else (None, None, 0))
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "content": [x[0] for x in out], "keys": [x[1] for x in out], "size": [x[2] for x in out]})
 
-    signed, signed_at = written(rows.mapInPandas(sign, "id long, content binary, keys array<long>"), "jaccard-signed")
-    classes = signed.where("content IS NOT NULL AND id IS NOT NULL").groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    signed, signed_at = written(rows.mapInPandas(sign, "id long, content binary, keys array<long>, size long"), "jaccard-signed")
+    classes = signed.where("content IS NOT NULL AND id IS NOT NULL").groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size"))
     classes, classes_at = written(classes, "jaccard-classes")
 
     # Prefixes of several classes, then without those that an earlier tree has whole.
-    each = classes.select("content", "rep", "copies", "keys", F.posexplode("keys").alias("tree", "key"))
-    several = classes.select(F.posexplode("keys").alias("tree", "key")).groupBy("tree", "key").agg(F.count("*").alias("members")).where("members > 1")
+    each = classes.select("content", "rep", "copies", "size", "keys", F.posexplode("keys").alias("tree", "key"))
+    several = classes.select("size", F.posexplode("keys").alias("tree", "key")).groupBy("tree", "key").agg(F.count("*").alias("members"), F.sum("size").alias("weight")).where("members > 1")
     several, several_at = written(several, "jaccard-prefixes")
     met, met_at = written(each.join(bounded(several, s.broadcast_rows), ["tree", "key"]), "jaccard-members")
     ends = met.groupBy("tree", "key").agg(F.first("members").alias("members"), *[x for n in range(s.trees) for x in (F.min(F.col("keys")[n]).alias(f"low{n}"), F.max(F.col("keys")[n]).alias(f"high{n}"))])
@@ -138,7 +139,7 @@ def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
             yield pd.DataFrame({"content": pdf["wanted"][kept], "shingles": [x.tobytes() for x, k in zip(sets, kept, strict=True) if k]})
 
     spelt, spelt_at = written(texts.mapInPandas(spell, "content binary, shingles binary").dropDuplicates(["content"]), "jaccard-shingles")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.least(F.col("members") / 1.0, F.col("weight") / WEIGHT))).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
     dealt = dealt.join(spelt, "content").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tree", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "keys", "shingles")
