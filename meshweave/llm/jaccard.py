@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import RADIX, bounded, components, discard, mix64, shared_folder, word_hashes, written
+from .shared import RADIX, Held, bounded, components, mix64, shared_folder, word_hashes, written
 
 #: A block has at most about so many members and, together, shingles.
 BLOCK, WEIGHT = 256, 200_000
@@ -113,23 +113,23 @@ def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
                 out.append((content(found), prefixes(found, multipliers, s.trees, length), len(found)) if len(found) else (None, None, 0))
             yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "content": [x[0] for x in out], "keys": [x[1] for x in out], "size": [x[2] for x in out]})
 
-    signed, signed_at = written(rows.mapInPandas(sign, "id long, content binary, keys array<long>, size long"), "jaccard-signed")
+    held = Held()
+    signed, _ = written(rows.mapInPandas(sign, "id long, content binary, keys array<long>, size long"), "jaccard-signed")
     classes = signed.where("content IS NOT NULL AND id IS NOT NULL").groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size"))
-    classes, classes_at = written(classes, "jaccard-classes")
+    classes, _ = held.keep(classes)
 
     # Prefixes of several classes, then without those that an earlier tree has whole.
     each = classes.select("content", "rep", "copies", "size", "keys", F.posexplode("keys").alias("tree", "key"))
     several = classes.select("size", F.posexplode("keys").alias("tree", "key")).groupBy("tree", "key").agg(F.count("*").alias("members"), F.sum("size").alias("weight")).where("members > 1")
-    several, several_at = written(several, "jaccard-prefixes")
-    met, met_at = written(each.join(bounded(several, s.broadcast_rows), ["tree", "key"]), "jaccard-members")
+    met, _ = held.keep(each.join(bounded(held.keep(several), s.broadcast_rows), ["tree", "key"]))
     ends = met.groupBy("tree", "key").agg(F.first("members").alias("members"), *[x for n in range(s.trees) for x in (F.min(F.col("keys")[n]).alias(f"low{n}"), F.max(F.col("keys")[n]).alias(f"high{n}"))])
     told = F.lit(False)
     for n in range(s.trees):
         told = told | ((F.col("tree") > n) & (F.col(f"low{n}") == F.col(f"high{n}")))
-    needed, needed_at = written(ends.where(~told).select("tree", "key"), "jaccard-needed")
-    members, members_at = written(met.join(bounded(needed, s.broadcast_rows), ["tree", "key"]), "jaccard-candidates")
+    needed = held.keep(ends.where(~told).select("tree", "key"))
+    members = met.join(bounded(needed, s.broadcast_rows), ["tree", "key"])
 
-    wanted, wanted_at = written(members.select(F.col("rep").alias("id"), F.col("content").alias("wanted")).distinct(), "jaccard-wanted")
+    wanted = held.keep(members.select(F.col("rep").alias("id"), F.col("content").alias("wanted")).distinct())
     texts = rows.join(bounded(wanted, s.broadcast_rows), "id")
 
     def spell(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +138,7 @@ def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
             kept = [content(x) == w for x, w in zip(sets, pdf["wanted"], strict=True)]  # an id may repeat with another text
             yield pd.DataFrame({"content": pdf["wanted"][kept], "shingles": [x.tobytes() for x, k in zip(sets, kept, strict=True) if k]})
 
-    spelt, spelt_at = written(texts.mapInPandas(spell, "content binary, shingles binary").dropDuplicates(["content"]), "jaccard-shingles")
+    spelt = texts.mapInPandas(spell, "content binary, shingles binary").dropDuplicates(["content"])
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.least(F.col("members") / 1.0, F.col("weight") / WEIGHT))).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
     dealt = dealt.join(spelt, "content").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -167,14 +167,13 @@ def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
         some = (links > 0) | (root != np.arange(len(pdf)))
         return pd.DataFrame({"rep": reps[some], "links": links[some], "near": reps[root[some]]})
 
-    linked, linked_at = written(dealt.groupBy("tree", "key", "low", "high").applyInPandas(link, "rep long, links long, near long"), "jaccard-links")
+    linked, _ = held.keep(dealt.groupBy("tree", "key", "low", "high").applyInPandas(link, "rep long, links long, near long"))
     groups = components(linked.where("rep <> near"), "rep", "near")
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("content", "rep", "copies").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
     known = known.select("content", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known, _ = written(known, "jaccard-known")
-    for path in (classes_at, several_at, met_at, needed_at, members_at, wanted_at, spelt_at, linked_at):
-        discard(spark, path)
+    held.drop()
     out = signed.select("id", "content").join(known, "content", "left")
     own = F.col("content").isNull()
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.when(own, F.col("id")).otherwise(F.col("class_id"))).alias("class_id"), F.when(F.col("id").isNotNull(), F.when(own, F.lit(0)).otherwise(F.col("n_links"))).cast("long").alias("n_links"))

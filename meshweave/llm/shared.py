@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,24 +59,59 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: node, root (the least node of its component).
 
     Each round takes the least label among the neighbours and then the label of that label; labels are
-    checkpointed, so that a lost executor costs one round. Null ends are ignored; an empty list gives an empty table.
+    checkpointed once a round, so that a lost executor costs one round, in files of some hundred thousand rows.
+    Null ends are ignored; an empty list gives an empty table.
     """
     shared_folder(edges.sparkSession)
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    both = links.union(links.select("v", "u")).distinct().checkpoint()
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("root")).checkpoint()
+    both = links.union(links.select("v", "u")).distinct().persist()
+    parts = 1 + both.count() // 500_000
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("root")).coalesce(parts).checkpoint()
     while True:
         near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("low"))
-        lower = labels.join(near, "node").select("node", F.least("root", "low").alias("next"), F.col("root").alias("was")).checkpoint()
-        up = lower.select(F.col("node").alias("at"), F.col("next").alias("up"))
-        # The label's own label: one hop more. Joined on the label, of which many nodes may share one; the right side has it once.
-        after = lower.join(up, lower.next == up["at"], "left").select("node", F.least("next", F.coalesce("up", "next")).alias("root"), "was").checkpoint()
+        lower = labels.join(near, "node").select("node", F.least("root", "low").alias("next"), F.col("root").alias("was"))
+        # The label's own label: one hop more. Many nodes may share a label; the right side has each once.
+        up = labels.select(F.col("node").alias("at"), F.col("root").alias("up"))
+        after = lower.join(up, lower.next == up["at"], "left").select("node", F.least("next", F.coalesce("up", "next")).alias("root"), "was").coalesce(parts).checkpoint()
         changed = after.where("root <> was").limit(1).count()
         labels = after.select("node", "root")
         if not changed:
+            both.unpersist()
             return labels
 
 
+class Held:
+    """Small tables that several steps read: kept in the executors' memory or on their disks, computed again from what is written if an executor is lost, and let go together."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def cut(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The same as a written table without lineage, in files of the advised size; it is deleted in the end."""
+        df, path = written(df.hint("rebalance"), name)
+        self.paths.append((df.sparkSession, path))
+        return df, df.count()
+
+    def keep(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The table and its number of rows."""
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.frames.append(df)
+        return df, df.count()
+
+    def drop(self) -> None:
+        for df in self.frames:
+            df.unpersist()
+        for spark, path in self.paths:
+            discard(spark, path)
+
+
+def bounded(kept: tuple[DataFrame, int], rows: int) -> DataFrame:
+    """A counted table marked for broadcast if it has at most so many rows, else as it is, for a shuffled join."""
+    df, n = kept
+    return F.broadcast(df) if n <= rows else df
+
+
 #: Rolling hashes: powers of an odd number and of its inverse modulo 2**64, for texts of up to PART characters at once.
 PART = 1 << 19
 RADIX = 0x9E3779B97F4A7C15
@@ -132,8 +168,3 @@ def word_hashes(text: str) -> np.ndarray:
         found.append(words(c[:size], apart[:size])[2])
         at += size
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-
-
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """A written table marked for broadcast if it has at most so many rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

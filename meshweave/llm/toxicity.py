@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, s: Settings, id_co
     known = known.where(F.col("label") == F.col("other")).where(~held_out).select(id_col, "label")
     order = [F.xxhash64(F.col(id_col), F.lit(s.seed)), F.col(id_col)]
     sample = known.where("label = 1").orderBy(*order).limit(s.toxic).union(known.where("label = 0").orderBy(*order).limit(s.clean))
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), id_col).select("label", "text").checkpoint()
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), id_col).select("label", "text").persist()
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = (Counter(), Counter())
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, s: Settings, id_co
         terms = list(counts[0].keys() | counts[1].keys())
         yield pd.DataFrame({"term": terms, "clean": [counts[0][t] for t in terms], "toxic": [counts[1][t] for t in terms]})
 
-    terms = texts.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).checkpoint()
+    terms = texts.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
     size = terms.where("term = ''").first()
     n_clean, n_toxic = (size["clean"], size["toxic"]) if size else (0, 0)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
@@ -233,6 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, s: Settings, id_co
     seen = texts.mapInPandas(measure, "label int, total double, edited array<string>").toPandas()  # a row for each of the sample
     model.cleared = {w for label, words in zip(seen["label"], seen["edited"], strict=True) if label == 0 for w in words}
     model.found, model.seen = {}, set()
+    terms.unpersist()
+    texts.unpersist()
     if seen["label"].nunique() == 2:
         model.layer = logistic(seen["total"].to_numpy(), seen["label"].to_numpy())
     return model
@@ -246,9 +248,7 @@ def detect(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, th
     equal scores; an empty table stays empty; without usable labels the lexicon is empty and every score is low.
     """
     from .quality import fold
-    from .shared import shared_folder
 
-    shared_folder(docs.sparkSession)
     out = fold(id_col, folds) == held
     model = fit(docs, labels, out, s, id_col, text_col, label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the lexicon
