@@ -44,6 +44,19 @@ def kernel_transform(n: int, width: int, points: int = 64) -> np.ndarray:
     return half * (weights * phi * np.cos(k[:, None] * half * nodes)).sum(1)
 
 
+def _share(g: Column, base: Column, fine: Mesh, half: float, beta: float):
+    """For an offset the cell, the kernel's value there, and its derivative by position."""
+
+    def value(o: Column) -> Column:
+        z = (base + o - g) / half
+        inside = F.greatest(F.lit(0.0), 1 - z * z)
+        w = F.exp((F.sqrt(inside) - 1) * beta)
+        d = F.when(inside > 0, w * (z * beta) / F.sqrt(inside)).otherwise(0.0) / half * (fine.n / fine.box)
+        return F.struct(F.pmod(base + o, F.lit(fine.n)).cast("int").alias("c"), w.alias("w"), d.alias("d"))
+
+    return value
+
+
 def _spread(points: DataFrame, fine: Mesh, width: int, slopes: bool) -> DataFrame:
     beta, half = shape(width), width / 2
     out, kept = points, points.columns
@@ -51,14 +64,7 @@ def _spread(points: DataFrame, fine: Mesh, width: int, slopes: bool) -> DataFram
         g = to_cells(F.col(x), fine)
         base = F.ceil(g - half)
 
-        def value(o, g=g, base=base):
-            z = (base + o - g) / half
-            inside = F.greatest(F.lit(0.0), 1 - z * z)
-            w = F.exp((F.sqrt(inside) - 1) * beta)
-            d = F.when(inside > 0, w * (z * beta) / F.sqrt(inside)).otherwise(0.0) / half * (fine.n / fine.box)
-            return F.struct(F.pmod(base + o, F.lit(fine.n)).cast("int").alias("c"), w.alias("w"), d.alias("d"))
-
-        out = out.withColumn(f"__{i}", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), value))
+        out = out.withColumn(f"__{i}", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), _share(g, base, fine, half, beta)))
     for i in fine.cells:
         out = out.withColumn(f"__{i}", F.explode(f"__{i}"))
 

@@ -1,15 +1,393 @@
-"""The registered queries of the library and their SQL counterparts."""
+"""The registered queries: operators applied to fixtures made from the driver's tables."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import cosmology as C
+from ..operators import fourier as X
+from ..operators import mesh as M
+from ..operators import nufft, particles, statistics, tree
+from ..sources import files, fixtures, ranlux
+from . import initial, lpt, nbody, oracle, ppt
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+MESH, BOX, N = fixtures.MESH, fixtures.BOX, 8
+LINE = M.Mesh(1, 64, 1.0)
+PLANCK = C.PLANCK15
+
+
+def q(x: Column | str, digits: int = 6) -> Column:
+    """Rounded, with one zero, so that two engines' last bits compare."""
+    return F.round(C.column(x), digits) + F.lit(0.0)
+
+
+def field(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*MESH.cells, q("v", digits).alias("v"))
+
+
+def modes(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*MESH.modes, q("re", digits).alias("re"), q("im", digits).alias("im"))
+
+
+def waves_spectrum(spark: SparkSession) -> DataFrame:
+    return X.forward(fixtures.waves(spark), MESH)
+
+
+def all_modes(spark: SparkSession) -> DataFrame:
+    return M.fourier_grid(spark, MESH, full=True)
+
+
+def wrap_positions(spark, d):
+    return fixtures.moving(spark, d).select("id", q(M.wrap(F.col("x") * 3 - 150, BOX)).alias("x"))
+
+
+def min_image(spark, d):
+    return fixtures.particles(spark, d).select("id", q(M.nearest_image(F.col("x") - F.col("y"), BOX)).alias("d"))
+
+
+def pair_distance(spark, d):
+    p = fixtures.particles(spark, d)
+    a = p.select("id", *[F.col(x).alias(f"a{x}") for x in "xyz"])
+    b = p.select((F.col("id") - 1).alias("id"), *[F.col(x).alias(f"b{x}") for x in "xyz"])
+    return a.join(b, "id").select("id", q(M.distance([F.col(f"a{x}") for x in "xyz"], [F.col(f"b{x}") for x in "xyz"], BOX)).alias("r"))
+
+
+def lagrangian_grid(spark, d):
+    return M.lagrangian_grid(spark, MESH)
+
+
+def fourier_grid(spark, d):
+    g = M.fourier_grid(spark, MESH)
+    return g.select(*MESH.modes, *[q(c, 9).alias(c) for c in ("kx", "ky", "kz", "k")])
+
+
+def slice_filter(spark, d):
+    return M.near_slice(fixtures.particles(spark, d), MESH, (0,), 20.0).select("id")
+
+
+def subsample_stride(spark, d):
+    mesh = M.Mesh(3, 16, BOX)
+    return M.stride(M.grid(spark, mesh).select("id", F.col("id").alias("was")), mesh, 4)
+
+
+def glass_detile(spark, d):
+    return spark.range(4096).select("id", M.detile(F.col("id"), 2, 8).alias("place"))
+
+
+def deposit(order: int) -> Query:
+    def run(spark, d):
+        p = fixtures.particles(spark, d)
+        return field(particles.overdensity(p, MESH, order))
+
+    return run
+
+
+def deposit_weighted(spark, d):
+    return field(particles.deposit(fixtures.particles(spark, d), MESH, 2, {"v": F.col("v")}), 5)
+
+
+def gather(order: int) -> Query:
+    def run(spark, d):
+        return particles.gather(fixtures.waves(spark), fixtures.particles(spark, d), MESH, order).select("id", q("v").alias("v"))
+
+    return run
+
+
+def redshift_shift(spark, d):
+    return particles.redshift_shift(fixtures.moving(spark, d), MESH, 12.5).select("id", q("z").alias("z"))
+
+
+def cell_velocity(spark, d):
+    return field(particles.mean_on_mesh(fixtures.moving(spark, d), MESH, F.col("pz")))
+
+
+def dft_forward(spark, d):
+    return modes(waves_spectrum(spark))
+
+
+def dft_inverse(spark, d):
+    return field(X.backward(waves_spectrum(spark), MESH))
+
+
+def grad_kernel(order: int) -> Query:
+    return lambda spark, d: all_modes(spark).select(*MESH.modes, q(X.gradient_kernel(MESH, 1, order)).alias("g"))
+
+
+def inv_laplace(order: int) -> Query:
+    return lambda spark, d: all_modes(spark).select(*MESH.modes, q(X.inverse_laplacian_kernel(MESH, order), 4).alias("g"))
+
+
+def mak_kernel(spark, d):
+    return all_modes(spark).select(*MESH.modes, q(X.assignment_kernel(MESH, 2)).alias("cic"), q(X.assignment_kernel(MESH, 3, twice=True), 5).alias("tsc_twice"))
+
+
+def deconvolve(spark, d):
+    return field(X.deconvolved(fixtures.waves(spark), MESH))
+
+
+def poisson(spark, d):
+    return field(X.potential(fixtures.waves(spark), MESH), 4)
+
+
+def gaussian_split(spark, d):
+    return field(X.backward(X.long_range(waves_spectrum(spark), MESH, 10.0), MESH))
+
+
+def fourier_crop(spark, d):
+    return modes(M.crop(waves_spectrum(spark), MESH.at(4), MESH))
+
+
+def fourier_pad(spark, d):
+    return modes(M.pad(waves_spectrum(spark), MESH, MESH.at(12)))
+
+
+def dealiased_product(spark, d):
+    w = waves_spectrum(spark)
+    return modes(X.dealiased_product(w, w, MESH))
+
+
+def hermitian_sym(spark, d):
+    g = M.fourier_grid(spark, MESH).select(*MESH.modes, F.sin(F.col("id") * 0.7).alias("re"), F.cos(F.col("id") * 1.3).alias("im"))
+    return modes(X.hermitian(g, MESH))
+
+
+def k_order(kind: str) -> Query:
+    def run(spark, d):
+        g = M.fourier_grid(spark, MESH).select(*MESH.modes)
+        return X.mode_order(g, MESH, kind).select(*MESH.modes, F.col("rank").cast("int").alias("rank"))
+
+    return run
+
+
+def fourier_shift(spark, d):
+    return field(X.shifted(fixtures.waves(spark), MESH, (3.0, 0.0, 5.0)))
+
+
+def power_spectrum(spark, d):
+    delta = particles.overdensity(fixtures.particles(spark, d), MESH)
+    out = statistics.power_spectrum(delta, MESH, 6)
+    return out.select("bin", "modes", q("k").alias("k"), q("pk", 4).alias("pk"))
+
+
+def cross_spectrum(spark, d):
+    w = fixtures.waves(spark)
+    other = w.withColumn("v", F.col("v") * F.col("v") + 0.1 * F.col("ix"))
+    out = statistics.cross_spectrum(w, other, MESH, 6)
+    return out.select("bin", q("k").alias("k"), q("p1", 3).alias("p1"), q("p2", 3).alias("p2"))
+
+
+def bispectrum(spark, d):
+    delta = particles.overdensity(fixtures.particles(spark, d), MESH)
+    out = statistics.bispectrum(delta, MESH, 2)
+    return out.select("b1", "b2", "b3", "triangles", q("b", 0).alias("b"))
+
+
+def jacobian_det(spark, d):
+    c = M.grid(spark, MESH)
+    step = 2 * math.pi / N
+    psi = c.select(*MESH.cells, (2 * F.sin(F.col("ix") * step)).alias("sx"), F.sin(F.col("iy") * step).alias("sy"), F.lit(0.0).alias("sz"))
+    return statistics.jacobian(psi, MESH).select(*MESH.cells, q("det").alias("det"))
+
+
+def e_of_a(spark, d):
+    a = F.col("a")
+    return fixtures.scale_factors(spark).select("i", q(C.expansion(PLANCK, a), 5).alias("e"), q(C.hubble(PLANCK, a), 3).alias("h"), q(C.expansion_slope(PLANCK, a), 3).alias("slope"), q(C.omega_de(PLANCK, a)).alias("de"))
+
+
+def transfer(kind: str) -> Query:
+    return lambda spark, d: fixtures.spectrum_table(spark).select("i", q(C.TRANSFER[kind](PLANCK, F.col("k")), 7).alias("t"))
+
+
+def sigma8(spark, d):
+    return C.sigma_squared(fixtures.spectrum_table(spark)).select(q("sigma2", 9).alias("sigma2"))
+
+
+def linear_ps(spark, d):
+    k = fixtures.spectrum_table(spark).select("i", "k")
+    raw = k.withColumn("pk", C.transfer_eisenstein_hu(PLANCK, F.col("k")) ** 2 * C.primordial(F.col("k"), PLANCK.n_s))
+    return C.normalised(raw, PLANCK.sigma8).select("i", q("pk", 5).alias("pk"))
+
+
+def superconft_table(spark, d):
+    return C.superconformal_frame(PLANCK, fixtures.scale_factors(spark)).select("i", q("superconft", 5).alias("superconft"))
+
+
+def interp_table(spark, d):
+    x = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), (0.001 + F.col("value") / 100).alias("x"))
+    return C.interpolate(fixtures.spectrum_table(spark), x, "k", "pk").select("id", q("y", 8).alias("y"))
+
+
+def eds() -> C.Times:
+    return C.Times.of(C.EDS)
+
+
+def plane_wave(spark, d):
+    import numpy as np
+
+    a = np.array([0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0])
+    times = C.Times(C.EDS, {"a": a, "superconft": -2 * (a**-0.5 - 1), "Dplus": a, "Dplusda": np.ones(8)})
+    w = initial.plane_wave(times, LINE, 0.25, a_cross=0.5)
+    g = M.lagrangian_grid(spark, LINE)
+    return g.select("id", q(w["x"], 9).alias("x"), q(w["px"], 9).alias("px"), q(w["delta"], 9).alias("delta"))
+
+
+def zeldovich_1d(spark, d):
+    k = 2 * math.pi
+    x = F.col("ix") / 64
+    phi = M.grid(spark, LINE).select("ix", (F.cos(x * k) / k**2 - 0.3 * F.sin(x * (2 * k)) / (2 * k)).alias("v"))
+    return lpt.displacements(X.forward(phi, LINE), LINE).select("id", q("s1x", 8).alias("sx"))
+
+
+def exact_acc_1d(spark, d):
+    return particles.exact_force_1d(fixtures.line(spark, d), BOX).select("id", q("a").alias("a"))
+
+
+def dkd_step(spark, d):
+    p = fixtures.line(spark, d)
+    half = p.select("id", M.wrap(F.col("x") + F.col("p") * 2.0, BOX).alias("x"), "p")
+    a = particles.exact_force_1d(half, BOX)
+    kicked = half.join(a, "id").select("id", "x", (0.9 * F.col("p") + 0.05 * F.col("a")).alias("p"))
+    return kicked.select("id", q(M.wrap(F.col("x") + F.col("p") * 2.0, BOX), 5).alias("x"), q("p").alias("p"))
+
+
+def morton_3d(spark, d):
+    return tree.keyed(fixtures.particles(spark, d), MESH, 10).select("id", "morton")
+
+
+def multipoles(spark, d):
+    nodes = tree.multipoles(fixtures.particles(spark, d), MESH, 3)
+    return nodes.groupBy("level").agg(F.count("*").alias("nodes"), q(F.sum("m")).alias("m"), q(F.sum("dx"), 3).alias("dx"), q(F.sum("qyz"), 1).alias("qyz"))
+
+
+def short_range_pairs(spark, d):
+    return tree.neighbour_pairs(fixtures.particles(spark, d), MESH, 2.0).select("a", "b", q("r").alias("r"))
+
+
+def gadget_units(spark, d):
+    out = files.to_units(fixtures.moving(spark, d), MESH, 0.25, 0.7)
+    return out.select("id", q("x").alias("x"), q("vx").alias("vx"), q("vz").alias("vz"))
+
+
+# --- without SQL: transforms in Arrow, iterative and random ---------------------------------------------------------------
+
+
+def pencil_fft(spark, d):
+    return modes(X.forward(fixtures.waves(spark, M.Mesh(3, 16, BOX)), M.Mesh(3, 16, BOX), method="pencil"))
+
+
+def skewer(spark, d):
+    out = particles.on_slice(fixtures.particles(spark, d), MESH, (3, (2, 6)))
+    return out.select("iy", "iz", q("v").alias("v"))
+
+
+def interlaced(spark, d):
+    return field(X.interlaced(fixtures.particles(spark, d), MESH))
+
+
+def redshift_field(spark, d):
+    return field(particles.cell_velocity_shift(fixtures.moving(spark, d), MESH, 12.5))
+
+
+def nufft_type1(spark, d):
+    p = fixtures.particles(spark, d).select("id", "x", "y", F.lit(1.0).alias("re"))
+    flat = M.Mesh(2, N, BOX)
+    return nufft.type1(p, flat).select("jx", "jy", q("re", 3).alias("re"), q("im", 3).alias("im"))
+
+
+def nufft_force(spark, d):
+    p = fixtures.particles(spark, d).select("id", "x", "y")
+    return nufft.nufft_force(p, M.Mesh(2, N, BOX)).select("id", q("ax", 3).alias("ax"), q("ay", 3).alias("ay"))
+
+
+def pm_force(spark, d):
+    return nbody.pm_force(fixtures.particles(spark, d), MESH, 3, deconvolve=True).select("id", *[q(c).alias(c) for c in ("ax", "ay", "az")])
+
+
+def tree_pm(spark, d):
+    p = fixtures.particles(spark, d)
+    return nbody.force(p, MESH, "treepm", alpha=1.0, theta=0.5).select("id", *[q(c, 4).alias(c) for c in ("ax", "ay", "az")])
+
+
+def _potential(spark: SparkSession, mesh: M.Mesh) -> DataFrame:
+    pk = C.linear_spectrum(spark, PLANCK, mesh.box, mesh.n)
+    return initial.gaussian_potential(spark, mesh, pk, seed=3)
+
+
+def gaussian_field(spark, d):
+    return modes(_potential(spark, MESH))
+
+
+def fourier_noise(spark, d):
+    return modes(initial.fourier_noise(spark, MESH, 11))
+
+
+def ngenic_noise(spark, d):
+    return modes(ranlux.ngenic_noise(spark, MESH, 42))
+
+
+def lpt_3(spark, d):
+    nbody_dir(spark)
+    out = lpt.displacements(_potential(spark, MESH).checkpoint(), MESH, 3)
+    return out.select("id", *[q(c).alias(c) for c in out.columns if c != "id"])
+
+
+def nbody_dir(spark: SparkSession) -> None:
+    """A folder for checkpoints where none is set, for a local master only."""
+    sc = spark.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        import tempfile
+
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp())
+
+
+def ppt_free(spark, d):
+    nbody_dir(spark)
+    phi = X.backward(_potential(spark, MESH), MESH).checkpoint()
+    out, _ = ppt.propagate(phi, MESH, 0.5, growth_rate=0.8, lyman=(1.0, 1.6))
+    return out.select(*MESH.cells, *[q(c).alias(c) for c in out.columns if c not in MESH.cells])
+
+
+def nbody_1d(spark, d):
+    nbody_dir(spark)
+    times = eds()
+    w = initial.plane_wave(times, LINE, 0.05, a_cross=0.8)
+    state = M.lagrangian_grid(spark, LINE).select("id", (w["x"] - F.col("qx")).alias("sx"), (w["px"] / float(times.fplus(0.05))).alias("vx"))
+    out = nbody.run(state, LINE, times, nbody.step_times(times, 0.05, 0.5, 3), "bullfrog", "exact")
+    return out.select("id", q("sx", 9).alias("sx"), q("vx", 9).alias("vx"))
+
+
+def nbody_3d(spark, d):
+    nbody_dir(spark)
+    times = C.Times.of(PLANCK)
+    orders = lpt.displacements(_potential(spark, MESH).checkpoint(), MESH, 2)
+    psi, pi = (lpt.evaluated(orders, MESH, times, 0.1, 2, what) for what in ("psi", "D"))
+    state = psi.join(pi.select("id", *[F.col(f"s{x}").alias(f"v{x}") for x in "xyz"]), "id").checkpoint()
+    out = nbody.run(state, MESH, times, nbody.step_times(times, 0.1, 1.0, 3), "bullfrog", "pm", MESH.at(16))
+    return out.select("id", *[q(c, 5).alias(c) for c in out.columns if c != "id"])
+
+
+def growth_table(spark, d):
+    out = C.Times.of(PLANCK, C.a_grid(steps=64)).frame(spark)
+    return out.select("i", *[q(c, 7).alias(c) for c in out.columns if c != "i"])
+
+
+def queries() -> dict[str, Query]:
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units]
+    free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
+    out: dict[str, Query] = {f.__name__: f for f in named + free}
+    out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}
+    out |= {f"gather_{n}": gather(k) for n, k in (("cic", 2), ("tsc", 3))}
+    out |= {f"grad_kernel_{k}": grad_kernel(k) for k in (0, 2, 4, 6)}
+    out |= {f"inv_laplace_{k}": inv_laplace(k) for k in (0, 2, 4, 6)}
+    out |= {f"k_order_{k}": k_order(k) for k in ("stable", "natural")}
+    out |= {"transfer_eh": transfer("Eisenstein-Hu"), "transfer_bbks": transfer("BBKS"), "transfer_ga": transfer("GeneticAlgorithm")}
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
