@@ -1 +1 @@
-
+"""The engine has no streams: a simulation is a bounded iteration over DataFrames (see plans/nbody.py)."""
