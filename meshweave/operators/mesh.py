@@ -201,7 +201,7 @@ def spans(mesh: Mesh, fixed: tuple[Span, ...]) -> list[tuple[int, int] | None]:
 
 
 def near_slice(particles: DataFrame, mesh: Mesh, fixed: tuple[Span, ...], margin: float) -> DataFrame:
-    """Particles within margin of the slice in every fixed axis, as ranges that reach the Parquet scan."""
+    """Particles within margin of the slice in every fixed axis, as ranges that reach the Parquet scan; stored positions lie in [0, box)."""
     out = particles
     for x, s in zip(AXES, spans(mesh, fixed)):
         if s is None:
