@@ -30,8 +30,8 @@ class Settings:
 
     buckets_log2: int = 18
     dim: int = 8
-    per_class: int = 1500
-    epochs: int = 12
+    per_class: int = 700
+    epochs: int = 20
     rate: float = 2.0
     seed: int = 7
 
