@@ -119,7 +119,7 @@ def grad_kernel(order: int) -> Query:
 
 
 def inv_laplace(order: int) -> Query:
-    return lambda spark, d: all_modes(spark).select(*MESH.modes, q(X.inverse_laplacian_kernel(MESH, order), 4).alias("g"))
+    return lambda spark, d: all_modes(spark).select(*MESH.modes, q(X.inverse_laplacian_kernel(MESH, order), 7).alias("g"))
 
 
 def mak_kernel(spark, d):

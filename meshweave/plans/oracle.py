@@ -244,7 +244,7 @@ def statements() -> dict[str, str]:
         out[f"gather_{name}"] = gathered(order)
     for order in (0, 2, 4, 6):
         out[f"grad_kernel_{order}"] = f"WITH {MODES} SELECT jx, jy, jz, {q(gradient('jy', order))} AS g FROM modes"
-        out[f"inv_laplace_{order}"] = f"WITH {MODES} SELECT jx, jy, jz, {q(laplace(order), 4)} AS g FROM modes"
+        out[f"inv_laplace_{order}"] = f"WITH {MODES} SELECT jx, jy, jz, {q(laplace(order), 7)} AS g FROM modes"
     place = lambda j: f"(CASE WHEN {j} = 0 THEN 0 WHEN {j} < 8 - {j} THEN 2 * {j} - 1 WHEN {j} = 4 THEN 7 ELSE 2 * (8 - {j}) END)"
     wide = "greatest(2 * jz - 1, 0)"
     for kind, order in (("stable", f"greatest({place('jx')}, {place('jy')}, {wide}), {place('jx')}, {place('jy')}, {wide}"), ("natural", f"{place('jx')}, {place('jy')}, jz")):
