@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,17 +56,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def forest(parts):
+    """Edges u, v of one task as stars: every node but the least of its component with that least node."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for pdf in parts:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = [x for x in root if find(x) != x]
+    yield pd.DataFrame({"u": np.array([root[x] for x in nodes], np.int64), "v": np.array(nodes, np.int64)})
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", task_edges: int = 500_000) -> DataFrame:
     """Connected components of an undirected edge list: node, root (the least node of its component).
 
-    Each round takes the least label among the neighbours and then the label of that label; labels are
-    checkpointed once a round, so that a lost executor costs one round, in files of some hundred thousand rows.
-    Null ends are ignored; an empty list gives an empty table.
+    Tasks of some hundred thousand edges each reduce them to stars first. Then each round takes the least label among
+    the neighbours and the label of that label; labels are checkpointed once a round, so that a lost executor costs
+    one round. Null ends are ignored; an empty list gives an empty table.
     """
     shared_folder(edges.sparkSession)
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    both = links.union(links.select("v", "u")).distinct().persist()
-    parts = 1 + both.count() // 500_000
+    links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").persist()
+    parts = 1 + links.count() // task_edges
+    stars = links.coalesce(parts).mapInPandas(forest, "u long, v long").checkpoint()
+    links.unpersist()
+    if parts == 1:
+        return stars.select(F.col("v").alias("node"), F.col("u").alias("root")).union(stars.select("u", "u").distinct())
+    both = stars.union(stars.select("v", "u"))
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("root")).coalesce(parts).checkpoint()
     while True:
         near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("low"))
@@ -76,7 +102,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         changed = after.where("root <> was").limit(1).count()
         labels = after.select("node", "root")
         if not changed:
-            both.unpersist()
             return labels
 
 
@@ -148,10 +173,12 @@ _alnum: list[np.ndarray] = []
 
 
 def letters(c: np.ndarray) -> np.ndarray:
-    """Whether each code point is a letter, mark or digit; beyond the basic plane all count as letters."""
+    """Whether each code point is a letter, mark or digit; beyond the first three planes all count as letters."""
     if not _alnum:
-        _alnum.append(np.array([chr(n).isalnum() or 0x300 <= n < 0x370 for n in range(0x10000)]))
-    return np.where(c < 0x10000, _alnum[0][np.minimum(c, 0xFFFF).astype(np.int64)], True)
+        table = np.ones(0x110000, dtype=bool)
+        table[:0x30000] = [chr(n).isalnum() or 0x300 <= n < 0x370 for n in range(0x30000)]
+        _alnum.append(table)
+    return _alnum[0][c]
 
 
 def word_hashes(text: str) -> np.ndarray:
