@@ -181,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, s: Settings, id_co
                 counts[label].update({f"{w[:n]}*" for w in words for n in s.stems if len(w) >= n})
                 counts[label][""] += 1
         terms = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame({"term": terms, "clean": [counts[0][t] for t in terms], "toxic": [counts[1][t] for t in terms]})
+        if terms:
+            yield pd.DataFrame({"term": terms, "clean": [counts[0][t] for t in terms], "toxic": [counts[1][t] for t in terms]})
 
     terms = texts.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
     size = terms.where("term = ''").first()

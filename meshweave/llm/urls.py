@@ -3,7 +3,8 @@
 Labelled page outcomes are counted per host, registered domain (last two labels of the name) and suffix (last label).
 At each level a beta-binomial prior is centred on the posterior mean of the level above, with a strength found by the
 method of moments over that level's units, so a host with few outcomes leans on its domain, and a domain on its
-suffix. A host is blocked when the lower posterior bound of its share of bad pages is over a limit. Rules come first.
+suffix. A host is blocked when the lower posterior bound of its share of bad pages is over a limit and its domain has
+any outcome at all. Rules come first.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def rule_of(host: Column, path: Column, rules: tuple[str, ...], max_rules: int)
 
 
 def reputation(outcomes: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """host, n, bad, mean and low (posterior mean and lower bound of the bad share) from rows host, bad (0, 1 or null for not labelled)."""
+    """host, n, bad, around (outcomes in its domain), mean and low (posterior mean and lower bound of the bad share) from rows host, bad (0, 1 or null for not labelled)."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
     hosts = hosts.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)\.?$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]+)\.?$", 1))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
@@ -74,10 +75,10 @@ def reputation(outcomes: DataFrame, s: Settings = Settings()) -> DataFrame:
     # each is a single row, so the joins carry a constant along
     top, middle, bottom = (strength(x).first() for x in (suffixes, domains, hosts))
     suffixes = suffixes.select(F.col("suffix"), ((F.col("b") + F.lit(top["m"] * top["p"])) / (F.col("n") + F.lit(top["m"]))).alias("over"))
-    domains = domains.join(suffixes, "suffix").select("suffix", "domain", ((F.col("b") + F.lit(middle["m"]) * F.col("over")) / (F.col("n") + F.lit(middle["m"]))).alias("over"))
+    domains = domains.join(suffixes, "suffix").select("suffix", "domain", F.col("n").alias("around"), ((F.col("b") + F.lit(middle["m"]) * F.col("over")) / (F.col("n") + F.lit(middle["m"]))).alias("over"))
     weight = F.col("n") + F.lit(bottom["m"])
     mean = (F.col("b") + F.lit(bottom["m"]) * F.col("over")) / weight
-    return hosts.join(domains, ["suffix", "domain"]).select("host", "n", F.col("b").alias("bad"), mean.alias("mean"), (mean - s.z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("low"))
+    return hosts.join(domains, ["suffix", "domain"]).select("host", "n", F.col("b").alias("bad"), "around", mean.alias("mean"), (mean - s.z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("low"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[str, ...] = RULES, s: Settings = Settings(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -94,4 +95,4 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[str, ...] = RULES,
     table, _ = written(reputation(counted.select("host", "bad"), s), "url-reputation")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules, s.max_rules)
     out = rows.join(table, "host", "left").withColumn("rule", name)
-    return out.select(id_col, "host", "path", "rule", F.coalesce(verdict, F.when(F.col("low") > s.bad_limit, "block").otherwise("allow")).alias("verdict"), "n", "mean", "low")
+    return out.select(id_col, "host", "path", "rule", F.coalesce(verdict, F.when((F.col("low") > s.bad_limit) & (F.col("around") > 0), "block").otherwise("allow")).alias("verdict"), "n", "mean", "low")
