@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import RADIX, Held, bounded, components, mix64, shared_folder, word_hashes, written
+from .shared import RADIX, Held, bounded, components, mix64, shared_folder, tidy, word_hashes, written
 
 #: A block has at most about so many members and, together, shingles.
 BLOCK, WEIGHT = 256, 200_000
@@ -112,6 +112,7 @@ def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
                 found = shingles(text or "", s.width)
                 out.append((content(found), prefixes(found, multipliers, s.trees, length), len(found)) if len(found) else (None, None, 0))
             yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "content": [x[0] for x in out], "keys": [x[1] for x in out], "size": [x[2] for x in out]})
+        tidy()
 
     held = Held()
     signed, _ = written(rows.mapInPandas(sign, "id long, content binary, keys array<long>, size long"), "jaccard-signed")

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 TOKENIZER = "byte_bpe_50k.json"
 POOL = 4096
 
@@ -56,7 +58,10 @@ def encoder(tokenizer: str):
         ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         probe = "Größe of 1234 words,\n\n  it's  señor …\t<|endoftext|> naïve—ok 😀"
-        if fast.encode_ordinary(probe) == plain.encode(probe, add_special_tokens=False).ids:
+        same = fast.encode_ordinary(probe) == plain.encode(probe, add_special_tokens=False).ids
+        if same:
+            del plain, spec, ranks, byte
+            tidy()
             return lambda text: np.array(fast.encode_ordinary(text), dtype="<u4")
     return lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -177,6 +182,8 @@ def pack_documents(df: DataFrame, limits: Limits = Limits(), tokenizer: str = TO
         if names is not None:
             packer.pack(True)
             yield out()
+        del packer
+        tidy()
 
     source = df.select(F.col(id_col), F.col(text_col).cast("string"), (F.col(prompt_tokens_col) if prompt_tokens_col else F.lit(0)).cast("long"))
     return source.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import PART, RADIX, code_points, mix64, white, words
+from .shared import PART, RADIX, code_points, mix64, tidy, white, words
 
 AGAIN = 1
 
@@ -98,7 +98,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column, s: Settings, id_
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), id_col).select(F.col(id_col).cast("string").alias("id"), "label", "text")
     rows = texts.mapInPandas(sparse, "id string, label int, at binary, share binary").toPandas()
     rows = rows.sort_values(["id", "at"]).drop_duplicates("id")  # the order of arrival is no input of the model
-    return train([(np.frombuffer(r.at, "<u4").astype(np.int64), np.frombuffer(r.share, "<f4"), int(r.label)) for r in rows.itertuples() if len(r.at)], s)
+    model = train([(np.frombuffer(r.at, "<u4").astype(np.int64), np.frombuffer(r.share, "<f4"), int(r.label)) for r in rows.itertuples() if len(r.at)], s)
+    del rows
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings, text_col: str = "text", into: str = "score") -> DataFrame:
@@ -111,6 +114,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings, text_co
         for texts in parts:
             z = np.array([float(held.value[at].mean(dtype=np.float64)) if len(at := features(t or "", log2)) else 0.0 for t in texts]) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        tidy()
 
     return docs.withColumn(into, probability(F.col(text_col).cast("string")))
 
