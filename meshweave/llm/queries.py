@@ -74,6 +74,18 @@ SQL = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
     """,
+    "op7_jaccard": """
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\x{300}-\\x{36f}]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS h FROM t),
+        e AS (SELECT doc_id, unnest(h) AS g, len(h) AS n FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+        c AS (SELECT doc_id AS doc, doc_id AS root FROM documents UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.doc)
+        SELECT d.doc_id, CAST(r.class_id AS BIGINT) AS class_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
+        FROM documents d JOIN (SELECT doc, min(root) AS class_id FROM c GROUP BY doc) r ON r.doc = d.doc_id
+        LEFT JOIN (SELECT a, count(*) AS n_links FROM p GROUP BY a) l ON l.a = d.doc_id
+    """,
     "op8_chat": """
         WITH t AS (SELECT conv_id, CAST(coalesce(floor(turn / 1024), 0) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
         p AS (SELECT DISTINCT conv_id, part, role AS speaker FROM t WHERE role <> 'system'),
