@@ -66,6 +66,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def _strength(name: str, units: str) -> str:
+    return f"""{name} AS (SELECT coalesce(CASE WHEN rho > 0 THEN greatest(2.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m, mean FROM (
+        SELECT (br - p * B - (k - 1) * p * (1 - p)) / nullif(p * (1 - p) * (N - nn / N - (k - 1)), 0) AS rho, (B + 1.0) / (N + 2.0) AS mean FROM (
+            SELECT coalesce(sum(n), 0) AS N, coalesce(sum(b), 0) AS B, count(*) AS k, sum(b * b / CAST(n AS DOUBLE)) AS br, CAST(sum(n * n) AS DOUBLE) AS nn, sum(b) / CAST(nullif(sum(n), 0) AS DOUBLE) AS p FROM {units} WHERE n > 0)))"""
+
+
+URLS = f"""
+        WITH l AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, try_cast(nullif(regexp_extract(url, '/([0-9]{{1,18}})([.]html)?/?([?#].*)?$', 1), '') AS BIGINT) AS doc FROM pages),
+        h AS (SELECT host, regexp_extract(host, '([^.]+[.][^.]+)[.]?$', 1) AS domain, regexp_extract(host, '([^.]+)[.]?$', 1) AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM p LEFT JOIN l ON l.doc_id = p.doc GROUP BY host),
+        d AS (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM h GROUP BY suffix, domain), s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY suffix),
+        {_strength('ms', 's')}, {_strength('md', 'd')}, {_strength('mh', 'h')},
+        os AS (SELECT suffix, (b + ms.m * ms.mean) / (n + ms.m) AS o FROM s, ms), od AS (SELECT d.suffix, d.domain, d.n AS around, (d.b + md.m * os.o) / (d.n + md.m) AS o FROM d JOIN os ON os.suffix = d.suffix, md),
+        oh AS (SELECT host, around, n + mh.m AS w, (b + mh.m * o) / (n + mh.m) AS mean FROM h JOIN od ON od.suffix = h.suffix AND od.domain = h.domain, mh),
+        r AS (SELECT p.*, around, mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) AS low, CASE
+                WHEN (p.host = 'www.example.com' OR ends_with(p.host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                WHEN (p.host = 'example.com' OR ends_with(p.host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                WHEN (p.host = 'net' OR ends_with(p.host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                WHEN (p.host = 'net' OR ends_with(p.host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                WHEN (p.host = 'com' OR ends_with(p.host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p LEFT JOIN oh ON oh.host = p.host)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.5 AND around > 0 THEN 'block' ELSE 'allow' END AS verdict FROM r
+    """
+
 SQL = {
     "op2_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -74,6 +98,7 @@ SQL = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
     """,
+    "op3_urls": URLS,
     "op7_jaccard": """
         WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\x{300}-\\x{36f}]+') AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
