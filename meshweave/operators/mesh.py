@@ -267,5 +267,5 @@ def dilated(mask: DataFrame, mesh: Mesh, flag: str = "v") -> DataFrame:
     """Cells within one cell, diagonals included, of a marked one; rolling is periodic."""
     out = mask.where(F.col(flag))
     for i in mesh.cells:
-        out = out.withColumn(i, F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda s, c=i: F.pmod(F.col(c) + s, F.lit(mesh.n)).cast("int"))))
+        out = out.withColumn(i, F.explode(F.array(*[F.pmod(F.col(i) + s, F.lit(mesh.n)).cast("int") for s in (-1, 0, 1)])))
     return out.select(*mesh.cells).distinct()

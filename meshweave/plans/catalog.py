@@ -273,6 +273,36 @@ def gadget_units(spark, d):
     return out.select("id", q("x").alias("x"), q("vx").alias("vx"), q("vz").alias("vz"))
 
 
+def positions_from_psi(spark, d):
+    psi = spark.range(MESH.size).select("id", F.sin("id").alias("sx"), (30 * F.cos("id")).alias("sy"), F.lit(-0.5).alias("sz"))
+    return M.positions_from_displacement(psi, MESH).select("id", *[q(x).alias(x) for x in "xyz"])
+
+
+def dilated_mask(spark, d):
+    return M.dilated(fixtures.waves(spark).select(*MESH.cells, (F.col("v") > 1.4).alias("v")), MESH)
+
+
+def sphere_mode(spark, d):
+    return modes(M.spherical(waves_spectrum(spark), MESH))
+
+
+def spectrum_cutoff(spark, d):
+    pk = fixtures.spectrum_table(spark)
+    return pk.select("i", *[q(F.col("pk") * C.cutoff(F.col("k"), kind, 0.1), 9).alias(kind) for kind in ("sharp", "gaussian")])
+
+
+def field_rescaled(spark, d):
+    return field(statistics.rescaled(fixtures.waves(spark), 0.5))
+
+
+def density_from_phi(spark, d):
+    return field(X.density(fixtures.waves(spark), MESH))
+
+
+def field_derivative(spark, d):
+    return field(X.derivative(fixtures.waves(spark), MESH, 1, 4))
+
+
 # --- without SQL: transforms in Arrow, iterative and random ---------------------------------------------------------------
 
 
@@ -377,7 +407,7 @@ def growth_table(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

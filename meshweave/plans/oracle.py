@@ -238,6 +238,17 @@ def statements() -> dict[str, str]:
         "short_range_pairs": f"WITH {PART}, d AS (SELECT a.id AS a, b.id AS b, {min_image('a.x - b.x')} AS dx, {min_image('a.y - b.y')} AS dy, {min_image('a.z - b.z')} AS dz FROM part a JOIN part b ON a.id < b.id) SELECT a, b, {q('sqrt(dx * dx + dy * dy + dz * dz)')} AS r FROM d WHERE sqrt(dx * dx + dy * dy + dz * dz) < 2",
         "gadget_units": f"WITH {MOVING} SELECT id, {q('x')} AS x, {q('px * 100 / pow(0.25, 1.5)')} AS vx, {q('pz * 100 / pow(0.25, 1.5)')} AS vz FROM moving",
     }
+    kny = math.pi * N / L
+    inside = f"{K2} <= {kny * kny * (1 + 1e-12)!r}"
+    out |= {
+        "positions_from_psi": f"WITH {cells()} SELECT id, {q(pmod(f'ix * {h} + sin(id)', L))} AS x, {q(pmod(f'iy * {h} + 30 * cos(id)', L))} AS y, {q(pmod(f'iz * {h} - 0.5', L))} AS z FROM cells",
+        "dilated_mask": f"WITH {WAVES}, o AS (SELECT s - 1 AS s FROM range(3) t(s)) SELECT DISTINCT CAST({pmod('ix + a.s', 8)} AS INTEGER) AS ix, CAST({pmod('iy + b.s', 8)} AS INTEGER) AS iy, CAST({pmod('iz + c.s', 8)} AS INTEGER) AS iz FROM waves, o a, o b, o c WHERE v > 1.4",
+        "sphere_mode": f"WITH {WAVE_SPECTRUM} SELECT jx, jy, jz, {q(f'CASE WHEN {inside} THEN re ELSE 0 END')} AS re, {q(f'CASE WHEN {inside} THEN im ELSE 0 END')} AS im FROM f",
+        "spectrum_cutoff": f"WITH {SPECTRUM} SELECT i, {q('CASE WHEN k < 0.1 THEN pk ELSE 0 END', 9)} AS sharp, {q('pk * exp(-0.5 * pow(k / 0.1, 2))', 9)} AS gaussian FROM pk",
+        "field_rescaled": f"WITH {WAVES} SELECT ix, iy, iz, {q('v * 0.5 / (SELECT stddev_pop(v) FROM waves)')} AS v FROM waves",
+        "density_from_phi": spectral(f"-re * {K2}", f"-im * {K2}"),
+        "field_derivative": spectral(f"-im * ({gradient('jy', 4)})", f"re * ({gradient('jy', 4)})"),
+    }
     for name, order in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4)):
         out[f"deposit_{name}"] = deposited(order)
     for name, order in (("cic", 2), ("tsc", 3)):
