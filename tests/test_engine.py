@@ -232,3 +232,29 @@ def test_empty_and_edge_particles(spark):
     assert P.deposit(at, MESH, 3).agg(F.sum("v")).first()[0] == pytest.approx(2)
     none = at.where("id > 5")
     assert P.deposit(none, MESH).agg(F.sum("v")).first()[0] == 0
+
+
+def test_reverse_derivative_of_a_run(spark):
+    from meshweave.plans import adjoint
+
+    mesh, grid = M.Mesh(2, 4, 10.0), M.Mesh(2, 8, 10.0)
+    rng = np.random.default_rng(4)
+    start = rng.normal(size=(16, 4)) * 0.3
+    frame = lambda a: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(a)], "id long, sx double, sy double, vx double, vy double")
+    steps = [nbody.Step(0.9, 0.4, 0.2, 0.3), nbody.Step(0.8, 0.5, 0.25, 0.2)]
+
+    def forward(a):
+        state = frame(a)
+        for s in steps:
+            state = nbody.one_step(state, mesh, grid, s, "pm", order=3)
+        return state
+
+    weights = rng.normal(size=(16, 4))
+    value = lambda a: float((forward(a).toPandas().sort_values("id")[["sx", "sy", "vx", "vy"]].to_numpy() * weights).sum())
+    g = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(weights)], "id long, gsx double, gsy double, gvx double, gvy double")
+    first, back = adjoint.run_adjoint(forward(start).checkpoint(), g, mesh, grid, steps, 3)
+    assert np.abs(first.toPandas().sort_values("id")[["sx", "sy", "vx", "vy"]].to_numpy() - start).max() < 1e-9
+    direction, eps = rng.normal(size=(16, 4)), 1e-5
+    want = (value(start + eps * direction) - value(start - eps * direction)) / (2 * eps)
+    got = float((back.toPandas().sort_values("id")[["gsx", "gsy", "gvx", "gvy"]].to_numpy() * direction).sum())
+    assert got == pytest.approx(want, rel=1e-5)
