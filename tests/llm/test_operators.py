@@ -159,6 +159,33 @@ def test_large_families_lose_no_link(spark):
     assert few <= many and len(few) > 80
 
 
+def test_lines_meet_down_to_the_similarity(spark):
+    """Production settings against brute force: one line a document, from none to all of the edits that 0.8 allows."""
+    rng = random.Random(21)
+    texts = []
+    for n in (5, 6, 8, 10, 15, 20, 30, 50, 100) * 8:
+        base = prose(rng, n).split()
+        for share in (0.05, 0.1, 0.15):
+            v = list(base)
+            for k in rng.sample(range(n), max(1, round(share * n))):
+                v[k] = rng.choice(WORDS)
+            texts.append(" ".join(v))
+        texts.append(" ".join(base))
+    size, pairs = len(texts), []
+    for i in range(size):
+        for j in range(i):
+            most = 0.2 * max(len(texts[i]), len(texts[j])) + 1e-9
+            if abs(len(texts[i]) - len(texts[j])) <= most and lines.distance(texts[i], texts[j]) <= most:
+                pairs.append((j, i))
+    drop = {r.doc_id for r in lines.dedup_lines(docs(spark, list(enumerate(texts)))).collect() if r.dropped}
+    root = list(range(size))
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    want = {n for n in range(size) if root[n] != n}
+    assert drop <= want and len(drop) >= 0.97 * len(want) and len(want) > 150
+
+
 def test_distance_matches_the_table():
     def plain(a, b):
         row = list(range(len(b) + 1))
