@@ -186,6 +186,26 @@ def test_lines_meet_down_to_the_similarity(spark):
     assert drop <= want and len(drop) >= 0.97 * len(want) and len(want) > 150
 
 
+def test_short_lines_and_lines_without_blanks_meet(spark):
+    chinese = "".join(chr(0x4E00 + 37 * n) for n in range(120))
+    same = [("subscribe to our newsletter!", "subscribe to our newsletter."), ("(c) 2019 example corp", "(c) 2020 example corp"), ("read more", "read more."), ("eauque au.", "eauque par."), (chinese, chinese[:50] + "x" + chinese[52:]), ("-" * 40, "-" * 42)]
+    other = [("next page", "last page"), ("home", "hope"), ("page 1", "cage 2")]
+    rows = [(n, t) for n, t in enumerate(t for pair in same + other for t in pair)]
+    drop = {r.doc_id for r in lines.dedup_lines(docs(spark, rows)).collect() if r.dropped}
+    assert drop == {2 * n + 1 for n in range(len(same))}
+
+
+def test_short_lines_meet_exactly():
+    rng = random.Random(22)
+    texts = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 14))).strip() or "a" for _ in range(600)})
+    met = [set() for _ in texts]
+    for n, key in zip(*(x.tolist() for x in lines.keys_of(texts, 0.8)), strict=True):
+        met[n].add(key)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            assert met[i] & met[j] or lines.distance(a, b) > 0.2 * max(len(a), len(b)) + 1e-9
+
+
 def test_distance_matches_the_table():
     def plain(a, b):
         row = list(range(len(b) + 1))
