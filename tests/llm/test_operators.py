@@ -206,6 +206,19 @@ def test_short_lines_meet_exactly():
             assert met[i] & met[j] or lines.distance(a, b) > 0.2 * max(len(a), len(b)) + 1e-9
 
 
+def test_the_crowd_of_a_key_changes_no_link(spark):
+    """Two near lines join alone, among unlike lines that share most of their pairs of words, and at any family."""
+    rng = random.Random(23)
+    base = prose(rng, 40).split()
+    near = [rng.choice(WORDS) if n in (9, 21, 33) else w for n, w in enumerate(base)]
+    assert lines.distance(" ".join(base), " ".join(near)) <= 0.2 * len(" ".join(near))
+    crowd = [(10 + n, " ".join([*base, *(rng.choice(WORDS) for _ in range(20))])) for n in range(30)]
+    two = [(1, " ".join(base)), (2, " ".join(near))]
+    for rows, s in ((two, lines.Settings()), (two + crowd, lines.Settings()), (two + crowd, lines.Settings(family=3))):
+        got = {r.doc_id for r in lines.dedup_lines(docs(spark, rows), s).collect() if r.dropped}
+        assert 2 in got and 1 not in got
+
+
 def test_distance_matches_the_table():
     def plain(a, b):
         row = list(range(len(b) + 1))
