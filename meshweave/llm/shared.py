@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,29 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+PLAIN = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def identified(df: DataFrame) -> DataFrame:
+    """The rows with their place added: __file, a hash of the file's path, and __row, the row's number in it.
+
+    It is the same however often and by whichever executors the rows are read. Rows that are not plainly read from files
+    are written to the shared folder first.
+    """
+
+    def nodes(plan) -> list[str]:
+        children = plan.children()
+        return [plan.nodeName(), *(x for n in range(children.size()) for x in nodes(children.apply(n)))]
+
+    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").cast("long").alias("__row")]
+    if "_metadata" not in df.columns and set(nodes(df._jdf.queryExecution().analyzed())) <= PLAIN:
+        with contextlib.suppress(AnalysisException):
+            return df.select("*", *place)
+    names = [f"c{n}" for n in range(len(df.columns))]
+    back, _ = written(df.toDF(*names), "identified")
+    return back.select(*(F.col(a).alias(b) for a, b in zip(names, df.columns, strict=True)), *place)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising mixer of the public SplitMix64 generator."""
     x = x.astype(np.uint64, copy=True)
