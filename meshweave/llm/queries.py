@@ -54,7 +54,7 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("spans", lambda x: F.concat_ws("+", x["start"].cast("string"), x["length"].cast("string"))), ",")
-    return out.select("conv_id", "part", "speaker", "rendered", mask.alias("mask"), "turns", "loss_chars")
+    return out.select("conv_id", "speaker", "rendered", mask.alias("mask"), "turns", "loss_chars")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,17 +112,17 @@ SQL = {
         LEFT JOIN (SELECT a, count(*) AS n_links FROM p GROUP BY a) l ON l.a = d.doc_id
     """,
     "op8_chat": """
-        WITH t AS (SELECT conv_id, CAST(coalesce(floor(turn / 1024), 0) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-        p AS (SELECT DISTINCT conv_id, part, role AS speaker FROM t WHERE role <> 'system'),
-        r AS (SELECT p.conv_id, p.part, p.speaker, t.turn, t.role, t.text, t.role = p.speaker AS own,
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+        r AS (SELECT p.conv_id, p.speaker, t.turn, t.role, t.text, t.role = p.speaker AS own,
                      CASE WHEN t.role = p.speaker THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>' ELSE '<|user name=' || t.role || '|>' END || chr(10) AS head
-              FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.part = p.part),
+              FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
         n AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(text) + 1) OVER w - length(text) - 1 AS start FROM r
-              WINDOW w AS (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
-        SELECT conv_id, part, speaker, string_agg(head || text || chr(10), '' ORDER BY k) AS rendered,
+              WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, speaker, string_agg(head || text || chr(10), '' ORDER BY k) AS rendered,
                string_agg(CAST(start AS VARCHAR) || '+' || CAST(length(text) AS VARCHAR), ',' ORDER BY k) FILTER (own) AS mask,
                CAST(count(*) AS BIGINT) AS turns, CAST(sum(length(text)) FILTER (own) AS BIGINT) AS loss_chars
-        FROM n GROUP BY conv_id, part, speaker
+        FROM n GROUP BY conv_id, speaker
     """,
     "op9_warc": """
         WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
