@@ -91,19 +91,20 @@ def verify(sets: list[np.ndarray], side: np.ndarray, within: bool, threshold: fl
     return (a, b) if within else (a[side[a] != side[b]], b[side[a] != side[b]])
 
 
-def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, class_id, n_links for every row: the least id of its group of linked texts, and how many other rows have a text at least threshold similar to its own, copies included.
 
     Null and empty texts, and texts without any word, have no links and are classes of their own. A null id has null
     class and links. Rows that repeat an id are counted each. A similarity equal to the threshold links. An empty
-    table gives no rows. Texts are read whole; other columns, of whatever name, are not read.
+    table gives no rows. Texts are read whole; other columns, of whatever name, are not read, but for those named in also,
+    numbers without nulls, which pass through.
     """
     spark = docs.sparkSession
     shared_folder(spark)
     length = s.prefix()
     rng = np.random.default_rng(s.seed)
     multipliers = rng.integers(0, 1 << 63, size=(2, s.trees * length), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("long").alias(f"also_{c}") for c in also])
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -111,11 +112,11 @@ def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
             for text in pdf["text"]:
                 found = shingles(text or "", s.width)
                 out.append((content(found), prefixes(found, multipliers, s.trees, length), len(found)) if len(found) else (None, None, 0))
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "content": [x[0] for x in out], "keys": [x[1] for x in out], "size": [x[2] for x in out]})
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "content": [x[0] for x in out], "keys": [x[1] for x in out], "size": [x[2] for x in out], **{f"also_{c}": pdf[f"also_{c}"] for c in also}})
         tidy()
 
     held = Held()
-    signed, _ = written(rows.mapInPandas(sign, "id long, content binary, keys array<long>, size long"), "jaccard-signed")
+    signed, _ = written(rows.mapInPandas(sign, "id long, content binary, keys array<long>, size long" + "".join(f", also_{c} long" for c in also)), "jaccard-signed")
     classes = signed.where("content IS NOT NULL AND id IS NOT NULL").groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size"))
     classes, _ = held.keep(classes)
 
@@ -175,6 +176,6 @@ def similar(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
     known = known.select("content", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known, _ = written(known, "jaccard-known")
     held.drop()
-    out = signed.select("id", "content").join(known, "content", "left")
+    out = signed.select("id", "content", *[f"also_{c}" for c in also]).join(known, "content", "left")
     own = F.col("content").isNull()
-    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.when(own, F.col("id")).otherwise(F.col("class_id"))).alias("class_id"), F.when(F.col("id").isNotNull(), F.when(own, F.lit(0)).otherwise(F.col("n_links"))).cast("long").alias("n_links"))
+    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.when(own, F.col("id")).otherwise(F.col("class_id"))).alias("class_id"), F.when(F.col("id").isNotNull(), F.when(own, F.lit(0)).otherwise(F.col("n_links"))).cast("long").alias("n_links"), *[F.col(f"also_{c}").alias(c) for c in also])

@@ -32,7 +32,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(1)
-    rows = [(0, None), (1, ""), (2, prose(rng, 3000)), (3, "tie"), (3, "tie"), (None, "no id")] + [(n, prose(rng, rng.randint(1, 200)) + " naïve—ok 😀\n\n it's 12") for n in range(4, 60)]
+    rows = [(0, None), (1, ""), (2, prose(rng, 3000)), (90, "a <|endoftext|> b"), (91, "<|endoftext|><|endoftext|> x" * 9), (3, "tie"), (3, "tie"), (None, "no id")] + [(n, prose(rng, rng.randint(1, 200)) + " naïve—ok 😀\n\n it's 12") for n in range(4, 60)]
     out = packing.pack_documents(docs(spark, rows), packing.Limits(1024, 16, 900), with_ids=True).toPandas()
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = collections.Counter(tuple(plain.encode(t or "", add_special_tokens=False).ids + [0]) for _, t in rows)
@@ -358,18 +358,29 @@ def test_rotation(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hello"), (1, 2, "bob", None), (1, 3, None, "hm"), (2, 0, "system", "only"), (1, 3, None, "hm"), (3, 5000, "ann", "late"), (3, 1, "ann", "soon")]
     df = spark.createDataFrame([(*t, 9) for t in turns], "conv_id long, turn long, role string, text string, spans int")
     got = chat.rotate(df).collect()
-    by = {(r.conv_id, r.part, r.speaker): r for r in got}
-    assert set(by) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (3, 0, "ann"), (3, 4, "ann")}
+    by = {(r.conv_id, r.speaker): r for r in got}
+    assert set(by) == {(1, "ann"), (1, "bob"), (1, "unknown"), (3, "ann")}
     for r in got:
         assert sum(s.length for s in r.spans) == r.loss_chars
         for s in r.spans:
             assert r.rendered[: s.start].endswith("<|assistant|>\n")
-    ann = by[(1, 0, "ann")]
+    ann = by[(1, "ann")]
     assert ann.rendered == "<|system|>\nbe kind\n<|assistant|>\nhello\n<|user name=bob|>\n\n<|user name=unknown|>\nhm\n<|user name=unknown|>\nhm\n"
     assert [ann.rendered[s.start : s.start + s.length] for s in ann.spans] == ["hello"]
     assert chat.rotate(df.where("conv_id > 9")).count() == 0
 
 
+def test_a_long_dialogue_is_rendered_whole(spark):
+    rng = random.Random(31)
+    said = [(1, 0, "system", "be kind"), (1, 1, "eve", "only once")] + [(1, 7 * n, rng.choice(["ann", "bob"]), f"words {n}") for n in range(1, 3000)]
+    got = {r.speaker: r for r in chat.rotate(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {"ann", "bob", "eve"}
+    for name, r in got.items():
+        head = lambda role: "<|assistant|>" if role == name else "<|system|>" if role == "system" else f"<|user name={role}|>"  # noqa: B023, E731
+        assert r.turns == 3001 and r.rendered == "".join(f"{head(x[2])}\n{x[3]}\n" for x in sorted(said, key=lambda x: x[1]))
+        assert [r.rendered[s.start : s.start + s.length] for s in r.spans] == [x[3] for x in sorted(said, key=lambda x: x[1]) if x[2] == name]
+
+
 # --- warc ----------------------------------------------------------------------------------------------------------------
 
 

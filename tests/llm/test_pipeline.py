@@ -62,6 +62,23 @@ def test_run_packs_what_survives(spark, corpus):
     assert out.groupby("sequence_id").length.sum().max() <= 1024
 
 
+def test_rows_of_one_id_are_judged_each(spark, tmp_path):
+    rng = random.Random(25)
+    a, b, c, item = prose(rng, 60), prose(rng, 60), prose(rng, 60), " ".join(f"item{x}" for x in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(1, a), (5, b), (5, a), (7, c), (7, c), (None, a), (None, item), (8, item), (8, prose(rng, 40)), (9, None), (9, "")]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    key = lambda df: sorted(((str(r.doc_id), r.text) for r in df.collect()), key=str)
+    alone = corpus_pipeline.jaccard_join(spark, docs, folder)
+    assert key(alone) == sorted([("1", a), ("5", b), ("7", c), ("8", item), ("8", rows[8][1]), ("9", None), ("9", "")], key=str)
+    assert key(corpus_pipeline.decontamination(spark, docs, folder)) == sorted(((str(i), t) for i, t in rows if t != item), key=str)
+    clean = corpus_pipeline.line_dedup(spark, docs, folder)
+    assert collections.Counter(r.text for r in clean.collect()) == collections.Counter([a, b, c, item, rows[8][1], None, ""])
+    assert corpus_pipeline.line_dedup(spark, docs.where("doc_id > 99"), folder).count() == corpus_pipeline.jaccard_join(spark, docs.where("doc_id > 99"), folder).count() == 0
+
+
 def test_registration():
     assert sorted(registered.queries()) == sorted(f"op{n}_{x}" for n, x in enumerate("packing topk urls decontam lines toxicity jaccard chat warc quality".split(), 1))
     assert set(registered.oracle_sql()) <= set(registered.queries())
