@@ -57,6 +57,7 @@ def reputation(outcomes: DataFrame, s: Settings = Settings()) -> DataFrame:
     """host, n, bad, around (outcomes in its domain), mean and low (posterior mean and lower bound of the bad share) from rows host, bad (0, 1 or null for not labelled)."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
     hosts = hosts.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)\.?$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]+)\.?$", 1))
+    hosts, _ = written(hosts, "url-hosts")  # five steps read it; the pages are read once
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     least, most = s.strength
