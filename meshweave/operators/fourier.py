@@ -193,23 +193,39 @@ def full_from_half(spectrum: DataFrame, mesh: Mesh) -> DataFrame:
 
 
 def mode_order(modes: DataFrame, mesh: Mesh, kind: str = "stable") -> DataFrame:
-    """rank of every mode of the half spectrum: stable under refinement (by the largest index, positive before negative), or natural (axis by axis)."""
-    from pyspark.sql.window import Window
+    """rank of every mode in its half spectrum: stable under refinement (by the largest index, positive before negative), or natural (axis by axis).
 
+    The rank is counted from the mode's own indices, so it needs no sort and no other rows.
+    """
     n = mesh.n
     # along a full axis modes come as 0, 1, -1, 2, -2 ...; along the last as 0, 1, 2 ...
     place = lambda j: F.when(j == 0, 0).when(j < n - j, 2 * j - 1).when(j == n - j, n - 1).otherwise(2 * (n - j))
-    places = [place(F.col(j)) for j in mesh.modes[:-1]]
-    last = F.col(mesh.modes[-1])
+    places, last = [place(F.col(j).cast("long")) for j in mesh.modes[:-1]], F.col(mesh.modes[-1]).cast("long")
     if kind == "natural":
-        keys = [*places, last]
-    elif kind == "stable":
-        wide = F.greatest(2 * last - 1, F.lit(0))
-        keys = [F.greatest(*places, wide) if places else wide, *places, wide]
-    else:
+        rank = F.lit(0).cast("long")
+        for p in places:
+            rank = rank * n + p
+        return modes.withColumn("rank", rank * (n // 2 + 1) + last)
+    if kind != "stable":
         raise ValueError("stable or natural")
-    named = modes.select("*", *[k.alias(f"__{m}") for m, k in enumerate(keys)])
-    return named.withColumn("rank", F.row_number().over(Window.orderBy(*[f"__{m}" for m in range(len(keys))])) - 1).drop(*[f"__{m}" for m in range(len(keys))])
+    names = [f"__{m}" for m in range(len(places) + 2)]
+    wide = F.greatest(2 * last - 1, F.lit(0))
+    named = modes.withColumns(dict(zip(names, [*places, wide, F.greatest(*places, wide) if places else wide], strict=True)))
+    *axes, top = [F.col(m) for m in names]
+
+    def up_to(first: int, most: Column) -> Column:
+        """How many choices of the axes from the first on stay within most, -1 or more."""
+        count = F.lit(1).cast("long")
+        for a in range(first, len(axes)):
+            count = count * (most + 1 if a < len(axes) - 1 else F.when(most < 0, 0).otherwise(1 + F.floor((most + 1) / 2)))
+        return count
+
+    rank, seen = up_to(0, top - 1), F.lit(-1).cast("long")
+    for a, value in enumerate(axes):  # modes of the same largest index that are equal before this axis and smaller at it
+        smaller = value if a < len(axes) - 1 else last
+        rank = rank + smaller * F.when(seen == top, up_to(a + 1, top)).otherwise(up_to(a + 1, top) - up_to(a + 1, top - 1))
+        seen = F.greatest(seen, value)
+    return named.withColumn("rank", rank.cast("long")).drop(*names)
 
 
 def shifted(field: DataFrame, mesh: Mesh, shift: tuple[float, ...], how: str = "fourier") -> DataFrame:

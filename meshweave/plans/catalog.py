@@ -159,7 +159,7 @@ def hermitian_sym(spark, d):
 def k_order(kind: str) -> Query:
     def run(spark, d):
         g = M.fourier_grid(spark, MESH).select(*MESH.modes)
-        return X.mode_order(g, MESH, kind).select(*MESH.modes, F.col("rank").cast("int").alias("rank"))
+        return X.mode_order(g, MESH, kind).select(*MESH.modes, "rank")
 
     return run
 
@@ -360,6 +360,17 @@ def ngenic_noise(spark, d):
     return modes(ranlux.ngenic_noise(spark, MESH, 42))
 
 
+def ngenic_modes(spark, d):
+    """What makes the noise the spectrum of a real field without mean: counts of modes, of a mean, of Nyquist modes and of modes in the plane jz = 0 without a conjugate."""
+    rows = ranlux.ngenic_noise(spark, MESH, 42)
+    half, mirror = MESH.n // 2, [F.pmod(-F.col(j), F.lit(MESH.n)).cast("int").alias(j) for j in MESH.modes[:2]]
+    plane = rows.where("jz = 0")
+    paired = plane.join(plane.select(*mirror, F.col("re").alias("r"), F.col("im").alias("i")), ["jx", "jy"]).where("re = r AND im = -i")
+    nyquist = F.col("jx").eqNullSafe(half) | F.col("jy").eqNullSafe(half) | F.col("jz").eqNullSafe(half)
+    whole = rows.agg(F.count("*").alias("modes"), F.count_if((F.col("jx") == 0) & (F.col("jy") == 0) & (F.col("jz") == 0)).alias("mean"), F.count_if(nyquist).alias("nyquist"), F.count_if(F.col("jz") == 0).alias("plane"))
+    return whole.crossJoin(paired.agg(F.count("*").alias("paired"))).select("modes", "mean", "nyquist", (F.col("plane") - F.col("paired")).alias("unpaired"))
+
+
 def lpt_3(spark, d):
     nbody_dir(spark)
     out = lpt.displacements(_potential(spark, MESH).checkpoint(), MESH, 3)
@@ -372,6 +383,8 @@ def nbody_dir(spark: SparkSession) -> None:
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
         import tempfile
 
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp())
 
 
@@ -407,7 +420,7 @@ def growth_table(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

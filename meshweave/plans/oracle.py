@@ -214,6 +214,7 @@ def statements() -> dict[str, str]:
         "gaussian_split": spectral(*[f"{c} * exp(-0.5 * {K2} * 100)" for c in ("re", "im")]),
         "fourier_crop": f"WITH {WAVE_SPECTRUM} SELECT CAST({pmod(sg('jx'), 4)} AS INTEGER) AS jx, CAST({pmod(sg('jy'), 4)} AS INTEGER) AS jy, CAST({pmod(sg('jz'), 4)} AS INTEGER) AS jz, {q('re / 8')} AS re, {q('im / 8')} AS im FROM f WHERE abs({sg('jx')}) < 2 AND abs({sg('jy')}) < 2 AND abs({sg('jz')}) < 2",
         "fourier_pad": f"WITH {WAVE_SPECTRUM} SELECT CAST({pmod(sg('jx'), 12)} AS INTEGER) AS jx, CAST({pmod(sg('jy'), 12)} AS INTEGER) AS jy, CAST({pmod(sg('jz'), 12)} AS INTEGER) AS jz, {q('re * 3.375')} AS re, {q('im * 3.375')} AS im FROM f WHERE jx <> 4 AND jy <> 4 AND jz <> 4 AND jx + jy + jz > 0",
+        "ngenic_modes": f"WITH {MODES} SELECT count(*) - 1 AS modes, CAST(0 AS BIGINT) AS mean, CAST(0 AS BIGINT) AS nyquist, CAST(0 AS BIGINT) AS unpaired FROM modes WHERE jx <> 4 AND jy <> 4 AND jz < 4",
         "hermitian_sym": f"WITH {MODES}, s AS (SELECT jx, jy, jz, sin(id * 0.7) AS re, cos(id * 1.3) AS im FROM modes WHERE jz <= 4), m AS (SELECT a.*, (8 - a.jx) % 8 AS mx, (8 - a.jy) % 8 AS my FROM s a) "
         f"SELECT a.jx, a.jy, a.jz, {q('CASE WHEN a.jz % 4 = 0 AND a.jx * 8 + a.jy > mx * 8 + my THEN b.re ELSE a.re END')} AS re, {q('CASE WHEN a.jz % 4 <> 0 THEN a.im WHEN a.jx * 8 + a.jy = mx * 8 + my THEN 0.0 WHEN a.jx * 8 + a.jy > mx * 8 + my THEN -b.im ELSE a.im END')} AS im FROM m a JOIN s b ON b.jx = a.mx AND b.jy = a.my AND b.jz = a.jz",
         "fourier_shift": spectral(f"re * cos({kk('jx')} * 3.0 + {KZ} * 5.0) - im * sin({kk('jx')} * 3.0 + {KZ} * 5.0)", f"re * sin({kk('jx')} * 3.0 + {KZ} * 5.0) + im * cos({kk('jx')} * 3.0 + {KZ} * 5.0)"),
@@ -259,7 +260,7 @@ def statements() -> dict[str, str]:
     place = lambda j: f"(CASE WHEN {j} = 0 THEN 0 WHEN {j} < 8 - {j} THEN 2 * {j} - 1 WHEN {j} = 4 THEN 7 ELSE 2 * (8 - {j}) END)"
     wide = "greatest(2 * jz - 1, 0)"
     for kind, order in (("stable", f"greatest({place('jx')}, {place('jy')}, {wide}), {place('jx')}, {place('jy')}, {wide}"), ("natural", f"{place('jx')}, {place('jy')}, jz")):
-        out[f"k_order_{kind}"] = f"WITH {MODES} SELECT jx, jy, jz, CAST(row_number() OVER (ORDER BY {order}) - 1 AS INTEGER) AS rank FROM modes WHERE jz <= 4"
+        out[f"k_order_{kind}"] = f"WITH {MODES} SELECT jx, jy, jz, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS rank FROM modes WHERE jz <= 4"
     second = WAVES + f", fa AS (SELECT ix, iy, iz, v AS re, 0.0 AS im FROM waves), {dft('fa', 'f')}, fb AS (SELECT ix, iy, iz, v * v + 0.1 * ix AS re, 0.0 AS im FROM waves), {dft('fb', 'g')}, j AS (SELECT f.jx, f.jy, f.jz, f.re, f.im, g.re AS r2, g.im AS i2 FROM f JOIN g USING (jx, jy, jz))"
     out["cross_spectrum"] = f"WITH {second} " + binned("j", f"{q('sum(m * k) / sum(m)')} AS k, {q(f'sum(m * (re * re + im * im)) / sum(m) * {L**3 / N**6!r}', 3)} AS p1, {q(f'sum(m * (r2 * r2 + i2 * i2)) / sum(m) * {L**3 / N**6!r}', 3)} AS p2")
     pa = WAVES + f", w2 AS (SELECT ix, iy, iz, v FROM waves), fa AS (SELECT ix, iy, iz, v AS re, 0.0 AS im FROM waves), {dft('fa', 'f')}, pad AS (SELECT CAST({pmod(sg('jx'), 12)} AS INTEGER) AS jx, CAST({pmod(sg('jy'), 12)} AS INTEGER) AS jy, CAST({pmod(sg('jz'), 12)} AS INTEGER) AS jz, re * 3.375 AS re, im * 3.375 AS im FROM f WHERE jx <> 4 AND jy <> 4 AND jz <> 4), {dft('pad', 'b', 12, True)}, sq AS (SELECT ix, iy, iz, re * re AS re, 0.0 AS im FROM b), {dft('sq', 'p', 12)}"

@@ -8,12 +8,15 @@ the coarse modes. No reference vector is at hand, so parity with published reali
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.fourier import backward, full_from_half
 from ..operators.mesh import Mesh
 
 BASE = 1 << 48
@@ -71,27 +74,42 @@ def seed_table(n: int, seed: int) -> np.ndarray:
 
 
 def ngenic_noise(spark: SparkSession, mesh: Mesh, seed: int) -> DataFrame:
-    """jx, jy, jz, re, im: half spectrum of unit Gaussian modes; a task draws the streams of its rows (i, j)."""
+    """jx, jy, jz, re, im: half spectrum of unit Gaussian modes of a real field; a task draws the streams of its rows (i, j).
+
+    The mean and all modes with a Nyquist index are zero, so they have no rows. In the plane jz = 0 the half with
+    0 < i < n/2, or i = 0 and j < n/2, is drawn and the other half holds the conjugates.
+    """
     n = mesh.n
     if mesh.dim != 3:
         raise ValueError("three dimensions")
-    seeds = seed_table(n, seed)
-    rows = spark.createDataFrame([(i, j, int(seeds[i, j])) for i in range(n) for j in range(n)], "jx int, jy int, seed long")
+    seeds, half = seed_table(n, seed), n // 2
+    rows = spark.createDataFrame([(i, j, int(seeds[i, j])) for i in range(n) for j in range(n) if half not in (i, j)], "jx int, jy int, seed long")
 
     def draw(parts):
         for pdf in parts:
             out = []
             for i, j, s in pdf.itertuples(index=False):
                 rng = Ranlxd(int(s))
-                for k in range(n // 2):
+                for k in range(half):
                     phase = 2 * math.pi * rng.uniform()
                     u = rng.uniform()
                     while u == 0:
                         u = rng.uniform()
                     r = math.sqrt(-math.log(u))
-                    out.append((i, j, k, r * math.cos(phase), r * math.sin(phase)))
+                    re, im = r * math.cos(phase), r * math.sin(phase)
+                    if k:
+                        out.append((i, j, k, re, im))
+                    elif 0 < i < half or i == 0 < j < half:
+                        out += [(i, j, 0, re, im), (-i % n, -j % n, 0, re, -im)]
             yield pd.DataFrame(out, columns=["jx", "jy", "jz", "re", "im"])
 
     drawn = rows.repartition(max(1, n * n // 256)).mapInPandas(draw, "jx int, jy int, jz int, re double, im double")
     scale = math.sqrt(mesh.size)
     return drawn.select(*mesh.modes, (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"))
+
+
+def ngenic_field(spark: SparkSession, mesh: Mesh, seeds: int | Sequence[int]) -> DataFrame:
+    """The white-noise field v on every cell; of several seeds one field each, told apart by the column seed."""
+    if isinstance(seeds, int):
+        return backward(full_from_half(ngenic_noise(spark, mesh, seeds), mesh), mesh)
+    return reduce(DataFrame.unionByName, [ngenic_field(spark, mesh, s).withColumn("seed", F.lit(s).cast("long")) for s in seeds])

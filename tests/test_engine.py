@@ -210,7 +210,28 @@ def test_sources(spark, tmp_path, frame):
     assert rows.count() == 300 and again == header
     placed = spark.range(4096).select(M.detile(F.col("id"), 2, 8).alias("p"))
     assert placed.distinct().count() == 4096
-    assert ranlux.ngenic_noise(spark, MESH, 7).count() == 8 * 8 * 4
+    assert ranlux.ngenic_noise(spark, MESH, 7).count() == 7 * 7 * 4 - 1
+    # the field of the spectrum is real, and its own transform is the spectrum again
+    field = ranlux.ngenic_field(spark, MESH, [7, 8]).toPandas()
+    assert len(field) == 2 * 512 and field.groupby("seed").v.std().between(0.5, 1.5).all()
+    v = field[field.seed == 7].sort_values(["ix", "iy", "iz"]).v.to_numpy().reshape(8, 8, 8)
+    noise = ranlux.ngenic_noise(spark, MESH, 7).toPandas()
+    assert np.allclose(np.fft.rfftn(v)[noise.jx, noise.jy, noise.jz], noise.re + 1j * noise.im)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_mode_ranks_are_those_of_a_sort(spark, dim):
+    mesh = M.Mesh(dim, 8, 1.0)
+    modes = M.fourier_grid(spark, mesh)
+    place = lambda j: [0, 1, 3, 5, 7, 6, 4, 2][j]
+    for kind in ("stable", "natural"):
+        got = X.mode_order(modes, mesh, kind).toPandas()
+        keys = [(*(place(j) for j in r[:-1]), max(2 * r[-1] - 1, 0)) for r in got[list(mesh.modes)].to_numpy().tolist()]
+        order = sorted(range(len(keys)), key=lambda k: (max(keys[k]), *keys[k]) if kind == "stable" else keys[k])
+        assert got["rank"].iloc[order].tolist() == list(range(len(keys)))
+
+
+def test_ranlux_is_uniform():
     u = [ranlux.Ranlxd(1).uniform() for _ in range(3)]
     assert all(0 <= x < 1 for x in u)
 
