@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .fourier import gradient_kernel, inverse_laplacian_kernel, transform, without_mean
 from .mesh import AXES, Mesh, signed, to_cells
+from .particles import held
 
 SIGMA = 2
 
@@ -44,39 +45,27 @@ def kernel_transform(n: int, width: int, points: int = 64) -> np.ndarray:
     return half * (weights * phi * np.cos(k[:, None] * half * nodes)).sum(1)
 
 
-def _share(g: Column, base: Column, fine: Mesh, half: float, beta: float):
-    """For an offset the cell, the kernel's value there, and its derivative by position."""
-
-    def value(o: Column) -> Column:
-        z = (base + o - g) / half
-        inside = F.greatest(F.lit(0.0), 1 - z * z)
-        w = F.exp((F.sqrt(inside) - 1) * beta)
-        d = F.when(inside > 0, w * (z * beta) / F.sqrt(inside)).otherwise(0.0) / half * (fine.n / fine.box)
-        return F.struct(F.pmod(base + o, F.lit(fine.n)).cast("int").alias("c"), w.alias("w"), d.alias("d"))
-
-    return value
-
-
 def _spread(points: DataFrame, fine: Mesh, width: int, slopes: bool) -> DataFrame:
     beta, half = shape(width), width / 2
     out, kept = points, points.columns
     for x, i in zip(AXES, fine.cells):
-        g = to_cells(F.col(x), fine)
-        base = F.ceil(g - half)
-
-        out = out.withColumn(f"__{i}", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), _share(g, base, fine, half, beta)))
-    for i in fine.cells:
-        out = out.withColumn(f"__{i}", F.explode(f"__{i}"))
+        out = out.withColumn(f"__g{i}", to_cells(F.col(x), fine))
+        out = out.withColumn(f"__b{i}", F.ceil(F.col(f"__g{i}") - half).cast("int"))
+        out = out.withColumn(f"__c{i}", F.explode(F.array(*[F.col(f"__b{i}") + o for o in range(width)])))
+        out = out.withColumn(f"__z{i}", (F.col(f"__c{i}") - F.col(f"__g{i}")) / half).withColumn(f"__c{i}", F.pmod(f"__c{i}", F.lit(fine.n)))
+        out = out.withColumn(f"__r{i}", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col(f"__z{i}") * F.col(f"__z{i}")))).withColumn(f"__w{i}", F.exp((F.col(f"__r{i}") - 1) * beta))
+        if slopes:
+            out = out.withColumn(f"__d{i}", F.when(F.col(f"__r{i}") > 0, F.col(f"__w{i}") * (F.col(f"__z{i}") * beta) / F.col(f"__r{i}")).otherwise(0.0) / half * (fine.n / fine.box))
 
     def product(pick: int | None) -> Column:
         w = None
         for n, i in enumerate(fine.cells):
-            c = F.col(f"__{i}.{'d' if n == pick else 'w'}")
+            c = F.col(f"__{'d' if n == pick else 'w'}{i}")
             w = c if w is None else w * c
         return w
 
     more = [product(n).alias(f"__d{x}") for n, x in enumerate(AXES[: fine.dim])] if slopes else []
-    return out.select(*kept, *[F.col(f"__{i}.c").alias(i) for i in fine.cells], product(None).alias("__w"), *more)
+    return out.select(*kept, *[F.col(f"__c{i}").alias(i) for i in fine.cells], product(None).alias("__w"), *more)
 
 
 def _correction(mesh: Mesh, width: int) -> Column:
@@ -107,7 +96,7 @@ def type2(spectrum: DataFrame, points: DataFrame, mesh: Mesh, eps: float = 1e-6,
     parts = [c for p in values for c in p]
     sp = spectrum.withColumn("__c", _correction(mesh, width)).select(*[F.pmod(signed(F.col(j), mesh.n), F.lit(fine.n)).cast("int").alias(j) for j in mesh.modes], *[(F.col(c) * F.col("__c") * fine.size).alias(c) for c in parts])
     cells = transform(sp, fine, values, inverse=True, method="block" if fine.size <= 1 << 18 else "pencil")
-    met = _spread(points.select("id", *mesh.places), fine, width, gradient).join(cells, fine.cells)
+    met = _spread(points.select("id", *mesh.places), fine, width, gradient).join(held(cells, fine), fine.cells)
     sums = [F.sum(F.col("__w") * F.col(c)).alias(c) for c in parts]
     if gradient:
         sums += [F.sum(F.col(f"__d{x}") * F.col(c)).alias(f"d{c}_d{x}") for c in parts for x in AXES[: mesh.dim]]

@@ -16,6 +16,8 @@ from .mesh import AXES, Mesh, Span, completed, cut, grid, near_slice, to_cells,
 
 #: Offsets of the cells that an order touches.
 OFFSETS = {1: (0,), 2: (0, 1), 3: (-1, 0, 1), 4: (-1, 0, 1, 2)}
+#: Meshes of at most this many cells (some 10 MB a field) are broadcast to the particles.
+BROADCAST_CELLS = 1 << 17
 
 
 def weight(d: Column, order: int) -> Column:
@@ -45,20 +47,18 @@ def spread(particles: DataFrame, mesh: Mesh, order: int = 2, weight_col: str = "
     if order not in OFFSETS:
         raise ValueError("order 1, 2, 3 or 4")
     kept = [c for c in particles.columns if c not in (*mesh.cells, weight_col)]
-    out = particles.select(*kept)
-    shares, grads = [], []
+    out, shares, grads = particles.select(*kept), [], []
+    # one axis after the other, each formula written once: the generated code stays small for every order
     for x, i in zip(AXES, mesh.cells):
-        g = to_cells(F.col(x), mesh)
-        base = F.floor(g) if order % 2 == 0 else F.rint(g)
-        near = F.array(*[F.struct(F.pmod(base + o, F.lit(mesh.n)).cast("int").alias("c"), weight(F.abs(g - base - o), order).alias("w"), (F.signum(g - base - o) * slope(F.abs(g - base - o), order) * (mesh.n / mesh.box)).alias("d")) for o in OFFSETS[order]])
-        out = out.withColumn(f"__{i}", near)
-    for i in mesh.cells:
-        out = out.withColumn(f"__{i}", F.explode(f"__{i}"))
-        shares.append(F.col(f"__{i}.w"))
-        grads.append(F.col(f"__{i}.d"))
+        out = out.withColumn(f"__g{i}", to_cells(F.col(x), mesh))
+        base = F.floor(f"__g{i}") if order % 2 == 0 else F.rint(f"__g{i}")
+        out = out.withColumn(f"__c{i}", F.explode(F.array(*[base.cast("int") + o for o in OFFSETS[order]])))
+        out = out.withColumn(f"__g{i}", F.col(f"__g{i}") - F.col(f"__c{i}")).withColumn(f"__a{i}", F.abs(f"__g{i}")).withColumn(f"__c{i}", F.pmod(f"__c{i}", F.lit(mesh.n)))
+        shares.append(weight(F.col(f"__a{i}"), order))
+        grads.append(F.signum(f"__g{i}") * slope(F.col(f"__a{i}"), order) * (mesh.n / mesh.box))
     product = lambda cs: cs[0] if len(cs) == 1 else cs[0] * product(cs[1:])
     more = [product([grads[m] if m == n else shares[m] for m in range(mesh.dim)]).alias(f"d{weight_col}{x}") for n, x in enumerate(AXES[: mesh.dim])] if slopes else []
-    return out.select(*kept, *[F.col(f"__{i}.c").alias(i) for i in mesh.cells], product(shares).alias(weight_col), *more)
+    return out.select(*kept, *[F.col(f"__c{i}").alias(i) for i in mesh.cells], product(shares).alias(weight_col), *more)
 
 
 def deposit(particles: DataFrame, mesh: Mesh, order: int = 2, quantities: dict[str, Column] | None = None, complete: bool = True) -> DataFrame:
@@ -69,18 +69,26 @@ def deposit(particles: DataFrame, mesh: Mesh, order: int = 2, quantities: dict[s
 
 
 def overdensity(particles: DataFrame, mesh: Mesh, order: int = 2, count: int | None = None) -> DataFrame:
-    """delta = rho / mean - 1 on every cell; without the number of particles the mean comes from the deposit itself."""
+    """delta = rho / mean - 1 on every cell; without the number of particles the mean comes from a count of those that have a place."""
     rho = deposit(particles, mesh, order)
     if count is not None:
         return rho.withColumn("v", F.col("v") / (count / mesh.size) - 1)
-    total = deposit(particles, mesh, order, complete=False).agg(F.sum("v").alias("__total"))
+    there = F.lit(True)
+    for x in mesh.places:
+        there = there & F.col(x).isNotNull()
+    total = particles.agg(F.count_if(there).alias("__total"))  # shares of a particle sum to one
     return rho.join(F.broadcast(total), how="cross").withColumn("v", F.col("v") / (F.col("__total") / mesh.size) - 1).drop("__total")
 
 
+def held(field: DataFrame, mesh: Mesh) -> DataFrame:
+    """The mesh's rows, broadcast where the mesh's own size bounds them: the particles' stencils then meet them without a shuffle."""
+    return F.broadcast(field) if mesh.size <= BROADCAST_CELLS else field
+
+
 def gather(field: DataFrame, particles: DataFrame, mesh: Mesh, order: int = 2, values: tuple[str, ...] = ("v",), gradient: bool = False) -> DataFrame:
     """id and each value interpolated to the particles; with gradient also its derivative by position."""
     parts = spread(particles.select("id", *mesh.places), mesh, order, "__w", gradient)
-    met = parts.join(field, mesh.cells)
+    met = parts.join(held(field, mesh), mesh.cells)
     sums = [F.sum(F.col("__w") * F.col(v)).alias(v) for v in values]
     if gradient:
         sums += [F.sum(F.col(f"d__w{x}") * F.col(v)).alias(f"d{v}_d{x}") for v in values for x in mesh.places]

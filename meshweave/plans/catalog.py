@@ -18,6 +18,7 @@ from . import initial, lpt, nbody, oracle, ppt
 Query = Callable[[SparkSession, str], DataFrame]
 MESH, BOX, N = fixtures.MESH, fixtures.BOX, 8
 LINE = M.Mesh(1, 64, 1.0)
+FLAT = M.Mesh(2, N, BOX)
 PLANCK = C.PLANCK15
 
 
@@ -34,6 +35,10 @@ def modes(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*MESH.modes, q("re", digits).alias("re"), q("im", digits).alias("im"))
 
 
+def modes2(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*FLAT.modes, q("re", digits).alias("re"), q("im", digits).alias("im"))
+
+
 def waves_spectrum(spark: SparkSession) -> DataFrame:
     return X.forward(fixtures.waves(spark), MESH)
 
@@ -208,9 +213,7 @@ def sigma8(spark, d):
 
 
 def linear_ps(spark, d):
-    k = fixtures.spectrum_table(spark).select("i", "k")
-    raw = k.withColumn("pk", C.transfer_eisenstein_hu(PLANCK, F.col("k")) ** 2 * C.primordial(F.col("k"), PLANCK.n_s))
-    return C.normalised(raw, PLANCK.sigma8).select("i", q("pk", 5).alias("pk"))
+    return C.linear_spectrum(spark, PLANCK, BOX, N, modes=64).select("i", q("pk", 5).alias("pk"))
 
 
 def superconft_table(spark, d):
@@ -248,17 +251,20 @@ def exact_acc_1d(spark, d):
 
 
 def dkd_step(spark, d):
-    p = fixtures.line(spark, d)
-    half = p.select("id", M.wrap(F.col("x") + F.col("p") * 2.0, BOX).alias("x"), "p")
-    a = particles.exact_force_1d(half, BOX)
-    kicked = half.join(a, "id").select("id", "x", (0.9 * F.col("p") + 0.05 * F.col("a")).alias("p"))
-    return kicked.select("id", q(M.wrap(F.col("x") + F.col("p") * 2.0, BOX), 5).alias("x"), q("p").alias("p"))
+    lattice = M.Mesh(1, N, BOX)
+    state = fixtures.line(spark, d).select("id", F.col("x").alias("sx"), F.col("p").alias("vx"))
+    out = nbody.one_step(state, lattice, lattice, nbody.Step(0.9, 0.05, 2.0, 2.0), "exact")
+    return out.select("id", q("sx", 5).alias("sx"), q("vx").alias("vx"))
 
 
 def morton_3d(spark, d):
     return tree.keyed(fixtures.particles(spark, d), MESH, 10).select("id", "morton")
 
 
+def morton_2d(spark, d):
+    return tree.keyed(fixtures.particles(spark, d), FLAT, 10).select("id", "morton")
+
+
 def multipoles(spark, d):
     nodes = tree.multipoles(fixtures.particles(spark, d), MESH, 3)
     return nodes.groupBy("level").agg(F.count("*").alias("nodes"), q(F.sum("m")).alias("m"), q(F.sum("dx"), 3).alias("dx"), q(F.sum("qyz"), 1).alias("qyz"))
@@ -303,7 +309,40 @@ def field_derivative(spark, d):
     return field(X.derivative(fixtures.waves(spark), MESH, 1, 4))
 
 
-# --- without SQL: transforms in Arrow, iterative and random ---------------------------------------------------------------
+def shift_linear(spark, d):
+    return field(X.shifted(fixtures.waves(spark), MESH, (3.0, 0.0, 5.0), "linear"))
+
+
+def value_at(spark, d):
+    set_plane = M.with_value_at(fixtures.waves(spark), "v", F.col("ix") == 3, 9.0)
+    return field(M.with_value_at(set_plane, "v", F.col("iz") == 0, 0.5, add=True))
+
+
+def grid_units(spark, d):
+    return fixtures.particles(spark, d).select("id", q(M.to_cells(F.col("x"), MESH)).alias("cell"), q(M.to_box(F.col("y"), MESH)).alias("place"))
+
+
+def snapshot_stride(spark, d):
+    snaps = fixtures.particles(spark, d).select("id", (F.pmod("id", F.lit(11)) * 2).cast("int").alias("snap"))
+    return M.every_snapshot(snaps, 3)
+
+
+def spectrum_deviation(spark, d):
+    delta = particles.overdensity(fixtures.particles(spark, d), MESH)
+    return statistics.power_spectrum(delta, MESH, 6, deviation=True).select("bin", q("sd", 3).alias("sd"))
+
+
+def gather_gradient(spark, d):
+    out = particles.gather(fixtures.waves(spark), fixtures.particles(spark, d), MESH, 3, gradient=True)
+    return out.select("id", *[q(f"dv_d{x}").alias(f"g{x}") for x in "xyz"])
+
+
+def deposit_tangent(spark, d):
+    p = fixtures.moving(spark, d).withColumns({f"t{x}": F.col(f"p{x}") for x in "xyz"})
+    return particles.deposit_tangent(p, MESH, 3).select(*MESH.cells, q("dv", 5).alias("dv"))
+
+
+# --- transforms in Arrow, iterative and random ----------------------------------------------------------------------------
 
 
 def pencil_fft(spark, d):
@@ -325,13 +364,23 @@ def redshift_field(spark, d):
 
 def nufft_type1(spark, d):
     p = fixtures.particles(spark, d).select("id", "x", "y", F.lit(1.0).alias("re"))
-    flat = M.Mesh(2, N, BOX)
-    return nufft.type1(p, flat).select("jx", "jy", q("re", 3).alias("re"), q("im", 3).alias("im"))
+    return modes2(nufft.type1(p, FLAT, 1e-12), 3)
+
+
+def nufft_type2(spark, d):
+    f = M.fourier_grid(spark, FLAT, full=True).select(*FLAT.modes, F.sin(F.col("id") * 0.7).alias("re"), F.cos(F.col("id") * 1.3).alias("im"))
+    out = nufft.type2(f, fixtures.particles(spark, d).select("id", "x", "y"), FLAT, 1e-12, gradient=True)
+    return out.select("id", q("re", 4).alias("re"), q("im", 4).alias("im"), q("dre_dx", 4).alias("slope"))
+
+
+def nufft_force_fine(spark, d):
+    p = fixtures.particles(spark, d).select("id", "x", "y")
+    return nufft.nufft_force(p, FLAT, 1e-12).select("id", q("ax", 3).alias("ax"), q("ay", 3).alias("ay"))
 
 
 def nufft_force(spark, d):
     p = fixtures.particles(spark, d).select("id", "x", "y")
-    return nufft.nufft_force(p, M.Mesh(2, N, BOX)).select("id", q("ax", 3).alias("ax"), q("ay", 3).alias("ay"))
+    return nufft.nufft_force(p, FLAT).select("id", q("ax", 3).alias("ax"), q("ay", 3).alias("ay"))
 
 
 def pm_force(spark, d):
@@ -420,7 +469,7 @@ def growth_table(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

@@ -192,6 +192,77 @@ PLANCK = PLANCK15
 KZ = kk("jz")
 
 
+def slope(d: str) -> str:
+    """Derivative of the triangular cloud's share by a signed distance in cells."""
+    return f"(CASE WHEN abs({d}) <= 0.5 THEN -2 * {d} WHEN abs({d}) <= 1.5 THEN sign({d}) * (abs({d}) - 1.5) ELSE 0.0 END)"
+
+
+def density(source: str, order: int, name: str) -> str:
+    """CTEs of a source's overdensity on the mesh, as name with re and im."""
+    return f"{stencil(source, order, out=f'{name}_s')}, {name}_d AS (SELECT ix, iy, iz, sum(w) AS v FROM {name}_s GROUP BY ALL), {name} AS (SELECT c.ix, c.iy, c.iz, coalesce(d.v, 0) / ((SELECT count(*) FROM {source}) / {N**3}.0) - 1 AS re, 0.0 AS im FROM cells c LEFT JOIN {name}_d d USING (ix, iy, iz))"
+
+
+def moves(order: int = 3) -> tuple[list[str], str]:
+    """The derivative of a particle's share by x, y and z, and a CTE of its cells, for the triangular cloud."""
+    far = {x: f"(g{x} - round_even(g{x}, 0) - o{x})" for x in "xyz"}
+    one = {x: share(f"abs({far[x]})", order) for x in "xyz"}
+    grads = [" * ".join([f"{slope(far[x])} * {N / L!r}", *[f"({one[y]})" for y in "xyz" if y != x]]) for x in "xyz"]
+    froms = ", ".join(f"(VALUES (-1), (0), (1)) t{x}(o{x})" for x in "xyz")
+    g = ", ".join(f"{pmod(x, L)} / {L} * {N} AS g{x}" for x in "xyz")
+    pick = ", ".join(f"CAST({pmod(f'CAST(round_even(g{x}, 0) AS BIGINT) + o{x}', N)} AS INTEGER) AS i{x}" for x in "xyz")
+    return [f"d{x}" for x in "xyz"], f"move AS (SELECT s.*, {pick}, {', '.join(f'{e} AS d{x}' for e, x in zip(grads, 'xyz'))} FROM (SELECT *, {g} FROM moving) s, {froms})"
+
+
+def particle_statements() -> dict[str, str]:
+    """Forces, non-uniform transforms by definition, and the statistics of three points as sums over pairs of modes."""
+    h, out = L / N, {}
+    wide = f"{cells(16)}, field AS (SELECT ix, iy, iz, cos(ix * {TAU} / 16) + 0.5 * sin((ix + 2 * iy) * {TAU} / 16) + 0.25 * cos((iy + 3 * iz) * {TAU} / 16) AS re, 0.0 AS im FROM cells), {dft('field', 'f', 16)}"
+    out["pencil_fft"] = f"WITH {wide} SELECT jx, jy, jz, {q('re')} AS re, {q('im')} AS im FROM f"
+    out["skewer"] = f"WITH {PART}, {cells()}, {density('part', 2, 'rho')} SELECT iy - 2 AS iy, iz, {q('re')} AS v FROM rho WHERE ix = 3 AND iy >= 2 AND iy < 6"
+    phase = f"(({kk('jx')} + {kk('jy')} + {kk('jz')}) * {h / 2})"
+    out["interlaced"] = (
+        f"WITH {PART}, {cells()}, moved AS (SELECT id, x + {h / 2} AS x, y + {h / 2} AS y, z + {h / 2} AS z FROM part), {density('part', 2, 'rho')}, {density('moved', 2, 'other')}, {dft('other', 'f')}, "
+        f"g AS (SELECT jx, jy, jz, re * cos{phase} - im * sin{phase} AS re, re * sin{phase} + im * cos{phase} AS im FROM f), {dft('g', 'b', inverse=True)} SELECT ix, iy, iz, {q('(rho.re + b.re) / 2')} AS v FROM rho JOIN b USING (ix, iy, iz)"
+    )
+    out["redshift_field"] = (
+        f"WITH {MOVING}, {cells()}, {stencil('moving', 2, out='near')}, c AS (SELECT ix * {h} AS x, iy * {h} AS y, iz * {h} + sum(w * pz) / sum(w) * 12.5 AS z, sum(w) AS m FROM near GROUP BY ix, iy, iz HAVING sum(w) > 0), "
+        f"{stencil('c', 2, out='again')}, d AS (SELECT ix, iy, iz, sum(w * m) AS v FROM again GROUP BY ix, iy, iz) SELECT ix, iy, iz, {q('coalesce(d.v, 0)')} AS v FROM cells LEFT JOIN d USING (ix, iy, iz)"
+    )
+    axes, ctes = ("x", "y", "z"), []
+    for x in axes:
+        k = f"({gradient('j' + x, 0)}) / nullif({K2}, 0) * {' * '.join(sinc(j, 6) for j in ('jx', 'jy', 'jz'))}"
+        ctes += [f"g{x} AS (SELECT jx, jy, jz, coalesce(-im * {k}, 0.0) AS re, coalesce(re * {k}, 0.0) AS im FROM f)", dft(f"g{x}", f"back_{x}", inverse=True)]
+    out["pm_force"] = f"WITH {PART}, {cells()}, {density('part', 3, 'rho')}, {dft('rho', 'f')}, {', '.join(ctes)}, {stencil('part', 3, out='near')} SELECT id, {', '.join(q(f'sum(w * back_{x}.re)') + f' AS a{x}' for x in axes)} FROM near JOIN back_x USING (ix, iy, iz) JOIN back_y USING (ix, iy, iz) JOIN back_z USING (ix, iy, iz) GROUP BY id"
+    edges = [2 * math.pi / L * (1 + n * (N / 3 - 1) / 2) for n in range(3)]
+    shell = f"CASE WHEN k >= {edges[0]!r} AND k < {edges[1]!r} THEN 0 WHEN k >= {edges[1]!r} AND k < {edges[2]!r} THEN 1 END"
+    product = "a.re * (b.re * c.re - b.im * c.im) - a.im * (b.re * c.im + b.im * c.re)"
+    out["bispectrum"] = (
+        f"WITH {PART}, {cells()}, {density('part', 2, 'rho')}, {dft('rho', 'f')}, s AS (SELECT * FROM (SELECT *, {shell} AS s FROM (SELECT *, sqrt({K2}) AS k FROM f)) WHERE s IS NOT NULL) "
+        f"SELECT CAST(a.s AS INTEGER) AS b1, CAST(b.s AS INTEGER) AS b2, CAST(c.s AS INTEGER) AS b3, count(*) AS triangles, {q(f'avg({product}) * {L**6 / N**9!r}', 0)} AS b FROM s a JOIN s b ON a.s >= b.s "
+        f"JOIN s c ON b.s >= c.s AND c.jx = (16 - a.jx - b.jx) % 8 AND c.jy = (16 - a.jy - b.jy) % 8 AND c.jz = (16 - a.jz - b.jz) % 8 GROUP BY a.s, b.s, c.s"
+    )
+    flat = "flat AS (SELECT CAST(i // 8 AS INTEGER) AS jx, CAST(i % 8 AS INTEGER) AS jy, i FROM range(64) t(i))"
+    angle = f"({kk('jx')} * x + {kk('jy')} * y)"
+    out["nufft_type1"] = f"WITH {PART}, {flat} SELECT jx, jy, {q(f'sum(cos{angle})', 3)} AS re, {q(f'-sum(sin{angle})', 3)} AS im FROM part, flat GROUP BY jx, jy"
+    given = "given AS (SELECT jx, jy, sin(i * 0.7) AS re, cos(i * 1.3) AS im FROM flat)"
+    out["nufft_type2"] = f"WITH {PART}, {flat}, {given} SELECT id, {q(f'sum(re * cos{angle} - im * sin{angle})', 4)} AS re, {q(f'sum(re * sin{angle} + im * cos{angle})', 4)} AS im, {q(f'sum(-{kk("jx")} * (re * sin{angle} + im * cos{angle}))', 4)} AS slope FROM part, given GROUP BY id"
+    g = f"({{k}} / ({kk('jx')} * {kk('jx')} + {kk('jy')} * {kk('jy')}) / (SELECT count(*) FROM part))"
+    pull = lambda j: f"sum(-(im * cos{angle} + re * sin{angle}) * {g.format(k=kk(j))})"
+    out["nufft_force_fine"] = f"WITH {PART}, {flat}, f AS (SELECT jx, jy, sum(cos{angle}) AS re, -sum(sin{angle}) AS im FROM part, flat WHERE jx <> 4 AND jy <> 4 AND jx + jy > 0 GROUP BY jx, jy) SELECT id, {q(pull('jx'), 3)} AS ax, {q(pull('jy'), 3)} AS ay FROM part, f GROUP BY id"
+    out["shift_linear"] = f"WITH {WAVES}, o AS (SELECT a, b, (CASE WHEN a = 1 THEN 3.0 / {h} ELSE 1 - 3.0 / {h} END) * (CASE WHEN b = 1 THEN 5.0 / {h} ELSE 1 - 5.0 / {h} END) AS w FROM range(2) s(a), range(2) t(b)) SELECT c.ix, c.iy, c.iz, {q('sum(o.w * waves.v)')} AS v FROM cells c, o, waves WHERE waves.ix = (c.ix + a) % 8 AND waves.iy = c.iy AND waves.iz = (c.iz + b) % 8 GROUP BY c.ix, c.iy, c.iz"
+    out["value_at"] = f"WITH {WAVES} SELECT ix, iy, iz, {q('(CASE WHEN ix = 3 THEN 9.0 ELSE v END) + (CASE WHEN iz = 0 THEN 0.5 ELSE 0.0 END)')} AS v FROM waves"
+    out["grid_units"] = f"WITH {PART} SELECT id, {q(f'x * {N / L!r}')} AS cell, {q(f'y * {h}')} AS place FROM part"
+    out["snapshot_stride"] = f"WITH {PART} SELECT id, CAST(id % 11 * 2 AS INTEGER) AS snap FROM part WHERE id % 11 IN (SELECT s FROM (SELECT s, row_number() OVER (ORDER BY s) - 1 AS r FROM (SELECT DISTINCT id % 11 AS s FROM part)) WHERE r % 3 = 0)"
+    p = f"((re * re + im * im) * {L**3 / N**6!r})"
+    out["spectrum_deviation"] = f"WITH {PART}, {cells()}, {density('part', 2, 'rho')}, {dft('rho', 'f')} " + binned("f", f"{q(f'sqrt(greatest(0.0, sum(m * {p} * {p}) - pow(sum(m * {p}), 2) / sum(m)) / nullif(sum(m) - 1, 0))', 3)} AS sd")
+    names, move = moves()
+    out["gather_gradient"] = f"WITH {MOVING}, {WAVES}, {move} SELECT id, {', '.join(q(f'sum({c} * waves.v)') + f' AS g{c[1]}' for c in names)} FROM move JOIN waves USING (ix, iy, iz) GROUP BY id"
+    out["deposit_tangent"] = f"WITH {MOVING}, {cells()}, {move}, d AS (SELECT ix, iy, iz, sum(dx * px + dy * py + dz * pz) AS dv FROM move GROUP BY ix, iy, iz) SELECT ix, iy, iz, {q('coalesce(dv, 0)', 5)} AS dv FROM cells LEFT JOIN d USING (ix, iy, iz)"
+    pair = lambda c, shift: " | ".join(f"((({c} >> {n}) & 1) << {2 * n + shift})" for n in range(10))
+    out["morton_2d"] = f"WITH {PART}, g AS (SELECT id, CAST(least(floor(x / {L} * 1024), 1023) AS BIGINT) AS a, CAST(least(floor(y / {L} * 1024), 1023) AS BIGINT) AS b FROM part) SELECT id, CAST({pair('a', 1)} | {pair('b', 0)} AS BIGINT) AS morton FROM g"
+    return out
+
+
 def statements() -> dict[str, str]:
     h = L / N
     out = {
@@ -226,14 +297,14 @@ def statements() -> dict[str, str]:
         "transfer_bbks": f"WITH {KTABLE} SELECT i, {q(transfer_bbks(PLANCK), 7)} AS t FROM ktable",
         "transfer_ga": f"WITH {KTABLE} SELECT i, {q(transfer_ga(PLANCK), 7)} AS t FROM ktable",
         "sigma8": f"WITH {SPECTRUM} SELECT {q(sigma2('pk'), 9)} AS sigma2",
-        "linear_ps": f"WITH {KTABLE}, pk AS (SELECT i, k, pow({transfer_eh(PLANCK)}, 2) * pow(k, {PLANCK.n_s!r}) AS pk FROM ktable) SELECT i, {q('pk * ' + repr(PLANCK.sigma8**2) + ' / ' + sigma2('pk'), 5)} AS pk FROM pk",
+        "linear_ps": f"WITH ktable AS (SELECT CAST(i AS INTEGER) AS i, exp(ln(1e-5) + i * (ln(1e3) - ln(1e-5)) / 63) AS k FROM range(64) t(i)), pk AS (SELECT i, k, pow({transfer_eh(PLANCK)}, 2) * pow(k, {PLANCK.n_s!r}) AS pk FROM ktable) SELECT i, {q('pk * ' + repr(PLANCK.sigma8**2) + ' / ' + sigma2('pk'), 5)} AS pk FROM pk",
         "superconft_table": f"WITH {FACTORS}, g AS (SELECT i, a, 1 / ({expansion(PLANCK)} * a * a * a) AS f FROM factors), s AS (SELECT i, (lead(a) OVER (ORDER BY i) - a) * (lead(f) OVER (ORDER BY i) + f) / 2 AS s FROM g) SELECT i, {q('-coalesce(sum(s) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 0.0)', 5)} AS superconft FROM s",
         "interp_table": f"WITH {SPECTRUM}, t AS (SELECT k, pk, lead(k) OVER (ORDER BY k) AS k2, lead(pk) OVER (ORDER BY k) AS pk2 FROM pk), x AS (SELECT event_id AS id, 0.001 + value / 100 AS x FROM events) "
         f"SELECT id, {q('CASE WHEN x >= (SELECT max(k) FROM pk) THEN (SELECT arg_max(pk, k) FROM pk) ELSE pk + (x - k) / (k2 - k) * (pk2 - pk) END', 8)} AS y FROM x LEFT JOIN t ON x >= k AND x < k2",
         "plane_wave": f"WITH w AS (SELECT i, i / 64.0 AS q FROM range(64) t(i)) SELECT i AS id, {q(f'q + 0.25 / 0.5 * sin({TAU} * q) / {TAU}', 9)} AS x, {q(f'0.125 * sin({TAU} * q) / ({TAU} * 0.5)', 9)} AS px, {q(f'-0.5 * cos({TAU} * q)', 9)} AS delta FROM w",
         "zeldovich_1d": f"WITH w AS (SELECT i, i / 64.0 AS q FROM range(64) t(i)) SELECT i AS id, {q(f'sin({TAU} * q) / {TAU} + 0.3 * cos(2 * {TAU} * q)', 8)} AS sx FROM w",
         "exact_acc_1d": f"WITH {LINE}, r AS (SELECT id, x, row_number() OVER (ORDER BY x, id) - 1 AS k, avg(x) OVER () AS mean, count(*) OVER () AS n FROM line) SELECT id, {q(f'{L} * ((x - mean) / {L} + 0.5 - (k + 0.5) / n)')} AS a FROM r",
-        "dkd_step": f"WITH {LINE}, h AS (SELECT id, {pmod('x + p * 2.0', L)} AS x, p FROM line), r AS (SELECT id, x, p, row_number() OVER (ORDER BY x, id) - 1 AS k, avg(x) OVER () AS mean, count(*) OVER () AS n FROM h), v AS (SELECT id, x, 0.9 * p + 0.05 * ({L} * ((x - mean) / {L} + 0.5 - (k + 0.5) / n)) AS p FROM r) SELECT id, {q(pmod('x + p * 2.0', L), 5)} AS x, {q('p')} AS p FROM v",
+        "dkd_step": f"WITH {LINE}, h AS (SELECT id, x AS s, {pmod(f'id % {N} * {h} + x + p * 2.0', L)} AS x, p FROM line), r AS (SELECT id, s, x, p, row_number() OVER (ORDER BY x, id) - 1 AS k, avg(x) OVER () AS mean, count(*) OVER () AS n FROM h), v AS (SELECT id, s, p, 0.9 * p + 0.05 * ({L} * ((x - mean) / {L} + 0.5 - (k + 0.5) / n)) AS v FROM r) SELECT id, {q('s + p * 2.0 + v * 2.0', 5)} AS sx, {q('v')} AS vx FROM v",
         "morton_3d": f"WITH {PART}, g AS (SELECT id, CAST(least(floor(x / {L} * 1024), 1023) AS BIGINT) AS a, CAST(least(floor(y / {L} * 1024), 1023) AS BIGINT) AS b, CAST(least(floor(z / {L} * 1024), 1023) AS BIGINT) AS c FROM part) SELECT id, CAST({bits('a', 2)} | {bits('b', 1)} | {bits('c', 0)} AS BIGINT) AS morton FROM g",
         "multipoles": " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS level, CAST(count(DISTINCT (floor(x / {L} * {1 << n}), floor(y / {L} * {1 << n}), floor(z / {L} * {1 << n}))) AS BIGINT) AS nodes, {q('CAST(count(*) AS DOUBLE)')} AS m, {q('sum(x)', 3)} AS dx, {q('sum(y * z)', 1)} AS qyz FROM (WITH {PART} SELECT * FROM part)" for n in range(4)),
         "short_range_pairs": f"WITH {PART}, d AS (SELECT a.id AS a, b.id AS b, {min_image('a.x - b.x')} AS dx, {min_image('a.y - b.y')} AS dy, {min_image('a.z - b.z')} AS dz FROM part a JOIN part b ON a.id < b.id) SELECT a, b, {q('sqrt(dx * dx + dy * dy + dz * dz)')} AS r FROM d WHERE sqrt(dx * dx + dy * dy + dz * dz) < 2",
@@ -264,5 +335,6 @@ def statements() -> dict[str, str]:
     second = WAVES + f", fa AS (SELECT ix, iy, iz, v AS re, 0.0 AS im FROM waves), {dft('fa', 'f')}, fb AS (SELECT ix, iy, iz, v * v + 0.1 * ix AS re, 0.0 AS im FROM waves), {dft('fb', 'g')}, j AS (SELECT f.jx, f.jy, f.jz, f.re, f.im, g.re AS r2, g.im AS i2 FROM f JOIN g USING (jx, jy, jz))"
     out["cross_spectrum"] = f"WITH {second} " + binned("j", f"{q('sum(m * k) / sum(m)')} AS k, {q(f'sum(m * (re * re + im * im)) / sum(m) * {L**3 / N**6!r}', 3)} AS p1, {q(f'sum(m * (r2 * r2 + i2 * i2)) / sum(m) * {L**3 / N**6!r}', 3)} AS p2")
     pa = WAVES + f", w2 AS (SELECT ix, iy, iz, v FROM waves), fa AS (SELECT ix, iy, iz, v AS re, 0.0 AS im FROM waves), {dft('fa', 'f')}, pad AS (SELECT CAST({pmod(sg('jx'), 12)} AS INTEGER) AS jx, CAST({pmod(sg('jy'), 12)} AS INTEGER) AS jy, CAST({pmod(sg('jz'), 12)} AS INTEGER) AS jz, re * 3.375 AS re, im * 3.375 AS im FROM f WHERE jx <> 4 AND jy <> 4 AND jz <> 4), {dft('pad', 'b', 12, True)}, sq AS (SELECT ix, iy, iz, re * re AS re, 0.0 AS im FROM b), {dft('sq', 'p', 12)}"
+    out |= particle_statements()
     out["dealiased_product"] = f"WITH {pa} SELECT CAST({pmod(sg('jx', 12), 8)} AS INTEGER) AS jx, CAST({pmod(sg('jy', 12), 8)} AS INTEGER) AS jy, CAST({pmod(sg('jz', 12), 8)} AS INTEGER) AS jz, {q('re / 3.375')} AS re, {q('im / 3.375')} AS im FROM p WHERE abs({sg('jx', 12)}) < 4 AND abs({sg('jy', 12)}) < 4 AND abs({sg('jz', 12)}) < 4"
     return out
