@@ -13,7 +13,7 @@ from ..operators import fourier as X
 from ..operators import mesh as M
 from ..operators import nufft, particles, statistics, tree
 from ..sources import files, fixtures, ranlux
-from . import initial, lpt, nbody, oracle, ppt
+from . import initial, lpt, nbody, oracle, ppt, sheet
 
 Query = Callable[[SparkSession, str], DataFrame]
 MESH, BOX, N = fixtures.MESH, fixtures.BOX, 8
@@ -450,7 +450,7 @@ def nbody_1d(spark, d):
     w = initial.plane_wave(times, LINE, 0.05, a_cross=0.8)
     state = M.lagrangian_grid(spark, LINE).select("id", (w["x"] - F.col("qx")).alias("sx"), (w["px"] / float(times.fplus(0.05))).alias("vx"))
     out = nbody.run(state, LINE, times, nbody.step_times(times, 0.05, 0.5, 3), "bullfrog", "exact")
-    return out.select("id", q("sx", 9).alias("sx"), q("vx", 9).alias("vx"))
+    return out.select("id", q("sx", 7).alias("sx"), q("vx", 6).alias("vx"))
 
 
 def nbody_3d(spark, d):
@@ -463,13 +463,44 @@ def nbody_3d(spark, d):
     return out.select("id", *[q(c, 5).alias(c) for c in out.columns if c != "id"])
 
 
+def sheet_resampled(spark, d):
+    step = 2 * math.pi / N
+    psi = M.grid(spark, MESH).select("id", (2 * F.sin(F.col("ix") * step)).alias("sx"), F.sin(F.col("iy") * step).alias("sy"), F.lit(0.25).alias("sz"))
+    return sheet.spawned(psi, MESH, 2).select("shift", "id", *[q(x).alias(x) for x in "xyz"])
+
+
+def waves_at_places(spark, d):
+    places = M.lagrangian_grid(spark, MESH).select("id", (F.col("qx") + 3).alias("x"), F.col("qy").alias("y"), (F.col("qz") + 5).alias("z"))
+    return field(X.backward(initial.evaluated_at(waves_spectrum(spark), MESH, places, 1e-12), MESH))
+
+
+def growth_eds(spark, d):
+    """The growth table where it has a closed form."""
+    out = eds().frame(spark).where("a > 0.01")
+    return out.select("i", *[q(c, 5).alias(c) for c in ("a", "superconft", "Dplus", "Dplusda", "D2plus", "D3plusa", "D3plusb", "D3plusc")])
+
+
+def lpt_exact(spark, d):
+    """In an Einstein-de Sitter background the parts with their own growth add up to the orders with powers of D."""
+    nbody_dir(spark)
+    orders = lpt.displacements(_potential(spark, MESH).checkpoint(), MESH, 3, split=True).checkpoint()
+    both, times = None, C.Times.of(C.EDS, C.a_grid(steps=4096))  # the table is read linearly
+    for what in ("psi", "velocity", "D", "acceleration"):
+        a, b = (lpt.evaluated(orders, MESH, times, 0.5, 3, what, exact) for exact in (True, False))
+        b = b.select("id", *[F.col(f"s{x}").alias(f"o{x}") for x in "xyz"])
+        far = F.greatest(*[F.abs(F.col(f"s{x}") - F.col(f"o{x}")) for x in "xyz"])
+        one = a.join(b, "id").select("id", (far < 1e-4).alias(what))
+        both = one if both is None else both.join(one, "id")
+    return both
+
+
 def growth_table(spark, d):
     out = C.Times.of(PLANCK, C.a_grid(steps=64)).frame(spark)
     return out.select("i", *[q(c, 7).alias(c) for c in out.columns if c != "i"])
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

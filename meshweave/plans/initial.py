@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cosmology import Cosmology, Times, expansion, expansion_slope
 from ..operators.fourier import forward, hermitian, full_from_half, inverse_laplacian_kernel, mode_order, scaled, without_mean
-from ..operators.mesh import Mesh, fourier_grid, grid, spherical, wave_square
+from ..operators.mesh import Mesh, fourier_grid, grid, index_columns, spherical, wave_square
+from ..operators.nufft import type2
 
 
 def uniform(seed: int, number: int, *keys: Column) -> Column:
@@ -75,6 +76,12 @@ def gaussian_potential(spark: SparkSession, mesh: Mesh, pk: DataFrame, seed: int
     return spherical(out, mesh) if sphere else out
 
 
+def evaluated_at(potential: DataFrame, mesh: Mesh, places: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """Spectrum of the potential's values at one place id, x, y, z a cell (moved or glass-like lattices), by a non-uniform transform."""
+    at = type2(potential.select(*mesh.modes, "re", "im"), places, mesh, eps)
+    return forward(at.select(*index_columns(F.col("id"), mesh, mesh.cells), (F.col("re") / mesh.size).alias("v")), mesh)
+
+
 def plane_wave(times: Times, mesh: Mesh, a: float, a_cross: float = 1.0, mode: int = 1, decaying: float = 0.0) -> dict[str, Column]:
     """Exact position, momentum, potential and density of a plane wave along x at Lagrangian position qx, until it crosses itself at a_cross."""
     c: Cosmology = times.cosmology

@@ -7,6 +7,7 @@ psi_n = inverse Laplacian of (grad L - curl T), with the sums of arXiv:2010.1258
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,27 @@ def _transverse(n: int, m: int, d: int) -> list[Column]:
     return [sum((g(n, l, i) * g(m, l, j) - g(n, l, j) * g(m, l, i) for l in range(d)), F.lit(0.0)) for i, j in axes]
 
 
-def displacements(potential: DataFrame, mesh: Mesh, order: int = 1, transverse: bool = True, factors: bool = True) -> DataFrame:
-    """id and s{n}x, s{n}y, s{n}z of the orders 1 to order, from the potential's full spectrum re, im."""
+def _solved(mesh: Mesh, straight: tuple[Column, Column], turn: list[tuple[Column, Column]]) -> list[Column]:
+    """r{a}, i{a}: inverse Laplacian of i k L - i (k x T), written for real and imaginary parts."""
+    d, over = mesh.dim, F.try_divide(F.lit(-1.0), wave_square(mesh))
+    ks, out = [gradient_kernel(mesh, a) for a in range(d)], []
+    for a in range(d):
+        if d == 3:
+            b, c = (a + 1) % 3, (a + 2) % 3
+            im, re = (ks[a] * straight[p] - (ks[b] * turn[c][p] - ks[c] * turn[b][p]) for p in (0, 1))
+        else:
+            other, sign = (ks[1], 1.0) if a == 0 else (ks[0], -1.0)
+            im, re = (ks[a] * straight[p] - other * turn[0][p] * sign for p in (0, 1))
+        out += [F.coalesce(-re * over, F.lit(0.0)).alias(f"r{a}"), F.coalesce(im * over, F.lit(0.0)).alias(f"i{a}")]
+    return out
+
+
+def displacements(potential: DataFrame, mesh: Mesh, order: int = 1, transverse: bool = True, factors: bool = True, split: bool = False) -> DataFrame:
+    """id and s{n}x, s{n}y, s{n}z of the orders 1 to order, from the potential's full spectrum re, im.
+
+    split also gives the third order's parts, whose growth differs beyond an Einstein-de Sitter background: s3a (of three
+    first orders), s3b (of the first and the second) and s3c (transverse), which add up to s3.
+    """
     d, large = mesh.dim, mesh.at(3 * mesh.n // 2 + (3 * mesh.n // 2) % 2)
     phi = without_mean(potential, mesh)
     first = phi.select(*mesh.modes, *[c for a in range(d) for k in (gradient_kernel(mesh, a),) for c in ((F.col("im") * k).alias(f"r{a}"), (-F.col("re") * k).alias(f"i{a}"))])
@@ -85,27 +105,22 @@ def displacements(potential: DataFrame, mesh: Mesh, order: int = 1, transverse:
                 low = low.where(F.abs(signed(F.col(j), large.n)) < mesh.n // 2)
             clean = transform(low, large, tuple((c, f"_{c}") for c in names), inverse=True, method=_method(large)).select(*large.cells, *names)
             real3 = real.join(clean, large.cells)
+            columns["A"] = F.lit(0.0)
             for k, l, m in triples:
-                columns["L"] = columns["L"] + sum((F.col(f"g{k}_0{c}") * F.col(f"C{l}_{m}_{c}") for c in range(3)), F.lit(0.0)) * scale(k, l, m)
+                columns["A"] = columns["A"] + sum((F.col(f"g{k}_0{c}") * F.col(f"C{l}_{m}_{c}") for c in range(3)), F.lit(0.0)) * scale(k, l, m)
         else:
             real3 = real
         names = list(columns)
         sources = transform(real3.select(*large.cells, *[x for c in names for x in (columns[c].alias(c), F.lit(0.0).alias(f"_{c}"))]), large, tuple((c, f"_{c}") for c in names), method=_method(large))
-        s = crop(sources, mesh, large, tuple(x for c in names for x in (c, f"_{c}")))
-        over = F.try_divide(F.lit(-1.0), wave_square(mesh))
-        ks = [gradient_kernel(mesh, a) for a in range(d)]
-        out = []
-        for a in range(d):
-            # i k L - i (k x T), written for real and imaginary parts
-            if d == 3:
-                b, c = (a + 1) % 3, (a + 2) % 3
-                re = ks[a] * F.col("_L") - (ks[b] * F.col(f"_T{c}") - ks[c] * F.col(f"_T{b}"))
-                im = ks[a] * F.col("L") - (ks[b] * F.col(f"T{c}") - ks[c] * F.col(f"T{b}"))
-            else:
-                other, sign = (ks[1], 1.0) if a == 0 else (ks[0], -1.0)
-                re, im = ks[a] * F.col("_L") - other * F.col("_T0") * sign, ks[a] * F.col("L") - other * F.col("T0") * sign
-            out += [F.coalesce(-re * over, F.lit(0.0)).alias(f"r{a}"), F.coalesce(im * over, F.lit(0.0)).alias(f"i{a}")]
-        spectra[n] = s.select(*mesh.modes, *out).checkpoint()
+        s = crop(sources, mesh, large, tuple(x for c in names for x in (c, f"_{c}"))).checkpoint()
+        zero, straight = F.lit(0.0), [c for c in ("L", "A") if c in columns]
+        turn = [(F.col(f"T{k}"), F.col(f"_T{k}")) for k in range(len(turning))]
+        still = [(zero, zero)] * len(turning)
+        whole = tuple(sum((F.col(p + c) for c in straight), zero) for p in ("", "_"))
+        spectra[n] = s.select(*mesh.modes, *_solved(mesh, whole, turn)).checkpoint()
+        if split and n == 3:
+            parts = {"3a": ((F.col("A"), F.col("_A")) if "A" in columns else (zero, zero), still), "3b": ((F.col("L"), F.col("_L")), still), "3c": ((zero, zero), turn)}
+            spectra |= {k: s.select(*mesh.modes, *_solved(mesh, *v)) for k, v in parts.items()}
     wide = None
     for n, s in spectra.items():
         part = s.select(*mesh.modes, *[F.col(f"{p}{a}").alias(f"{p}{n}_{a}") for a in range(d) for p in "ri"])
@@ -116,16 +131,43 @@ def displacements(potential: DataFrame, mesh: Mesh, order: int = 1, transverse:
     return cells.select(cell_id(mesh).alias("id"), *[F.col(f"r{n}_{a}").alias(f"s{n}{AXES[a]}") for n, a in names])
 
 
-def evaluated(orders: DataFrame, mesh: Mesh, times: Times, a: float, order: int, what: str = "psi") -> DataFrame:
-    """id and sx, sy, sz at scale factor a: displacement (psi), momentum a^2 dx/dt (velocity), derivative by D, or Eulerian acceleration."""
-    grow, rate = float(times.get("Dplus", a)), float(times.growth_rate(a))
-    import numpy as np
+#: The Einstein-de Sitter factors that the displacement columns hold, by growth column.
+EDS_FACTORS = {"1": ("Dplus", 1.0), "2": ("D2plus", -3 / 7), "3a": ("D3plusa", 1 / 3), "3b": ("D3plusb", -10 / 21), "3c": ("D3plusc", 1 / 7)}
+
 
+def exact_factors(times: Times, a: float, order: int, what: str) -> dict[str, float]:
+    """A factor for each part s1, s2, s3a, s3b, s3c from the growth table instead of powers of D."""
+    if order > 3:
+        raise ValueError("exact growth goes to third order")
+    parts = ["1", "2", "3a", "3b", "3c"][: {1: 1, 2: 2, 3: 5}[order]]
+    d = {p: float(times.get(EDS_FACTORS[p][0], a)) for p in parts}
+    slope = {p: float(times.get(EDS_FACTORS[p][0] + "da", a)) for p in parts}
     e = float(expansion(times.cosmology, np.float64(a), np))
-    factor = {
-        "psi": lambda n: grow**n,
-        "velocity": lambda n: n * grow**n * rate * e * a**2,
-        "D": lambda n: n * grow ** (n - 1),
-        "acceleration": lambda n: n / 3 * (1 + 2 * n) * grow**n,
-    }[what]
-    return orders.select("id", *[sum((F.col(f"s{n}{x}") * factor(n) for n in range(2, order + 1)), F.col(f"s1{x}") * factor(1)).alias(f"s{x}") for x in AXES[: mesh.dim]])
+    if what == "acceleration":  # each growth equation's right side over 1.5 Omega_m(a)
+        one = d["1"]
+        more = {"1": lambda: one, "2": lambda: d["2"] - one**2, "3a": lambda: d["3a"] + 2 * one**3, "3b": lambda: d["3b"] + 2 * one * d["2"] - 2 * one**3, "3c": lambda: one**3}
+        out = {p: more[p]() for p in parts}
+    else:
+        out = {"psi": d, "velocity": {p: slope[p] * a**3 * e for p in parts}, "D": {p: slope[p] / slope["1"] for p in parts}}[what]
+    return {p: out[p] / EDS_FACTORS[p][1] for p in parts}
+
+
+def evaluated(orders: DataFrame, mesh: Mesh, times: Times, a: float, order: int, what: str = "psi", exact: bool = False) -> DataFrame:
+    """id and sx, sy, sz at scale factor a: displacement (psi), momentum a^2 dx/dt (velocity), derivative by D, or Eulerian acceleration.
+
+    exact: each part grows by the cosmology's own growth functions; the third order needs displacements with split. At a = 0 psi is zero.
+    """
+    if exact and a > 0:
+        factors = exact_factors(times, a, order, what)
+    else:
+        grow, rate = (float(times.get("Dplus", a)), float(times.growth_rate(a))) if a > 0 else (0.0, 1.0)
+        e = float(expansion(times.cosmology, np.float64(a), np)) if a > 0 else 0.0
+        factor = {
+            "psi": lambda n: grow**n,
+            "velocity": lambda n: n * grow**n * rate * e * a**2,
+            "D": lambda n: n * grow ** (n - 1),
+            "acceleration": lambda n: n / 3 * (1 + 2 * n) * grow**n,
+        }[what]
+        factors = {str(n): factor(n) for n in range(1, order + 1)}
+    first, *rest = factors
+    return orders.select("id", *[sum((F.col(f"s{n}{x}") * factors[n] for n in rest), F.col(f"s{first}{x}") * factors[first]).alias(f"s{x}") for x in AXES[: mesh.dim]])

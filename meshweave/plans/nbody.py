@@ -27,7 +27,9 @@ def step_times(times: Times, a0: float, a1: float, steps: int | list[float], var
     if variable == "log_a":
         return np.geomspace(a0, a1, steps + 1)
     key = {"D": "Dplus", "superconft": "superconft"}[variable]
-    out = times.get("a", np.linspace(times.get(key, a0), times.get(key, a1), steps + 1), key)
+    if a0 == 0 and variable != "D":
+        raise ValueError("steps from a = 0 are spaced in a or D")
+    out = times.get("a", np.linspace(times.get(key, a0) if a0 > 0 else 0.0, times.get(key, a1), steps + 1), key)
     out[0], out[-1] = a0, a1
     return out
 
@@ -43,7 +45,7 @@ class Step:
 
 
 def coefficients(times: Times, a: np.ndarray, stepper: str = "bullfrog") -> list[Step]:
-    """One Step for each interval. bullfrog and fastpm integrate in D with momenta dx/dD, symplectic in superconformal time."""
+    """One Step for each interval; bullfrog may begin at a = 0, at the lattice with the first order as momentum. bullfrog and fastpm integrate in D with momenta dx/dD, symplectic in superconformal time."""
     c, out = times.cosmology, []
     if stepper == "symplectic":
         nodes, weights = np.polynomial.legendre.leggauss(5)
@@ -55,14 +57,16 @@ def coefficients(times: Times, a: np.ndarray, stepper: str = "bullfrog") -> list
             out.append(Step(1.0, kick, t[1] - t[0], t[2] - t[1]))
         return out
     for lo, hi in zip(a[:-1], a[1:]):
-        d0, d1 = float(times.get("Dplus", lo)), float(times.get("Dplus", hi))
+        if lo == 0 and stepper != "bullfrog":
+            raise ValueError("only bullfrog begins at a = 0")
+        d0, d1 = float(times.get("Dplus", lo)) if lo > 0 else 0.0, float(times.get("Dplus", hi))
         mid, half = (d0 + d1) / 2, (d1 - d0) / 2
         if stepper == "fastpm":
             alpha = float(times.fplus(lo) / times.fplus(hi))
         elif stepper == "bullfrog":
             # second order along the growing modes: the kick meets the second-order growth at the half step
-            slope = [float(times.get("D2plusda", x) / times.get("Dplusda", x)) for x in (lo, hi)]
-            b = (float(times.get("D2plus", lo)) + slope[0] * half) / mid - mid
+            slope = [float(times.get("D2plusda", x) / times.get("Dplusda", x)) if x > 0 else 0.0 for x in (lo, hi)]
+            b = ((float(times.get("D2plus", lo)) if lo > 0 else 0.0) + slope[0] * half) / mid - mid
             alpha = (slope[1] - b) / (slope[0] - b)
         else:
             raise ValueError("bullfrog, fastpm or symplectic")
@@ -70,8 +74,8 @@ def coefficients(times: Times, a: np.ndarray, stepper: str = "bullfrog") -> list
     return out
 
 
-def pm_force(particles: DataFrame, mesh: Mesh, order: int = 2, deconvolve: bool = False, gradient_order: int = 0, laplace_order: int = 0, alpha: float | None = None, count: int | None = None) -> DataFrame:
-    """id and ax, ay, az = -grad inverse-Laplacian delta at the particles; all axes leave Fourier space in one pass.
+def force_field(particles: DataFrame, mesh: Mesh, order: int = 2, deconvolve: bool = False, gradient_order: int = 0, laplace_order: int = 0, alpha: float | None = None, count: int | None = None) -> DataFrame:
+    """ax, ay, az = -grad inverse-Laplacian delta on every cell; all axes leave Fourier space in one pass.
 
     alpha: only the long-range part of a Gaussian split. deconvolve: both the deposit's and the gather's windows.
     """
@@ -89,8 +93,12 @@ def pm_force(particles: DataFrame, mesh: Mesh, order: int = 2, deconvolve: bool
         k = gradient_kernel(mesh, d, gradient_order) * F.col("__g")
         cols += [(-F.col("im") * k).alias(f"a{AXES[d]}"), (F.col("re") * k).alias(f"__{d}")]
         pairs.append((f"a{AXES[d]}", f"__{d}"))
-    field = transform(f.select(*mesh.modes, *cols), mesh, tuple(pairs), inverse=True, method=method)
-    return gather(field, particles, mesh, order, tuple(p[0] for p in pairs))
+    return transform(f.select(*mesh.modes, *cols), mesh, tuple(pairs), inverse=True, method=method).select(*mesh.cells, *[p[0] for p in pairs])
+
+
+def pm_force(particles: DataFrame, mesh: Mesh, order: int = 2, **options) -> DataFrame:
+    """id and ax, ay, az: the field of forces at the particles."""
+    return gather(force_field(particles, mesh, order, **options), particles, mesh, order, tuple(f"a{x}" for x in mesh.places))
 
 
 def interlaced_force(particles: DataFrame, mesh: Mesh, shifts: int = 2, **options) -> DataFrame:
@@ -104,7 +112,7 @@ def interlaced_force(particles: DataFrame, mesh: Mesh, shifts: int = 2, **option
 
 
 def force(particles: DataFrame, mesh: Mesh, method: str = "pm", **options) -> DataFrame:
-    """pm, exact (one dimension), nufft, or treepm: the long-range mesh part plus short-range pairs or tree walk."""
+    """pm, exact (one dimension), nufft, or treepm: the long-range mesh part plus short-range pairs or tree walk, or with part="long" or "short" one of them."""
     if method == "exact":
         if mesh.dim != 1:
             raise ValueError("exact forces are one-dimensional")
@@ -120,9 +128,15 @@ def force(particles: DataFrame, mesh: Mesh, method: str = "pm", **options) -> Da
         from ..operators.tree import short_range_force, tree_force
 
         alpha = options.get("alpha") or 1.25 * mesh.box / mesh.n
-        far = pm_force(particles, mesh, alpha=alpha, deconvolve=True)
-        theta = options.get("theta")
+        theta, part = options.get("theta"), options.get("part", "both")
+        if part not in ("both", "long", "short"):
+            raise ValueError("both, long or short")
+        if part == "long":
+            return pm_force(particles, mesh, alpha=alpha, deconvolve=True)
         near = tree_force(particles, mesh, alpha, theta) if theta else short_range_force(particles, mesh, alpha)
+        if part == "short":
+            return near
+        far = pm_force(particles, mesh, alpha=alpha, deconvolve=True)
         return far.unionByName(near).groupBy("id").agg(*[F.sum(f"a{x}").alias(f"a{x}") for x in AXES[: mesh.dim]])
     raise ValueError(method)
 

@@ -249,6 +249,13 @@ def particle_statements() -> dict[str, str]:
     g = f"({{k}} / ({kk('jx')} * {kk('jx')} + {kk('jy')} * {kk('jy')}) / (SELECT count(*) FROM part))"
     pull = lambda j: f"sum(-(im * cos{angle} + re * sin{angle}) * {g.format(k=kk(j))})"
     out["nufft_force_fine"] = f"WITH {PART}, {flat}, f AS (SELECT jx, jy, sum(cos{angle}) AS re, -sum(sin{angle}) AS im FROM part, flat WHERE jx <> 4 AND jy <> 4 AND jx + jy > 0 GROUP BY jx, jy) SELECT id, {q(pull('jx'), 3)} AS ax, {q(pull('jy'), 3)} AS ay FROM part, f GROUP BY id"
+    step = math.log(1e3) / 255
+    out["growth_eds"] = f"WITH t AS (SELECT CAST(i AS INTEGER) AS i, exp(ln(1e-3) + i * {step!r}) AS a FROM range(256) t(i)) SELECT i, {q('a', 5)} AS a, {q('-2 * (pow(a, -0.5) - 1)', 5)} AS superconft, {q('a', 5)} AS \"Dplus\", 1.0 AS \"Dplusda\", {q('-3 * a * a / 7', 5)} AS \"D2plus\", {q('a * a * a / 3', 5)} AS \"D3plusa\", {q('-10 * a * a * a / 21', 5)} AS \"D3plusb\", {q('a * a * a / 7', 5)} AS \"D3plusc\" FROM t WHERE a > 0.01"
+    out["lpt_exact"] = f"WITH {cells()} SELECT id, true AS psi, true AS velocity, true AS \"D\", true AS acceleration FROM cells"
+    out["nbody_1d"] = f"WITH w AS (SELECT i, i / 64.0 AS q FROM range(64) t(i)) SELECT i AS id, {q(f'0.5 / 0.8 * sin({TAU} * q) / {TAU}', 7)} AS sx, {q(f'sin({TAU} * q) / ({TAU} * 0.8)')} AS vx FROM w"
+    half, turn = h / 2, f"CAST({TAU} AS DOUBLE) / {L}"
+    out["sheet_resampled"] = f"WITH {cells()}, o AS (SELECT CAST(i AS INTEGER) AS shift, i // 4 * {half} AS a, i // 2 % 2 * {half} AS b, i % 2 * {half} AS c FROM range(8) t(i)) SELECT shift, id, {q(pmod(f'ix * {h} + a + 2 * sin((ix * {h} + a) * {turn})', L))} AS x, {q(pmod(f'iy * {h} + b + sin((iy * {h} + b) * {turn})', L))} AS y, {q(f'iz * {h} + c + 0.25')} AS z FROM cells, o"
+    out["waves_at_places"] = f"WITH {cells()} SELECT ix, iy, iz, {q(f'cos((ix * {h} + 3) * {turn}) + 0.5 * sin((ix * {h} + 3 + 2 * iy * {h}) * {turn}) + 0.25 * cos((iy * {h} + 3 * (iz * {h} + 5)) * {turn})')} AS v FROM cells"
     out["shift_linear"] = f"WITH {WAVES}, o AS (SELECT a, b, (CASE WHEN a = 1 THEN 3.0 / {h} ELSE 1 - 3.0 / {h} END) * (CASE WHEN b = 1 THEN 5.0 / {h} ELSE 1 - 5.0 / {h} END) AS w FROM range(2) s(a), range(2) t(b)) SELECT c.ix, c.iy, c.iz, {q('sum(o.w * waves.v)')} AS v FROM cells c, o, waves WHERE waves.ix = (c.ix + a) % 8 AND waves.iy = c.iy AND waves.iz = (c.iz + b) % 8 GROUP BY c.ix, c.iy, c.iz"
     out["value_at"] = f"WITH {WAVES} SELECT ix, iy, iz, {q('(CASE WHEN ix = 3 THEN 9.0 ELSE v END) + (CASE WHEN iz = 0 THEN 0.5 ELSE 0.0 END)')} AS v FROM waves"
     out["grid_units"] = f"WITH {PART} SELECT id, {q(f'x * {N / L!r}')} AS cell, {q(f'y * {h}')} AS place FROM part"

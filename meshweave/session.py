@@ -26,6 +26,7 @@ class Universe:
     potential: DataFrame | None = None
     orders: DataFrame | None = None
     order: int = 0
+    exact: bool = False
 
     def with_times(self, **grid) -> Universe:
         return replace(self, times=C.Times.of(self.cosmology, C.a_grid(**grid)))
@@ -39,8 +40,11 @@ class Universe:
     def spectrum_at(self, a: float) -> DataFrame:
         return self.pk.withColumn("pk", F.col("pk") * float(self.times.get("Dplus", a)) ** 2)
 
-    def with_initial(self, seed: int = 0, space: str = "real", noise: DataFrame | None = None, order: str | None = "stable", sphere: bool = False, deviation: float | None = None) -> Universe:
+    def with_initial(self, seed: int = 0, space: str = "real", noise: DataFrame | None = None, order: str | None = "stable", sphere: bool = False, deviation: float | None = None, places: DataFrame | None = None) -> Universe:
+        """A Gaussian potential; with places (id, x, y, z, one a cell) its values there, by a non-uniform transform."""
         phi = initial.gaussian_potential(self.spark, self.mesh, self.pk, seed, space, noise, order, sphere)
+        if places is not None:
+            phi = initial.evaluated_at(phi, self.mesh, places)
         if deviation is not None:
             field = fourier.backward(fourier.scaled(phi, -M.wave_square(self.mesh)), self.mesh)
             spread = field.agg(F.stddev_pop("v").alias("__s"))
@@ -59,8 +63,11 @@ class Universe:
             phi = fourier.potential(initial.validated(delta, self.mesh, (*self.mesh.cells, "v")), self.mesh)
         return replace(self, potential=fourier.forward(initial.validated(phi, self.mesh, (*self.mesh.cells, "v")), self.mesh))
 
-    def with_lpt(self, order: int = 1, transverse: bool = True) -> Universe:
-        return replace(self, orders=lpt.displacements(self.potential, self.mesh, order, transverse), order=order)
+    def with_lpt(self, order: int = 1, transverse: bool = True, exact: bool = False) -> Universe:
+        """exact: every part of the orders, to the third, grows by the cosmology's own growth functions."""
+        if exact and order > 3:
+            raise ValueError("exact growth goes to third order")
+        return replace(self, orders=lpt.displacements(self.potential, self.mesh, order, transverse, split=exact), order=order, exact=exact)
 
     def initial_density(self, a: float | None = None) -> DataFrame:
         """Density of the initial potential, grown linearly to a."""
@@ -68,22 +75,36 @@ class Universe:
         return fourier.backward(fourier.scaled(self.potential, -M.wave_square(self.mesh) * grow), self.mesh)
 
     def displacement(self, a: float, what: str = "psi") -> DataFrame:
-        return lpt.evaluated(self.orders, self.mesh, self.times, a, self.order, what)
+        return lpt.evaluated(self.orders, self.mesh, self.times, a, self.order, what, self.exact)
 
     def positions(self, a: float) -> DataFrame:
         return M.positions_from_displacement(self.displacement(a), self.mesh)
 
-    def nbody(self, a0: float, a1: float, steps: int | list[float] = 10, variable: str = "D", stepper: str = "bullfrog", method: str = "pm", grid: int | None = None, every: bool = False, **options) -> DataFrame:
-        """id, displacement and momentum P = a^2 dx/dt after the last step (or all), from the LPT state at a0."""
-        psi, pi = self.displacement(a0), self.displacement(a0, "D")
-        v = pi.select("id", *[F.col(f"s{x}").alias(f"v{x}") for x in self.mesh.places])
-        state = psi.join(v, "id")
-        if stepper == "symplectic":
-            state = nbody.momentum(state, self.mesh, self.times, a0)
+    def nbody(self, a0: float, a1: float, steps: int | list[float] = 10, variable: str = "D", stepper: str = "bullfrog", method: str = "pm", grid: int | None = None, every: bool = False, start: DataFrame | None = None, **options) -> DataFrame:
+        """id, displacement and momentum P = a^2 dx/dt after the last step (or all), from the LPT state at a0 (0 for bullfrog), or from start: id, places x and momenta px as P."""
+        places = self.mesh.places
+        if start is not None:
+            cells = M.index_columns(F.col("id"), self.mesh, self.mesh.cells)
+            at = initial.validated(start, self.mesh, ("id", *places, *[f"p{x}" for x in places]))
+            state = at.select("id", *[M.nearest_image(F.col(x) - c * (self.mesh.box / self.mesh.n), self.mesh.box).alias(f"s{x}") for x, c in zip(places, cells)], *[F.col(f"p{x}").alias(f"v{x}") for x in places])
+            if stepper != "symplectic":
+                state = nbody.momentum(state, self.mesh, self.times, a0, to="D")
+        else:
+            pi = self.displacement(a0, "D")
+            state = self.displacement(a0).join(pi.select("id", *[F.col(f"s{x}").alias(f"v{x}") for x in places]), "id")
+            if stepper == "symplectic":
+                state = nbody.momentum(state, self.mesh, self.times, a0)
         a = nbody.step_times(self.times, a0, a1, steps, variable)
         out = nbody.run(state, self.mesh, self.times, np.asarray(a), stepper, method, self.mesh.at(grid) if grid else None, every, **options)
         return out if stepper == "symplectic" or every else nbody.momentum(out, self.mesh, self.times, a1)
 
+    def acceleration(self, at: DataFrame, n: int | None = None, method: str = "pm", on_mesh: bool = False, **options) -> DataFrame:
+        """The force on particles at id, x ..., or with on_mesh the mesh method's field; part="long" or "short" picks one side of treepm."""
+        grid = self.mesh.at(n or self.mesh.n)
+        if on_mesh and method != "pm":
+            raise ValueError("only the mesh method has a field")
+        return nbody.force_field(at, grid, **options) if on_mesh else nbody.force(at, grid, method, **options)
+
     def propagator(self, a: float, **options) -> tuple[DataFrame, float]:
         phi = fourier.backward(self.potential, self.mesh)
         return ppt.propagate(phi, self.mesh, float(self.times.get("Dplus", a)), **options)

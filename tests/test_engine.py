@@ -279,3 +279,32 @@ def test_reverse_derivative_of_a_run(spark):
     want = (value(start + eps * direction) - value(start - eps * direction)) / (2 * eps)
     got = float((back.toPandas().sort_values("id")[["gsx", "gsy", "gvx", "gvy"]].to_numpy() * direction).sum())
     assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_bullfrog_from_zero_and_from_momenta(spark):
+    line, times = M.Mesh(1, 64, 1.0), C.Times.of(C.EDS)
+    k, x = 2 * np.pi, np.arange(64) / 64
+    want = 0.5 / 0.8 * np.sin(k * x) / k
+    first = M.lagrangian_grid(spark, line).select("id", F.lit(0.0).alias("sx"), (F.sin(F.col("qx") * k) / (k * 0.8)).alias("vx"))
+    got = nbody.run(first, line, times, nbody.step_times(times, 0.0, 0.5, 3), "bullfrog", "exact").orderBy("id").toPandas()
+    assert np.allclose(got.sx, want, atol=1e-9)
+    wave = initial.plane_wave(times, line, 0.05, a_cross=0.8)
+    start = M.lagrangian_grid(spark, line).select("id", M.wrap(wave["x"], 1.0).alias("x"), wave["px"].alias("px"))
+    got = Universe(spark, line, C.EDS, times).nbody(0.05, 0.5, 3, method="exact", start=start).orderBy("id").toPandas()
+    assert np.allclose(got.sx, want, atol=1e-9)
+    with pytest.raises(ValueError):
+        nbody.coefficients(times, np.array([0.0, 0.5]), "fastpm")
+
+
+def test_parts_of_a_force(spark, frame):
+    u = Universe(spark, MESH)
+    long, short, both = (u.acceleration(frame, method="treepm", alpha=12.0, part=p).orderBy("id").toPandas() for p in ("long", "short", "both"))
+    assert np.allclose(both.ax, long.ax + short.ax)
+    mesh = u.acceleration(frame, on_mesh=True)
+    assert mesh.count() == MESH.size and np.allclose(P.gather(mesh, frame, MESH, 2, ("ax",)).orderBy("id").toPandas().ax, u.acceleration(frame).orderBy("id").toPandas().ax)
+
+
+def test_forces_generate_small_code(spark, frame):
+    plan = P.spread(frame, MESH, 4, slopes=True)._jdf.queryExecution()
+    sizes = [s.split(" ")[0] for s in spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan.executedPlan()).split("maxMethodCodeSize:")[1:]]
+    assert sizes and all(int(s.strip(";)")) < 8000 for s in sizes)
