@@ -112,7 +112,9 @@ def displacements(potential: DataFrame, mesh: Mesh, order: int = 1, transverse:
             real3 = real
         names = list(columns)
         sources = transform(real3.select(*large.cells, *[x for c in names for x in (columns[c].alias(c), F.lit(0.0).alias(f"_{c}"))]), large, tuple((c, f"_{c}") for c in names), method=_method(large))
-        s = crop(sources, mesh, large, tuple(x for c in names for x in (c, f"_{c}"))).checkpoint()
+        s = crop(sources, mesh, large, tuple(x for c in names for x in (c, f"_{c}")))
+        if split and n == 3:
+            s = s.checkpoint()
         zero, straight = F.lit(0.0), [c for c in ("L", "A") if c in columns]
         turn = [(F.col(f"T{k}"), F.col(f"_T{k}")) for k in range(len(turning))]
         still = [(zero, zero)] * len(turning)
