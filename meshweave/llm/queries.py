@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, packing, quality, topk, toxicity, urls, warc
+from . import chat, decontam, jaccard, lines, packing, quality, repair, topk, toxicity, urls, warc
+from .shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns of which one in four is dropped, emptied, robbed of its full stops, repeated or said by the user, told from its place."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key.cast("binary")) % 20).alias("harm")).where("harm <> 0")
+    rows = rows.withColumn("role", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")))
+    rows = rows.withColumn("text", F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    whole, divided, held = repair.repair(damaged(turns))
+    found, _ = written(repair.summaries(whole, divided), "repair-summaries")
+    held.drop()
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    every = turns.select("conv_id").distinct()
+    told = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    return told.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def _strength(name: str, units: str) -> str:
     return f"""{name} AS (SELECT coalesce(CASE WHEN rho > 0 THEN greatest(2.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m, mean FROM (
         SELECT (br - p * B - (k - 1) * p * (1 - p)) / nullif(p * (1 - p) * (N - nn / N - (k - 1)), 0) AS rho, (B + 1.0) / (N + 2.0) AS mean FROM (
@@ -134,7 +156,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op5_lines": op5_lines, "op6_toxicity": op6_toxicity, "op7_jaccard": op7_jaccard, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality}
+    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op5_lines": op5_lines, "op6_toxicity": op6_toxicity, "op7_jaccard": op7_jaccard, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality, "op12_repair": op12_repair}
 
 
 def oracle_sql() -> dict[str, str]:
