@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, packing, quality, repair, topk, toxicity, urls, warc
+from . import chat, decontam, jaccard, lines, packing, quality, repair, topk, toxicity, trie, urls, warc
 from .shared import written
 
 
@@ -88,6 +88,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation begins with up to three turns of the one whose number ends its block of twenty."""
+    fork = lambda conv: (conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4)
+    return trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), fork)[0]
+
+
 def _strength(name: str, units: str) -> str:
     return f"""{name} AS (SELECT coalesce(CASE WHEN rho > 0 THEN greatest(2.0, least(1000.0, 1 / rho - 1)) END, 1000.0) AS m, mean FROM (
         SELECT (br - p * B - (k - 1) * p * (1 - p)) / nullif(p * (1 - p) * (N - nn / N - (k - 1)), 0) AS rho, (B + 1.0) / (N + 2.0) AS mean FROM (
@@ -156,7 +162,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op5_lines": op5_lines, "op6_toxicity": op6_toxicity, "op7_jaccard": op7_jaccard, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality, "op12_repair": op12_repair}
+    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op5_lines": op5_lines, "op6_toxicity": op6_toxicity, "op7_jaccard": op7_jaccard, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality, "op12_repair": op12_repair, "op13_trie": op13_trie}
 
 
 def oracle_sql() -> dict[str, str]:
