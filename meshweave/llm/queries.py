@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, packing, quality, repair, topk, toxicity, trie, urls, warc
+from . import chat, decontam, jaccard, lines, packing, quality, repair, secrets, topk, toxicity, trie, urls, warc
 from .shared import written
 
 
@@ -67,6 +67,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+    base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
+    shown = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, secrets.KINDS)), x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    of = lambda rank: F.size(F.filter("spans", lambda x: x["rank"] == rank)).cast("long")
+    counts = [of(rank).alias(f"n_{kind}") for rank, (kind, _) in enumerate(secrets.BASE)]
+    return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Turns of which one in four is dropped, emptied, robbed of its full stops, repeated or said by the user, told from its place."""
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
@@ -162,7 +171,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op5_lines": op5_lines, "op6_toxicity": op6_toxicity, "op7_jaccard": op7_jaccard, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality, "op12_repair": op12_repair, "op13_trie": op13_trie}
+    return {"op1_packing": op1_packing, "op2_topk": op2_topk, "op3_urls": op3_urls, "op4_decontam": op4_decontam, "op5_lines": op5_lines, "op6_toxicity": op6_toxicity, "op7_jaccard": op7_jaccard, "op8_chat": op8_chat, "op9_warc": op9_warc, "op10_quality": op10_quality, "op11_secrets": op11_secrets, "op12_repair": op12_repair, "op13_trie": op13_trie}
 
 
 def oracle_sql() -> dict[str, str]:
