@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, packing, quality, repair, secrets, topk, toxicity, trie, urls, warc
+from . import chat, decontam, jaccard, lines, oracle, packing, quality, repair, secrets, topk, toxicity, trie, urls, warc
 from .shared import written
 
 
@@ -175,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, **oracle.SQL}
