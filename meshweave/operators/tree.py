@@ -1,41 +1,21 @@
-"""Short-range forces: Morton keys, multipoles by prefix, neighbour pairs and a tree walk."""
+"""Short-range forces: multipoles by Morton prefix, neighbour pairs and a tree walk, by groups of bounded size."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mesh import Mesh, nearest_image, to_cells, wrap
+from .mesh import Mesh, wrap
+from .octree import GROUP, Nodes, apart, grouped, within
+from .tree_keys import keyed, morton, unmorton
 
-
-def morton(cells: list[Column], bits: int) -> Column:
-    """Interleaved bits of integer coordinates; the first axis has the highest bit of each group."""
-    d, key = len(cells), F.lit(0).cast("long")
-    for b in range(bits):
-        for a, c in enumerate(cells):
-            key = key.bitwiseOR(F.shiftleft(F.shiftright(c.cast("long"), b).bitwiseAND(F.lit(1).cast("long")), d * b + d - 1 - a))
-    return key
-
-
-def unmorton(key: Column, dim: int, bits: int) -> list[Column]:
-    out = []
-    for a in range(dim):
-        c = F.lit(0).cast("long")
-        for b in range(bits):
-            c = c.bitwiseOR(F.shiftleft(F.shiftright(key, dim * b + dim - 1 - a).bitwiseAND(F.lit(1).cast("long")), b))
-        out.append(c)
-    return out
-
-
-def keyed(particles: DataFrame, mesh: Mesh, bits: int = 10) -> DataFrame:
-    """Particles with the Morton key of their cell on a grid of 2^bits an axis."""
-    fine = Mesh(mesh.dim, 1 << bits, mesh.box)
-    cells = [F.least(F.floor(to_cells(F.col(x), fine)), F.lit(fine.n - 1)) for x in mesh.places]
-    return particles.withColumn("morton", morton(cells, bits))
+__all__ = ["keyed", "morton", "multipoles", "neighbour_pairs", "short_range_force", "sorted_by_key", "tree_force", "unmorton"]
 
 
 def sorted_by_key(particles: DataFrame, ranges: int) -> DataFrame:
@@ -58,21 +38,63 @@ def multipoles(particles: DataFrame, mesh: Mesh, bits: int, levels: tuple[int, .
     return up.groupBy(F.col("n").cast("int").alias("level"), "prefix").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def neighbour_pairs(particles: DataFrame, mesh: Mesh, radius: float) -> DataFrame:
-    """a, b (a < b) and r of all pairs nearer than a radius, by joining each cell with those around it."""
-    n = max(1, int(mesh.box / radius))
-    if n < 3:
-        n = 1
-    here = particles.select("id", *[wrap(F.col(x), mesh.box).alias(x) for x in mesh.places])
-    cell = lambda x: F.least(F.floor(F.col(x) * (n / mesh.box)), F.lit(n - 1)).cast("int")
-    left = here.select(F.col("id").alias("a"), *[F.col(x).alias(f"a{x}") for x in mesh.places], *[cell(x).alias(f"c{x}") for x in mesh.places])
-    right = here.select(F.col("id").alias("b"), *[F.col(x).alias(f"b{x}") for x in mesh.places], *[cell(x).alias(f"c{x}") for x in mesh.places])
-    for x in mesh.places if n > 1 else []:
-        right = right.withColumn(f"c{x}", F.explode(F.array(*[F.pmod(F.col(f"c{x}") + s, F.lit(n)).cast("int") for s in (-1, 0, 1)])))
-    both = left.join(right, [f"c{x}" for x in mesh.places]).where(F.col("a") < F.col("b"))
-    parts = [nearest_image(F.col(f"a{x}") - F.col(f"b{x}"), mesh.box) for x in mesh.places]
-    r = F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
-    return both.select("a", "b", r.alias("r"), *[p.alias(f"d{x}") for p, x in zip(parts, mesh.places)]).where(F.col("r") < radius)
+def points_of(column: pa.ListArray, row: int, places: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, keys and places of one group's particles in the order of their keys."""
+    struct = column[row].values
+    keys = struct.field("morton").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    at = np.stack([struct.field(x).to_numpy() for x in places], axis=1)
+    return struct.field("id").to_numpy()[order], keys[order], at[order]
+
+
+def neighbour_pairs(particles: DataFrame, mesh: Mesh, radius: float, most: int = 512, bits: int | None = None) -> DataFrame:
+    """a, b (a < b), r and the shortest differences dx, dy, dz of all pairs nearer than a radius.
+
+    Particles meet in groups of at most so many, whatever their places; two groups within the radius are one task's
+    small matrix of distances.
+    """
+    places, bits = mesh.places, bits or (12 if mesh.dim == 3 else 16)
+    groups, packed = grouped(particles, mesh, bits, most)
+    packed = packed.drop("n").checkpoint()
+    other = packed.select(*[F.col(c).alias(f"o_{c}") for c in GROUP], F.col("points").alias("others"))
+    pairs = within(groups, mesh, radius, bits).where(F.struct("level", "prefix", "part") <= F.struct("o_level", "o_prefix", "o_part"))
+    met = pairs.join(packed, GROUP).join(other, [f"o_{c}" for c in GROUP]).select("points", "others", (F.struct(*GROUP) == F.struct(*[f"o_{c}" for c in GROUP])).alias("same"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("r", pa.float64()), *[(f"d{x}", pa.float64()) for x in places]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a_id, _, a_at = points_of(batch.column(0), row, places)
+                b_id, _, b_at = points_of(batch.column(1), row, places)
+                d = np.mod(a_at[:, None, :] - b_at[None, :, :] + mesh.box / 2, mesh.box) - mesh.box / 2
+                r = np.sqrt((d * d).sum(axis=2))
+                near = r < radius
+                if batch.column(2)[row].as_py():
+                    near &= a_id[:, None] < b_id[None, :]
+                i, j = np.nonzero(near)
+                turn = a_id[i] > b_id[j]
+                sign = np.where(turn, -1.0, 1.0)
+                first, second = np.where(turn, b_id[j], a_id[i]), np.where(turn, a_id[i], b_id[j])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (first, second, r[i, j], *(d[i, j, k] * sign for k in range(len(places))))], schema=schema)
+
+    return met.mapInArrow(run, "a long, b long, r double, " + ", ".join(f"d{x} double" for x in places))
+
+
+_STEP, _FAR = 1 / 512, 9.0
+_table: list[np.ndarray] = []
+
+
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of numbers not below 0: cubic Hermite steps through a table of exact values and slopes, to about 1e-13."""
+    if not _table:
+        at = np.arange(int(_FAR / _STEP) + 2) * _STEP
+        _table.extend([np.array([math.erfc(v) for v in at]), -2 / math.sqrt(math.pi) * np.exp(-at * at) * _STEP])
+    values, slopes = _table
+    x = np.minimum(x, _FAR)
+    i = (x / _STEP).astype(np.int64)
+    t = x / _STEP - i
+    s = 1 - t
+    return s * s * (1 + 2 * t) * values[i] + t * t * (3 - 2 * t) * values[i + 1] + s * s * t * slopes[i] - t * t * s * slopes[i + 1]
 
 
 def _shape(r: np.ndarray, alpha: float, dim: int) -> np.ndarray:
@@ -80,80 +102,114 @@ def _shape(r: np.ndarray, alpha: float, dim: int) -> np.ndarray:
     if dim == 2:
         return np.exp(-(r**2) / (2 * alpha**2))
     x = r / (math.sqrt(2) * alpha)
-    return _erfc(x) + math.sqrt(2 / math.pi) * r / alpha * np.exp(-(x**2))
-
-
-_erfc = np.vectorize(math.erfc, otypes=[float])
+    return erfc(x) + math.sqrt(2 / math.pi) * r / alpha * np.exp(-(x**2))
 
 
 def short_range_force(particles: DataFrame, mesh: Mesh, alpha: float, cut: float = 6.0) -> DataFrame:
     """id, ax, ay, az: direct sum over pairs within cut * alpha, of unit total mean density."""
-    d = mesh.dim
-    pairs = neighbour_pairs(particles, mesh, min(cut * alpha, mesh.box / 2)).where("r > 0")
-
-    @F.pandas_udf("double")
-    def strength(r: pd.Series) -> pd.Series:
-        return pd.Series(_shape(r.to_numpy(), alpha, d) / r.to_numpy() ** d)
-
-    f = pairs.withColumn("f", strength("r"))
-    both = f.select(F.col("a").alias("id"), *[(F.col(f"d{x}") * F.col("f")).alias(f"a{x}") for x in mesh.places]).unionByName(f.select(F.col("b").alias("id"), *[(-F.col(f"d{x}") * F.col("f")).alias(f"a{x}") for x in mesh.places]))
-    count = particles.count()
-    unit = -(mesh.box**d) / (count * (4 * math.pi if d == 3 else 2 * math.pi))
-    total = both.groupBy("id").agg(*[(F.sum(f"a{x}") * unit).alias(f"a{x}") for x in mesh.places])
-    return particles.select("id").join(total, "id", "left").select("id", *[F.coalesce(f"a{x}", F.lit(0.0)).alias(f"a{x}") for x in mesh.places])
-
-
-def tree_force(particles: DataFrame, mesh: Mesh, alpha: float, theta: float = 0.5, bits: int = 5, leaf: int = 32, cut: float = 6.0, most_nodes: int = 2_000_000) -> DataFrame:
-    """As short_range_force, with distant nodes as monopoles at their centre of mass when size < theta * distance.
-
-    The nodes, and the particles of the leaves near each task's own, are needed everywhere, so the tree is broadcast
-    only within most_nodes; a larger one raises, and the pair sum serves.
+    return tree_force(particles, mesh, alpha, 0.0, cut=cut)
+
+
+def pulled(at: np.ndarray, source: np.ndarray, mass: np.ndarray | float, mesh: Mesh, alpha: float, reach: float) -> np.ndarray:
+    """Sum over sources of mass times difference times the pair force, at every place."""
+    d = np.mod(at[:, None, :] - source[None, :, :] + mesh.box / 2, mesh.box) - mesh.box / 2
+    r = np.sqrt((d * d).sum(axis=2))
+    i, j = np.nonzero((r > 0) & (r < reach))
+    near = r[i, j]
+    weight = (mass[j] if isinstance(mass, np.ndarray) else mass) * _shape(near, alpha, mesh.dim) / near**mesh.dim
+    return np.stack([np.bincount(i, weight * d[i, j, k], len(at)) for k in range(mesh.dim)], axis=1)
+
+
+def needed(nodes: Nodes, middles: np.ndarray, halves: np.ndarray, mesh: Mesh, theta: float, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which nodes serve which boxes: box, node and whether the node serves as a mass at its centre (else it is a leaf of single particles). A node serves if it is smaller than theta times its distance from the whole box."""
+    boxes, found = np.arange(len(middles)), ([], [], [])
+    at = np.zeros(len(middles), np.int64)
+    while len(boxes):
+        away = apart(middles[boxes], nodes.middle[at], mesh.box)
+        gap = np.maximum(away - halves[boxes][:, None] - nodes.side[at][:, None] / 2, 0)
+        inside = (gap * gap).sum(axis=1) <= reach**2
+        to_middle = np.maximum(away - halves[boxes][:, None], 0)
+        far = nodes.side[at] < theta * np.sqrt((to_middle * to_middle).sum(axis=1))
+        stop = inside & (far | nodes.leaf[at])
+        for out, v in zip(found, (boxes[stop], at[stop], far[stop]), strict=True):
+            out.append(v)
+        go = inside & ~stop
+        count = nodes.children[at[go]]
+        boxes = np.repeat(boxes[go], count)
+        at = np.repeat(nodes.child[at[go]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in found)
+
+
+def tree_force(particles: DataFrame, mesh: Mesh, alpha: float, theta: float = 0.5, bits: int | None = None, leaf: int = 32, cut: float = 6.0, most: int = 2048) -> DataFrame:
+    """id, ax, ay, az: the short-range force within cut * alpha, with distant nodes as masses at their centre when side < theta * distance.
+
+    Each group of particles walks its own tree once for every group within reach and sends it what that one needs: masses
+    of far nodes, and leaves with their particles where they are near. Then each group sums what it was sent, a leaf of
+    its own at a time; a leaf that was sent for the whole group is still one mass for those of its leaves that are far
+    enough. theta = 0 sums all pairs. Nothing passes the driver and no task holds more than a group and what it needs.
     """
     d, places = mesh.dim, mesh.places
-    nodes = multipoles(particles, mesh, bits)
-    count = nodes.count()
-    total = particles.count()
-    if count + total > most_nodes:
-        raise ValueError(f"{count + total} nodes and particles; use short_range_force")
-    table = {(int(r["level"]), int(r["prefix"])): (r["m"], np.array([r[f"d{x}"] / r["m"] for x in places])) for r in nodes.collect()}
-    inside: dict[int, list[np.ndarray]] = {}
-    for r in keyed(particles, mesh, bits).select("morton", *[wrap(F.col(x), mesh.box).alias(x) for x in places]).collect():
-        inside.setdefault(int(r["morton"]), []).append(np.array([r[x] for x in places]))
-    points = {k: np.array(v) for k, v in inside.items()}
-    unit = -(mesh.box**d) / (total * (4 * math.pi if d == 3 else 2 * math.pi))
-    shared = particles.sparkSession.sparkContext.broadcast((table, points))
-    box, reach = mesh.box, min(cut * alpha, mesh.box / 2)
-
-    def below(level: int, prefix: int, points: dict[int, np.ndarray]) -> np.ndarray:
-        span = d * (bits - level)
-        return np.concatenate([points[k] for k in range(prefix << span, (prefix + 1) << span) if k in points])
-
-    def run(parts):
-        table, points = shared.value
-        for pdf in parts:
-            rows = []
-            for at in np.mod(pdf[places].to_numpy(float), box):
-                force, stack = np.zeros(d), [(0, 0)]
-                while stack:
-                    level, prefix = stack.pop()
-                    mass, centre = table[(level, prefix)]
-                    size = box / (1 << level)
-                    away = np.mod(at - centre + box / 2, box) - box / 2
-                    r = float(np.sqrt((away**2).sum()))
-                    if r - size * math.sqrt(d) > reach:
-                        continue
-                    if size < theta * r and r > 0:
-                        force += mass * away * _shape(np.array([r]), alpha, d)[0] / r**d * (r < reach)
-                    elif mass <= leaf or level == bits:
-                        dx = np.mod(at - below(level, prefix, points) + box / 2, box) - box / 2
-                        rr = np.sqrt((dx**2).sum(1))
-                        near = (rr > 0) & (rr < reach)
-                        force += (dx[near] * (_shape(rr[near], alpha, d) / rr[near] ** d)[:, None]).sum(0)
-                    else:
-                        stack += [(level + 1, p) for p in range(prefix << d, (prefix + 1) << d) if (level + 1, p) in table]
-                rows.append(force * unit)
-            yield pd.DataFrame({"id": pdf["id"], **{f"a{x}": [f[n] for f in rows] for n, x in enumerate(places)}})
-
-    return particles.select("id", *places).mapInPandas(run, "id long, " + ", ".join(f"a{x} double" for x in places))
-
-
+    bits, reach = bits or (12 if d == 3 else 16), min(cut * alpha, mesh.box / 2)
+    groups, packed = grouped(particles, mesh, bits, most)
+    packed = packed.checkpoint()
+    to = within(groups, mesh, reach, bits).groupBy(*[F.col(f"o_{c}").alias(c) for c in GROUP]).agg(F.collect_list(F.struct(*[F.col(c) for c in GROUP])).alias("targets"))
+    sources = packed.join(to, GROUP).select("level", "points", "targets")
+    sent = pa.schema([("level", pa.int32()), ("prefix", pa.int64()), ("part", pa.int32()), ("far", pa.list_(pa.float64())), ("leaves", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int64())), ("single", pa.list_(pa.float64()))])
+
+    def export(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                _, keys, at = points_of(batch.column(1), row, places)
+                nodes = Nodes(keys, at, batch.column(0)[row].as_py(), mesh, bits, leaf)
+                targets = batch.column(2)[row].values
+                level, prefix = targets.field("level").to_numpy(), targets.field("prefix").to_numpy()
+                side = mesh.box / 2.0**level
+                middles = (np.stack([Nodes._axis(prefix, d, a, bits) for a in range(d)], axis=1) + 0.5) * side[:, None]
+                boxes, which, far = needed(nodes, middles, side / 2, mesh, theta, reach)
+                order = np.argsort(boxes, kind="stable")
+                boxes, which, far = boxes[order], which[order], far[order]
+                cuts = np.searchsorted(boxes, np.arange(len(level) + 1))
+                rows = []
+                for t in range(len(level)):
+                    w, f = which[cuts[t] : cuts[t + 1]], far[cuts[t] : cuts[t + 1]].astype(bool)
+                    masses, leaves = w[f], w[~f]
+                    if len(w):
+                        single = np.concatenate([at[nodes.lo[n] : nodes.hi[n]] for n in leaves]) if len(leaves) else np.zeros((0, d))
+                        told = np.concatenate([nodes.middle[leaves], nodes.side[leaves][:, None], nodes.centre[leaves]], axis=1)
+                        rows.append((t, np.concatenate([nodes.mass[masses][:, None], nodes.centre[masses]], axis=1).ravel(), told.ravel(), (nodes.hi - nodes.lo)[leaves], single.ravel()))
+                if rows:
+                    mine = pa.array([r[0] for r in rows])
+                    yield pa.RecordBatch.from_arrays([*(targets.field(c).take(mine) for c in GROUP), *(pa.array([r[k] for r in rows], sent.field(k + 2).type) for k in range(1, 5))], schema=sent)
+
+    exports = sources.mapInArrow(export, "level int, prefix long, part int, far array<double>, leaves array<double>, sizes array<long>, single array<double>")
+    unit = -(mesh.box**d) / (4 * math.pi if d == 3 else 2 * math.pi)
+
+    def total(key, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        struct = pa.array(own["points"].iloc[0]) if len(own) else None
+        if struct is None:
+            return pd.DataFrame({"id": [], **{f"a{x}": [] for x in places}})
+        ids, keys = struct.field("id").to_numpy(), struct.field("morton").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        ids, keys, at = ids[order], keys[order], np.stack([struct.field(x).to_numpy() for x in places], axis=1)[order]
+        joined = lambda c, width: np.concatenate([np.asarray(v, float).reshape(-1, width) for v in got[c]]) if len(got) else np.zeros((0, width))
+        far, leaves, single = joined("far", d + 1), joined("leaves", 2 * d + 1), joined("single", d)
+        sizes = np.concatenate([np.asarray(v, np.int64) for v in got["sizes"]]) if len(got) else np.zeros(0, np.int64)
+        starts = np.cumsum(sizes) - sizes
+        middle, side, centre = leaves[:, :d], leaves[:, d], leaves[:, d + 1 :]
+        nodes, out = Nodes(keys, at, int(key[0]), mesh, bits, leaf), np.zeros_like(at)
+        for n in np.flatnonzero(nodes.leaf):
+            here = slice(nodes.lo[n], nodes.hi[n])
+            low, high = at[here].min(axis=0), at[here].max(axis=0)
+            away, half = apart((low + high) / 2, middle, mesh.box), (high - low) / 2
+            gap = np.maximum(away - half - side[:, None] / 2, 0)
+            inside = (gap * gap).sum(axis=1) <= reach**2
+            to_middle = np.maximum(away - half, 0)
+            whole = side < theta * np.sqrt((to_middle * to_middle).sum(axis=1))
+            masses, near = inside & whole, np.flatnonzero(inside & ~whole)
+            took = np.repeat(starts[near], sizes[near]) + np.arange(sizes[near].sum()) - np.repeat(np.cumsum(sizes[near]) - sizes[near], sizes[near])
+            out[here] = pulled(at[here], np.concatenate([far[:, 1:], centre[masses], single[took]]), np.concatenate([far[:, 0], sizes[masses].astype(float), np.ones(len(took))]), mesh, alpha, reach)
+        return pd.DataFrame({"id": ids, **{f"a{x}": out[:, k] for k, x in enumerate(places)}})
+
+    forces = packed.groupBy(*GROUP).cogroup(exports.groupBy(*GROUP)).applyInPandas(lambda key, own, got: total(key, own, got), "id long, " + ", ".join(f"a{x} double" for x in places))
+    count = packed.agg(F.sum("n").alias("__n"))
+    return forces.join(F.broadcast(count), how="cross").select("id", *[(F.col(f"a{x}") * unit / F.col("__n")).alias(f"a{x}") for x in places])

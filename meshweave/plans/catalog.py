@@ -271,6 +271,7 @@ def multipoles(spark, d):
 
 
 def short_range_pairs(spark, d):
+    nbody_dir(spark)
     return tree.neighbour_pairs(fixtures.particles(spark, d), MESH, 2.0).select("a", "b", q("r").alias("r"))
 
 
@@ -388,8 +389,25 @@ def pm_force(spark, d):
 
 
 def tree_pm(spark, d):
+    """Mesh and tree; at this alpha no node within reach is far enough to serve as one mass, so the walk is the pair sum."""
+    nbody_dir(spark)
+    p = fixtures.particles(spark, d)
+    return nbody.force(p, MESH, "treepm", alpha=1.0, theta=0.5).select("id", *[q(c, 3).alias(c) for c in ("ax", "ay", "az")])
+
+
+def short_range_force(spark, d):
+    nbody_dir(spark)
+    return tree.short_range_force(fixtures.particles(spark, d), MESH, 1.5).select("id", *[q(c, 3).alias(c) for c in ("ax", "ay", "az")])
+
+
+def tree_walk(spark, d):
+    """Whether the walk with an opening angle is within a thousandth of the typical force of the pair sum, along each axis."""
+    nbody_dir(spark)
     p = fixtures.particles(spark, d)
-    return nbody.force(p, MESH, "treepm", alpha=1.0, theta=0.5).select("id", *[q(c, 4).alias(c) for c in ("ax", "ay", "az")])
+    near = tree.tree_force(p, MESH, 4.0, 0.5)
+    exact = tree.tree_force(p, MESH, 4.0, 0.0).select("id", *[F.col(f"a{x}").alias(f"e{x}") for x in "xyz"]).checkpoint()
+    typical = exact.agg(F.sqrt(F.avg(sum((F.col(f"e{x}") * F.col(f"e{x}") for x in "yz"), F.col("ex") * F.col("ex")))).alias("typical"))
+    return near.join(exact, "id").join(F.broadcast(typical), how="cross").select("id", *[(F.abs(F.col(f"a{x}") - F.col(f"e{x}")) < 1e-3 * F.col("typical")).alias(f"a{x}") for x in "xyz"])
 
 
 def _potential(spark: SparkSession, mesh: M.Mesh) -> DataFrame:
@@ -501,7 +519,7 @@ def growth_table(spark, d):
 
 def queries() -> dict[str, Query]:
     named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
-    free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
+    free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, short_range_force, tree_walk, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}
     out |= {f"gather_{n}": gather(k) for n, k in (("cic", 2), ("tsc", 3))}

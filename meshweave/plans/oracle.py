@@ -213,6 +213,21 @@ def moves(order: int = 3) -> tuple[list[str], str]:
     return [f"d{x}" for x in "xyz"], f"move AS (SELECT s.*, {pick}, {', '.join(f'{e} AS d{x}' for e, x in zip(grads, 'xyz'))} FROM (SELECT *, {g} FROM moving) s, {froms})"
 
 
+def pair_force(alpha: float) -> str:
+    """CTE sr: the short-range force as a sum over pairs within six alpha; the error function by its series."""
+    d = ", ".join(f"{min_image(f'a.{x} - b.{x}')} AS d{x}" for x in "xyz")
+    x, r2 = f"(r / {math.sqrt(2) * alpha!r})", "(dx * dx + dy * dy + dz * dz)"
+    term = f"acc.t * 2 * {x} * {x} / (2 * n + 1)"
+    series = f"list_reduce(range(1, 72), lambda acc, n: {{'t': {term}, 's': acc.s + {term}}}, {{'t': {x}, 's': {x}}}).s"
+    shape = f"1 - {2 / math.sqrt(math.pi)!r} * exp(-{x} * {x}) * {series} + {math.sqrt(2 / math.pi) / alpha!r} * r * exp(-{x} * {x})"
+    unit = -(L**3) / (4 * math.pi)
+    sums = ", ".join(f"sum(f * d{c}) * {unit!r} / (SELECT count(*) FROM part) AS a{c}" for c in "xyz")
+    return (
+        f"pr AS (SELECT a, b, dx, dy, dz, r, ({shape}) / (r * r * r) AS f FROM (SELECT *, sqrt({r2}) AS r FROM (SELECT a.id AS a, b.id AS b, {d} FROM part a JOIN part b ON a.id < b.id)) WHERE r > 0 AND r < {6 * alpha!r}), "
+        f"sr AS (SELECT id, {sums} FROM (SELECT a AS id, f, dx, dy, dz FROM pr UNION ALL SELECT b, f, -dx, -dy, -dz FROM pr) GROUP BY id)"
+    )
+
+
 def particle_statements() -> dict[str, str]:
     """Forces, non-uniform transforms by definition, and the statistics of three points as sums over pairs of modes."""
     h, out = L / N, {}
@@ -233,6 +248,14 @@ def particle_statements() -> dict[str, str]:
         k = f"({gradient('j' + x, 0)}) / nullif({K2}, 0) * {' * '.join(sinc(j, 6) for j in ('jx', 'jy', 'jz'))}"
         ctes += [f"g{x} AS (SELECT jx, jy, jz, coalesce(-im * {k}, 0.0) AS re, coalesce(re * {k}, 0.0) AS im FROM f)", dft(f"g{x}", f"back_{x}", inverse=True)]
     out["pm_force"] = f"WITH {PART}, {cells()}, {density('part', 3, 'rho')}, {dft('rho', 'f')}, {', '.join(ctes)}, {stencil('part', 3, out='near')} SELECT id, {', '.join(q(f'sum(w * back_{x}.re)') + f' AS a{x}' for x in axes)} FROM near JOIN back_x USING (ix, iy, iz) JOIN back_y USING (ix, iy, iz) JOIN back_z USING (ix, iy, iz) GROUP BY id"
+    for x in axes:
+        k = f"({gradient('j' + x, 0)}) / nullif({K2}, 0) * {' * '.join(sinc(j, 4) for j in ('jx', 'jy', 'jz'))} * exp(-0.5 * {K2})"
+        ctes += [f"l{x} AS (SELECT jx, jy, jz, coalesce(-im * {k}, 0.0) AS re, coalesce(re * {k}, 0.0) AS im FROM f)", dft(f"l{x}", f"far_{x}", inverse=True)]
+    far = f"{cells()}, {density('part', 2, 'rho')}, {dft('rho', 'f')}, {', '.join(ctes[6:])}, {stencil('part', 2, out='near')}, far AS (SELECT id, {', '.join(f'sum(w * far_{x}.re) AS a{x}' for x in axes)} FROM near JOIN far_x USING (ix, iy, iz) JOIN far_y USING (ix, iy, iz) JOIN far_z USING (ix, iy, iz) GROUP BY id)"
+    both = ", ".join(q(f"far.a{x} + coalesce(sr.a{x}, 0)", 3) + f" AS a{x}" for x in axes)
+    out["tree_pm"] = f"WITH {PART}, {far}, {pair_force(1.0)} SELECT id, {both} FROM far LEFT JOIN sr USING (id)"
+    out["short_range_force"] = f"WITH {PART}, {pair_force(1.5)} SELECT id, {', '.join(q(f'coalesce(sr.a{x}, 0)', 3) + f' AS a{x}' for x in axes)} FROM part LEFT JOIN sr USING (id)"
+    out["tree_walk"] = f"WITH {PART} SELECT id, true AS ax, true AS ay, true AS az FROM part"
     edges = [2 * math.pi / L * (1 + n * (N / 3 - 1) / 2) for n in range(3)]
     shell = f"CASE WHEN k >= {edges[0]!r} AND k < {edges[1]!r} THEN 0 WHEN k >= {edges[1]!r} AND k < {edges[2]!r} THEN 1 END"
     product = "a.re * (b.re * c.re - b.im * c.im) - a.im * (b.re * c.im + b.im * c.re)"
