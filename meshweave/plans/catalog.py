@@ -12,7 +12,7 @@ from ..functions import cosmology as C
 from ..operators import fourier as X
 from ..operators import mesh as M
 from ..operators import nufft, particles, statistics, tree
-from ..sources import files, fixtures, ranlux
+from ..sources import files, fixtures, gadget, ranlux
 from . import initial, lpt, nbody, oracle, ppt, sheet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,6 +280,38 @@ def gadget_units(spark, d):
     return out.select("id", q("x").alias("x"), q("vx").alias("vx"), q("vz").alias("vz"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share."""
+    import uuid
+
+    nbody_dir(spark)
+    sc = spark.sparkContext
+    return f"{(sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+HEAD = files.Header(0.25, BOX, 0, 0.3, 0.7, 0.7, 1.5)
+
+
+def gadget_snapshot(spark, d):
+    """Particles in a format's units, written as a snapshot of several files and read back in two ranges of ids and some columns."""
+    path = scratch(spark, "snapshot")
+    gadget.write(files.to_units(fixtures.moving(spark, d), MESH, 0.25, 0.7), path, HEAD, rows=4096)
+    columns, end = ["id", "x", "z", "vy", "mass"], (1 << 63) - 1
+    both = gadget.read(spark, path, columns, rows=3000, ids=(-end, 3332)).unionByName(gadget.read(spark, path, columns, pushdown=True).where("id >= 3333"))
+    return both.select("id", q("x").alias("x"), q("z").alias("z"), q("vy").alias("vy"), "mass")
+
+
+def snapshot_series(spark, d):
+    """Every second snapshot of a series of drifting particles, and one chosen by a filter."""
+    path, moving = scratch(spark, "series"), fixtures.moving(spark, d)
+    for snap in range(4):
+        at = moving.withColumns({x: M.wrap(F.col(x) + F.col(f"p{x}") * (5.0 * snap), BOX) for x in "xyz"})
+        gadget.write(files.to_units(at, MESH, 0.25, 0.7), path, HEAD, rows=8192, snap=snap)
+    even = gadget.read(spark, path, ["snap", "id", "y"], every=2)
+    one = gadget.read(spark, path, ["snap", "id", "y"], snaps=[3])
+    return even.unionByName(one).select("snap", "id", q("y").alias("y"))
+
+
 def positions_from_psi(spark, d):
     psi = spark.range(MESH.size).select("id", F.sin("id").alias("sx"), (30 * F.cos("id")).alias("sy"), F.lit(-0.5).alias("sz"))
     return M.positions_from_displacement(psi, MESH).select("id", *[q(x).alias(x) for x in "xyz"])
@@ -518,7 +550,7 @@ def growth_table(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, short_range_force, tree_walk, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

@@ -106,12 +106,15 @@ def unwrapped(particles: DataFrame, mesh: Mesh) -> DataFrame:
 SUITES = {"camels_dm": (64, True), "quijote": (64, True), "gadget_generic": (None, False)}
 
 
-def load(spark: SparkSession, path: str, suite: str, mesh: Mesh, sub: int = 1) -> tuple[DataFrame, Header]:
-    """A stored snapshot of a suite as initial conditions: units, lattice order, subsampling, unwrapping."""
+def arranged(rows: DataFrame, header: Header, suite: str, mesh: Mesh, sub: int = 1) -> DataFrame:
+    """A suite's stored particles as initial conditions: units, lattice order, subsampling, unwrapping."""
     glass, kpc = SUITES[suite]
-    rows, header = read_snapshot(spark, path)
     tile = math.gcd(glass, mesh.n) if glass else None
     ordered = lattice_order(from_units(rows, mesh, header.a, kpc), mesh, tile, sub)
-    return unwrapped(ordered, mesh.at(mesh.n // sub)), header
+    return unwrapped(ordered, mesh.at(mesh.n // sub))
 
 
+def load(spark: SparkSession, path: str, suite: str, mesh: Mesh, sub: int = 1) -> tuple[DataFrame, Header]:
+    """A Parquet snapshot of a suite, arranged."""
+    rows, header = read_snapshot(spark, path)
+    return arranged(rows, header, suite, mesh, sub), header
