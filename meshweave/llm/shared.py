@@ -73,6 +73,21 @@ def identified(df: DataFrame) -> DataFrame:
     return back.select(*(F.col(a).alias(b) for a, b in zip(names, df.columns, strict=True)), *place)
 
 
+def plain_names(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1 ..., so that no name of an operator's own can be one of them, and the new names of the needed columns."""
+    new = {name: f"c{n}" for n, name in enumerate(df.columns)}
+    folded = {name.lower(): to for name, to in new.items()}
+    return df.toDF(*new.values()), [new.get(name) or folded[name.lower()] for name in needed]
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with underscores until no column has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising mixer of the public SplitMix64 generator."""
     x = x.astype(np.uint64, copy=True)

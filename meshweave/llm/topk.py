@@ -77,7 +77,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     """
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
-    rows = identified(vectors).select(F.col(id_col).cast("long").alias("id"), F.xxhash64("__file", "__row").alias("row"), v.alias("v"), is_query.alias("ask")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
+    asked = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("ask"), finite.alias("finite"))
+    rows = identified(asked).select("id", F.xxhash64("__file", "__row").alias("row"), "v", "ask").where("id IS NOT NULL AND v IS NOT NULL AND finite")
     shared_folder(vectors.sparkSession)
     rows = rows.withColumn("dim", F.size("v")).checkpoint()
     total, asked = rows.agg(F.count("*"), F.count(F.when(F.col("ask"), 1))).first()

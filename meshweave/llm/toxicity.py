@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 WORD = re.compile(r"[^\W_]+")
 QUOTES = "\"“”„«»‹›"
 #: Words that report what somebody said, in the corpus' languages.
@@ -245,7 +247,7 @@ def detect(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, th
     """Every row with held_out, score (0 to 1), predicted, and spans of evidence (word, weight, edited, quoted) added.
 
     Labels are learnt only from rows whose crc32(id as text) mod folds is not held. Other columns pass through and are
-    no input. Null and empty texts get the score of a text without a hit; a null id is not held out; repeated rows get
+    no input; ones named held_out, score, evidence or predicted are replaced. Null and empty texts get the score of a text without a hit; a null id is not held out; repeated rows get
     equal scores; an empty table stays empty; without usable labels the lexicon is empty and every score is low.
     """
     from .quality import fold
@@ -266,5 +268,6 @@ def detect(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, th
                 rows.append((1 / (1 + math.exp(-max(-50.0, min(50.0, z)))), [{"word": w, "weight": g, "edited": e, "quoted": q} for w, g, e, q in hits]))
             yield pd.DataFrame(rows, columns=["score", "evidence"])
 
-    both = docs.withColumn("held_out", F.coalesce(out, F.lit(False))).withColumn("judged", judged(F.col(text_col).cast("string")))
-    return both.withColumn("score", F.col("judged.score")).withColumn("evidence", F.col("judged.evidence")).drop("judged").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    name = unused("judged", docs)
+    both = docs.withColumn("held_out", F.coalesce(out, F.lit(False))).withColumn(name, judged(F.col(text_col).cast("string")))
+    return both.withColumn("score", F.col(name)["score"]).withColumn("evidence", F.col(name)["evidence"]).drop(name).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
