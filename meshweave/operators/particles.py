@@ -1,8 +1,9 @@
 """Between particles and meshes: stencils, deposit, gather and what is built on them.
 
 A particle spreads over worder cells an axis (1 nearest cell, 2 cloud in cell, 3 triangular cloud, 4 piecewise
-cubic). Deposit is an explode and one two-phase aggregate; gather is the same explode, an equi-join with the mesh
-and one aggregate by particle. Wide sums share the pass: mass and mass-weighted quantities leave one aggregate.
+cubic). Deposit is an explode and one two-phase aggregate; gather is the same explode, a broadcast join with the mesh
+and one aggregate by particle. Meshes beyond a broadcast go by blocks (blocks.py). Wide sums share the pass: mass and
+mass-weighted quantities leave one aggregate.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import MARGIN, SIDE, deposit_by_block, gather_by_block
 from .mesh import AXES, Mesh, Span, completed, cut, grid, near_slice, to_cells, wrap
 
 #: Offsets of the cells that an order touches.
@@ -61,9 +63,16 @@ def spread(particles: DataFrame, mesh: Mesh, order: int = 2, weight_col: str = "
     return out.select(*kept, *[F.col(f"__c{i}").alias(i) for i in mesh.cells], product(shares).alias(weight_col), *more)
 
 
+def by_blocks(mesh: Mesh, order: int) -> bool:
+    return mesh.size > BROADCAST_CELLS and mesh.n >= SIDE + 2 * MARGIN and order in OFFSETS
+
+
 def deposit(particles: DataFrame, mesh: Mesh, order: int = 2, quantities: dict[str, Column] | None = None, complete: bool = True) -> DataFrame:
     """Sum of each quantity (default mass 1 a particle, as v) times the shares, for every cell."""
     sums = quantities or {"v": F.lit(1.0)}
+    if by_blocks(mesh, order):
+        out = deposit_by_block(particles, mesh, order, sums)
+        return completed(out, mesh, tuple(sums)) if complete else out
     out = spread(particles, mesh, order, "__w").groupBy(*mesh.cells).agg(*[F.sum(F.col("__w") * q).alias(name) for name, q in sums.items()])
     return completed(out, mesh, tuple(sums)) if complete else out
 
@@ -86,7 +95,12 @@ def held(field: DataFrame, mesh: Mesh) -> DataFrame:
 
 
 def gather(field: DataFrame, particles: DataFrame, mesh: Mesh, order: int = 2, values: tuple[str, ...] = ("v",), gradient: bool = False) -> DataFrame:
-    """id and each value interpolated to the particles; with gradient also its derivative by position."""
+    """id and each value interpolated to the particles; with gradient also its derivative by position.
+
+    A mesh of at most BROADCAST_CELLS is broadcast to the particles' stencils; a larger one meets them by blocks.
+    """
+    if by_blocks(mesh, order):
+        return gather_by_block(field, particles, mesh, order, values, gradient)
     parts = spread(particles.select("id", *mesh.places), mesh, order, "__w", gradient)
     met = parts.join(held(field, mesh), mesh.cells)
     sums = [F.sum(F.col("__w") * F.col(v)).alias(v) for v in values]
