@@ -1,8 +1,11 @@
 """Discrete Fourier transforms of long-form meshes and the kernels applied between them.
 
 Three ways, one convention (forward unscaled, inverse divided by the cells): "sql", axis by axis in plain expressions
-for small meshes; "pencil", axis by axis in Arrow groups that hold a bounded set of pencils, for any size; "block",
-all axes in one group, for meshes of at most BLOCK_CELLS. Several complex fields are transformed in one pass.
+for small meshes; "pencil", axis by axis in Arrow groups that hold a bounded set of pencils, for any size; "slab", all
+axes but the first in groups of planes and then the first in groups of columns, with one exchange of arrays between
+them, for meshes whose planes fit a task (meshes of at most BLOCK_CELLS are one group). Several fields are transformed in
+one pass. The spectrum of a real field is half stored: its last index goes from 0 to n/2, the rest are conjugates;
+`real_forward` and `real_backward` compute, exchange and keep that half only.
 """
 
 from __future__ import annotations
@@ -16,22 +19,24 @@ from pyspark.sql import functions as F
 
 from .mesh import Mesh, crop, pad, signed, wave_numbers, wave_square
 
-BLOCK_CELLS, SQL_CELLS = 1 << 18, 4096
+BLOCK_CELLS, SQL_CELLS, GROUP_CELLS = 1 << 15, 4096, 1 << 17
 Pairs = tuple[tuple[str, str], ...]
 
 
 def transform(df: DataFrame, mesh: Mesh, pairs: Pairs = (("re", "im"),), inverse: bool = False, method: str = "auto") -> DataFrame:
     """From index columns i* to j* (or back if inverse) of the complex fields whose parts the pairs name."""
     if method == "auto":
-        method = "sql" if mesh.size <= SQL_CELLS and len(pairs) == 1 else "block" if mesh.size <= BLOCK_CELLS else "pencil"
+        method = "sql" if mesh.size <= SQL_CELLS and len(pairs) == 1 else "slab"
     source, target = (mesh.modes, mesh.cells) if inverse else (mesh.cells, mesh.modes)
     df = df.select(*source, *[c for p in pairs for c in p])
     if method == "sql":
         for s, t in zip(source, target):
             df = _axis_sql(df, mesh, s, t, pairs, inverse)
         return df
-    if method == "block":
-        return _grouped(df, mesh, source, target, source, pairs, inverse, None)
+    if method == "slab":
+        return _slabs(df, mesh, pairs, inverse, False)
+    if method != "pencil":
+        raise ValueError("auto, sql, slab or pencil")
     names = list(source)
     for n, (s, t) in enumerate(zip(source, target)):
         after = [*target[: n + 1], *source[n + 1 :]]
@@ -80,6 +85,148 @@ def _grouped(df: DataFrame, mesh: Mesh, before: list[str], after: list[str], axe
     return df.withColumn("__g", key).groupBy("__g").applyInPandas(lambda pdf: run(pdf), schema)
 
 
+def _slabs(df: DataFrame, mesh: Mesh, pairs: Pairs, inverse: bool, real: bool) -> DataFrame:
+    """Planes and columns. Of a real field the pairs' second columns are absent on its side, and the last index of a mode goes to n/2."""
+    n, d, count = mesh.n, mesh.dim, len(pairs)
+    last = n // 2 + 1 if real else n
+    shape = (*[n] * (d - 2), last) if d > 1 else ()  # of the modes of a plane
+    columns = math.prod(shape)
+    one = mesh.size <= BLOCK_CELLS or d == 1
+    planes = n if one else max(1, min(n // 8, GROUP_CELLS // n ** (d - 1)))
+    width = columns if one else max(1, min(math.ceil(columns / 8), GROUP_CELLS // n))
+    cells, modes = list(mesh.cells), list(mesh.modes)
+    first = cells[0] if not inverse else None
+    re_names, both = [p[0] for p in pairs], [c for p in pairs for c in p]
+    axes = tuple(range(1, d))
+
+    def filled(pdf: pd.DataFrame, at: tuple[np.ndarray, ...], size: tuple[int, ...], k: int, complex_in: bool) -> np.ndarray:
+        out = np.zeros(size, dtype=complex if complex_in else float)
+        value = pdf[pairs[k][0]].to_numpy(float)
+        np.add.at(out, at, value + 1j * pdf[pairs[k][1]].to_numpy(float) if complex_in else value)
+        return out
+
+    def rows_of(index: tuple[np.ndarray, ...], names: list[str], fields: list[np.ndarray], complex_out: bool) -> pd.DataFrame:
+        out: dict[str, np.ndarray] = dict(zip(names, index, strict=True))
+        for k, f in enumerate(fields):
+            if complex_out:
+                out[pairs[k][0]], out[pairs[k][1]] = f.real.ravel(), f.imag.ravel()
+            else:
+                out[pairs[k][0]] = f.real.ravel()
+        return pd.DataFrame(out)
+
+    def to_modes(fields: np.ndarray) -> np.ndarray:
+        """Along all axes but the first (and in one dimension along it)."""
+        if d == 1:
+            return np.fft.rfft(fields, axis=1) if real else np.fft.fft(fields, axis=1)
+        over = tuple(a + 1 for a in axes)
+        return np.fft.rfftn(fields, axes=over) if real else np.fft.fftn(fields, axes=over)
+
+    def to_cells(fields: np.ndarray) -> np.ndarray:
+        if d == 1:
+            return np.fft.irfft(fields, n, axis=1) if real else np.fft.ifft(fields, axis=1)
+        over = tuple(a + 1 for a in axes)
+        return np.fft.irfftn(fields, (n,) * (d - 1), axes=over) if real else np.fft.ifftn(fields, axes=over)
+
+    cell_schema = ", ".join([*[f"{c} int" for c in cells], *[f"{v} double" for v in (re_names if real else both)]])
+    mode_schema = ", ".join([*[f"{c} int" for c in modes], *[f"{v} double" for v in both]])
+    if one:
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            names = modes if inverse else cells
+            size = (n,) * d if not inverse else (*(n,) * (d - 1), last)
+            at = tuple(pdf[c].to_numpy() for c in names)
+            fields = np.stack([filled(pdf, at, size, k, inverse or not real) for k in range(count)])
+            if inverse:
+                out = to_cells(np.fft.ifft(fields, axis=1) if d > 1 else fields)
+            else:
+                out = to_modes(fields)
+                out = np.fft.fft(out, axis=1) if d > 1 else out
+            index = tuple(i.ravel().astype(np.int32) for i in np.indices(out.shape[1:]))
+            return rows_of(index, cells if inverse else modes, list(out), not (inverse and real))
+
+        return df.groupBy(F.lit(0).alias("__g")).applyInPandas(lambda pdf: whole(pdf), cell_schema if inverse else mode_schema)
+
+    block_schema = "__a int, __b int, __v array<double>"
+
+    def blocks(fields: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(fields).view(float).ravel()
+
+    if not inverse:
+
+        def planes_to_columns(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            low = int(key[0]) * planes
+            here = min(planes, n - low)
+            at = (pdf[first].to_numpy() - low, *(pdf[c].to_numpy() for c in cells[1:]))
+            fields = np.stack([filled(pdf, at, (here, *(n,) * (d - 1)), k, not real) for k in range(count)])
+            flat = to_modes(fields).reshape(count, here, columns)
+            parts = range(math.ceil(columns / width))
+            return pd.DataFrame({"__a": np.full(len(parts), key[0], np.int32), "__b": np.array(parts, np.int32), "__v": [blocks(flat[:, :, b * width : (b + 1) * width]) for b in parts]})
+
+        def along_first(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            low = int(key[0]) * width
+            here = min(width, columns - low)
+            fields = np.zeros((count, n, here), dtype=complex)
+            for a, v in zip(pdf["__a"], pdf["__v"], strict=True):
+                got = np.asarray(v).view(complex).reshape(count, -1, here)
+                fields[:, a * planes : a * planes + got.shape[1]] = got
+            fields = np.fft.fft(fields, axis=1)
+            jx, column = (i.ravel() for i in np.indices((n, here)))
+            index = (jx, *np.unravel_index(column + low, shape))
+            return rows_of(tuple(i.astype(np.int32) for i in index), modes, list(fields), True)
+
+        dealt = df.withColumn("__a", F.floor(F.col(first) / planes).cast("int")).groupBy("__a").applyInPandas(lambda key, pdf: planes_to_columns(key, pdf), block_schema)
+        return dealt.groupBy("__b").applyInPandas(lambda key, pdf: along_first(key, pdf), mode_schema)
+
+    def along_first_back(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        low = int(key[0]) * width
+        here = min(width, columns - low)
+        column = np.ravel_multi_index(tuple(pdf[c].to_numpy() for c in modes[1:]), shape) - low
+        fields = np.stack([filled(pdf, (pdf[modes[0]].to_numpy(), column), (n, here), k, True) for k in range(count)])
+        fields = np.fft.ifft(fields, axis=1)
+        parts = range(math.ceil(n / planes))
+        return pd.DataFrame({"__a": np.array(parts, np.int32), "__b": np.full(len(parts), key[0], np.int32), "__v": [blocks(fields[:, a * planes : (a + 1) * planes]) for a in parts]})
+
+    def columns_to_planes(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        low = int(key[0]) * planes
+        here = min(planes, n - low)
+        flat = np.zeros((count, here, columns), dtype=complex)
+        for b, v in zip(pdf["__b"], pdf["__v"], strict=True):
+            got = np.asarray(v).view(complex).reshape(count, here, -1)
+            flat[:, :, b * width : b * width + got.shape[2]] = got
+        out = to_cells(flat.reshape(count, here, *shape))
+        index = [i.ravel() for i in np.indices(out.shape[1:])]
+        index[0] = index[0] + low
+        return rows_of(tuple(i.astype(np.int32) for i in index), cells, list(out), not real)
+
+    number = F.lit(0).cast("long")
+    for c, size in zip(modes[1:], shape, strict=True):
+        number = number * size + F.col(c)
+    dealt = df.withColumn("__b", F.floor(number / width).cast("int")).groupBy("__b").applyInPandas(lambda key, pdf: along_first_back(key, pdf), block_schema)
+    return dealt.groupBy("__a").applyInPandas(lambda key, pdf: columns_to_planes(key, pdf), cell_schema)
+
+
+def real_forward(fields: DataFrame, mesh: Mesh, pairs: Pairs | None = None, value: str = "v", method: str = "auto") -> DataFrame:
+    """Half spectra of real fields: of a column value as re and im, or of the pairs' first columns under the pairs' names. The last index goes from 0 to n/2."""
+    if pairs is None:
+        fields, pairs = fields.select(*mesh.cells, F.col(value).alias("re")), (("re", "im"),)
+    if method == "sql" or (method == "auto" and mesh.size <= SQL_CELLS and len(pairs) == 1):
+        whole = transform(fields.select(*mesh.cells, *[x for a, b in pairs for x in (F.col(a), F.lit(0.0).alias(b))]), mesh, pairs, method="sql")
+        return whole.where(F.col(mesh.modes[-1]) <= mesh.n // 2)
+    return _slabs(fields.select(*mesh.cells, *[p[0] for p in pairs]), mesh, pairs, False, True)
+
+
+def real_backward(spectra: DataFrame, mesh: Mesh, pairs: Pairs = (("re", "im"),), value: str | None = "v", method: str = "auto") -> DataFrame:
+    """Real fields of half spectra: the pairs' first names, a single one as value. Absent modes are zero; in the planes 0 and n/2 of the last index, modes and their mirrored conjugates have to be both there."""
+    if method == "sql" or (method == "auto" and mesh.size <= SQL_CELLS and len(pairs) == 1):
+        whole = spectra.select(*mesh.modes, *[c for p in pairs for c in p])
+        for k, p in enumerate(pairs):
+            one = transform(full_from_half(whole.select(*mesh.modes, F.col(p[0]).alias("re"), F.col(p[1]).alias("im")), mesh), mesh, inverse=True, method="sql").select(*mesh.cells, F.col("re").alias(p[0]))
+            out = one if k == 0 else out.join(one, mesh.cells)
+    else:
+        out = _slabs(spectra.select(*mesh.modes, *[c for p in pairs for c in p]), mesh, pairs, True, True)
+    return out.withColumnRenamed(pairs[0][0], value) if value and len(pairs) == 1 else out
+
+
 def forward(field: DataFrame, mesh: Mesh, value: str = "v", method: str = "auto") -> DataFrame:
     """Spectrum re, im of a real field."""
     return transform(field.select(*mesh.cells, F.col(value).alias("re"), F.lit(0.0).alias("im")), mesh, method=method)
@@ -146,22 +293,22 @@ def without_mean(spectrum: DataFrame, mesh: Mesh) -> DataFrame:
 
 def deconvolved(field: DataFrame, mesh: Mesh, order: int = 2, twice: bool = False) -> DataFrame:
     """A field divided by its assignment window."""
-    return backward(scaled(forward(field, mesh), assignment_kernel(mesh, order, twice)), mesh)
+    return real_backward(scaled(real_forward(field, mesh), assignment_kernel(mesh, order, twice)), mesh)
 
 
 def potential(delta: DataFrame, mesh: Mesh, order: int = 0) -> DataFrame:
     """phi with Laplacian delta and no mean."""
-    return backward(scaled(without_mean(forward(delta, mesh), mesh), inverse_laplacian_kernel(mesh, order)), mesh)
+    return real_backward(scaled(without_mean(real_forward(delta, mesh), mesh), inverse_laplacian_kernel(mesh, order)), mesh)
 
 
 def density(phi: DataFrame, mesh: Mesh) -> DataFrame:
     """delta = Laplacian of phi."""
-    return backward(scaled(forward(phi, mesh), -wave_square(mesh)), mesh)
+    return real_backward(scaled(real_forward(phi, mesh), -wave_square(mesh)), mesh)
 
 
 def derivative(field: DataFrame, mesh: Mesh, axis: int, order: int = 0) -> DataFrame:
-    f = forward(field, mesh).withColumn("__k", gradient_kernel(mesh, axis, order))
-    return backward(f.select(*mesh.modes, (-F.col("im") * F.col("__k")).alias("re"), (F.col("re") * F.col("__k")).alias("im")), mesh)
+    f = real_forward(field, mesh).withColumn("__k", gradient_kernel(mesh, axis, order))
+    return real_backward(f.select(*mesh.modes, (-F.col("im") * F.col("__k")).alias("re"), (F.col("re") * F.col("__k")).alias("im")), mesh)
 
 
 def dealiased_product(a: DataFrame, b: DataFrame, mesh: Mesh) -> DataFrame:

@@ -82,7 +82,7 @@ def type1(points: DataFrame, mesh: Mesh, eps: float = 1e-6, re: str = "re", im:
     width, fine = kernel_width(eps), mesh.at(SIGMA * mesh.n)
     at = points.select(*mesh.places, F.col(re).alias("__re"), (F.col(im) if im else F.lit(0.0)).alias("__im"))
     cells = _spread(at, fine, width, False).groupBy(*fine.cells).agg(F.sum(F.col("__w") * F.col("__re")).alias("re"), F.sum(F.col("__w") * F.col("__im")).alias("im"))
-    modes = transform(cells, fine, method="block" if fine.size <= 1 << 18 else "pencil")
+    modes = transform(cells, fine, method="slab")
     for j in mesh.modes:
         s = signed(F.col(j), fine.n)
         modes = modes.where((s >= -(mesh.n // 2)) & (s < mesh.n // 2))
@@ -95,7 +95,7 @@ def type2(spectrum: DataFrame, points: DataFrame, mesh: Mesh, eps: float = 1e-6,
     width, fine = kernel_width(eps), mesh.at(SIGMA * mesh.n)
     parts = [c for p in values for c in p]
     sp = spectrum.withColumn("__c", _correction(mesh, width)).select(*[F.pmod(signed(F.col(j), mesh.n), F.lit(fine.n)).cast("int").alias(j) for j in mesh.modes], *[(F.col(c) * F.col("__c") * fine.size).alias(c) for c in parts])
-    cells = transform(sp, fine, values, inverse=True, method="block" if fine.size <= 1 << 18 else "pencil")
+    cells = transform(sp, fine, values, inverse=True, method="slab")
     met = _spread(points.select("id", *mesh.places), fine, width, gradient).join(held(cells, fine), fine.cells)
     sums = [F.sum(F.col("__w") * F.col(c)).alias(c) for c in parts]
     if gradient:

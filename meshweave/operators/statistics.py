@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fourier import forward, gradient_kernel, transform
-from .mesh import Mesh, half, multiplicity, wave_square
+from .fourier import forward, gradient_kernel, real_forward, transform
+from .mesh import Mesh, multiplicity, wave_square
 
 
 def bin_edges(mesh: Mesh, bins: int | tuple[float, ...], logarithmic: bool = True) -> list[float]:
@@ -33,7 +33,7 @@ def bin_of(k: Column, edges: list[float]) -> Column:
 
 def power_spectrum(field: DataFrame, mesh: Mesh, bins: int | tuple[float, ...] = 8, logarithmic: bool = True, deviation: bool = False) -> DataFrame:
     """bin, modes, k (mean over the modes), pk and, if asked, its standard deviation over independent modes."""
-    spectrum = half(forward(field, mesh), mesh)
+    spectrum = real_forward(field, mesh)
     return binned(spectrum.withColumn("p", F.col("re") * F.col("re") + F.col("im") * F.col("im")), mesh, bins, logarithmic, deviation)
 
 
@@ -50,7 +50,7 @@ def binned(spectrum: DataFrame, mesh: Mesh, bins: int | tuple[float, ...], logar
 
 def cross_spectrum(a: DataFrame, b: DataFrame, mesh: Mesh, bins: int | tuple[float, ...] = 8, logarithmic: bool = True) -> DataFrame:
     """bin, k, p1, p2 and the normalised cross spectrum x: one join by mode and one aggregate of three sums."""
-    fa, fb = half(forward(a, mesh), mesh), half(forward(b, mesh), mesh).select(*mesh.modes, F.col("re").alias("__r"), F.col("im").alias("__i"))
+    fa, fb = real_forward(a, mesh), real_forward(b, mesh).select(*mesh.modes, F.col("re").alias("__r"), F.col("im").alias("__i"))
     norm = mesh.box**mesh.dim / mesh.size**2
     rows = fa.join(fb, mesh.modes).withColumn("__k", F.sqrt(wave_square(mesh))).withColumn("__m", multiplicity(mesh)).withColumn("bin", bin_of(F.col("__k"), bin_edges(mesh, bins, logarithmic))).where("bin IS NOT NULL")
     m = F.col("__m")
@@ -87,7 +87,7 @@ def bispectrum(field: DataFrame, mesh: Mesh, bins: int = 3, equilateral: bool =
         inside = (F.col("__k") >= edges[n]) & (F.col("__k") < edges[n + 1])
         columns += [F.when(inside, F.col("re")).otherwise(0.0).alias(f"d{n}"), F.when(inside, F.col("im")).otherwise(0.0).alias(f"e{n}"), F.when(inside, 1.0).otherwise(0.0).alias(f"c{n}"), F.lit(0.0).alias(f"z{n}")]
         pairs += [(f"d{n}", f"e{n}"), (f"c{n}", f"z{n}")]
-    cells = transform(spectrum.select(*mesh.modes, *columns), mesh, tuple(pairs), inverse=True, method="block" if mesh.size <= 1 << 18 else "pencil")
+    cells = transform(spectrum.select(*mesh.modes, *columns), mesh, tuple(pairs), inverse=True, method="slab")
     triples = triangles(mesh, bins, equilateral)
     product = lambda p, t: F.sum(F.col(f"{p}{t[0]}") * F.col(f"{p}{t[1]}") * F.col(f"{p}{t[2]}"))
     sums = cells.agg(F.array(*[F.struct(*[F.lit(x).alias(f"b{n + 1}") for n, x in enumerate(t)], product("d", t).alias("s"), product("c", t).alias("t")) for t in triples]).alias("all"))
@@ -102,14 +102,14 @@ def jacobian(psi: DataFrame, mesh: Mesh, order: int = 0, values: bool = False) -
     """Cells with the matrix d x / d q (m00 ...), its determinant and, if asked, its eigenvalues e0 <= e1 <= e2 of the symmetric part."""
     d, names = mesh.dim, [f"s{x}" for x in ("x", "y", "z")[: mesh.dim]]
     field = psi.select(*mesh.cells, *[c for s in names for c in (F.col(s).alias(f"__r{s}"), F.lit(0.0).alias(f"__i{s}"))])
-    spectrum = transform(field, mesh, tuple((f"__r{s}", f"__i{s}") for s in names), method="block" if mesh.size <= 1 << 18 else "pencil")
+    spectrum = transform(field, mesh, tuple((f"__r{s}", f"__i{s}") for s in names), method="slab")
     cols, pairs = [], []
     for a, s in enumerate(names):
         for b in range(d):
             k = gradient_kernel(mesh, b, order)
             cols += [(-F.col(f"__i{s}") * k).alias(f"m{a}{b}"), (F.col(f"__r{s}") * k).alias(f"__m{a}{b}")]
             pairs.append((f"m{a}{b}", f"__m{a}{b}"))
-    cells = transform(spectrum.select(*mesh.modes, *cols), mesh, tuple(pairs), inverse=True, method="block" if mesh.size <= 1 << 18 else "pencil")
+    cells = transform(spectrum.select(*mesh.modes, *cols), mesh, tuple(pairs), inverse=True, method="slab")
     m = [[F.col(f"m{a}{b}") + (1.0 if a == b else 0.0) for b in range(d)] for a in range(d)]
     out = cells.select(*mesh.cells, *[m[a][b].alias(f"m{a}{b}") for a in range(d) for b in range(d)])
     c = lambda a, b: F.col(f"m{a}{b}")

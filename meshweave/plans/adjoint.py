@@ -17,7 +17,7 @@ from .nbody import Step, drift, inverse_step
 def _spectra(cells: DataFrame, mesh: Mesh, names: tuple[str, ...]) -> DataFrame:
     """Spectra r{n}, i{n} of real fields in one pass."""
     parts = cells.select(*mesh.cells, *[c for n in names for c in (F.col(n).alias(f"r{n}"), F.lit(0.0).alias(f"i{n}"))])
-    return transform(parts, mesh, tuple((f"r{n}", f"i{n}") for n in names), method="block" if mesh.size <= 1 << 18 else "pencil")
+    return transform(parts, mesh, tuple((f"r{n}", f"i{n}") for n in names), method="slab")
 
 
 def force_adjoint(particles: DataFrame, cotangent: DataFrame, mesh: Mesh, order: int = 2, count: int | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def force_adjoint(particles: DataFrame, cotangent: DataFrame, mesh: Mesh, order:
         k = gradient_kernel(mesh, d) * green
         cols += [(-F.col("im") * k).alias(f"f{x}"), (F.col("re") * k).alias(f"_{x}")]
         pairs.append((f"f{x}", f"_{x}"))
-    method = "block" if mesh.size <= 1 << 18 else "pencil"
+    method = "slab"
     field = transform(delta.select(*mesh.modes, *cols), mesh, tuple(pairs), inverse=True, method=method)
     slopes = gather(field, particles, mesh, order, tuple(f"f{x}" for x in axes), gradient=True)
     carried = particles.select("id", *axes).join(cotangent, "id")

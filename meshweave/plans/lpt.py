@@ -17,7 +17,7 @@ from ..operators.mesh import AXES, Mesh, cell_id, crop, pad, signed, wave_square
 
 
 def _method(mesh: Mesh) -> str:
-    return "block" if mesh.size <= 1 << 18 else "pencil"
+    return "slab"
 
 
 def _gradients(psi: DataFrame, mesh: Mesh, large: Mesh, n: int) -> DataFrame:

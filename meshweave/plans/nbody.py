@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cosmology import Times, expansion
-from ..operators.fourier import assignment_kernel, gradient_kernel, inverse_laplacian_kernel, transform, without_mean
+from ..operators.fourier import assignment_kernel, gradient_kernel, inverse_laplacian_kernel, real_backward, real_forward, without_mean
 from ..operators.mesh import AXES, Mesh, positions_from_displacement, wave_square
 from ..operators.particles import exact_force_1d, gather, overdensity
 
@@ -80,8 +80,7 @@ def force_field(particles: DataFrame, mesh: Mesh, order: int = 2, deconvolve: bo
     alpha: only the long-range part of a Gaussian split. deconvolve: both the deposit's and the gather's windows.
     """
     delta = overdensity(particles, mesh, order, count)
-    method = "block" if mesh.size <= 1 << 18 else "pencil"
-    f = without_mean(transform(delta.select(*mesh.cells, F.col("v").alias("re"), F.lit(0.0).alias("im")), mesh, method=method), mesh)
+    f = without_mean(real_forward(delta, mesh, method="slab"), mesh)
     kernel = -inverse_laplacian_kernel(mesh, laplace_order)
     if deconvolve:
         kernel = kernel * assignment_kernel(mesh, order, twice=True)
@@ -93,7 +92,7 @@ def force_field(particles: DataFrame, mesh: Mesh, order: int = 2, deconvolve: bo
         k = gradient_kernel(mesh, d, gradient_order) * F.col("__g")
         cols += [(-F.col("im") * k).alias(f"a{AXES[d]}"), (F.col("re") * k).alias(f"__{d}")]
         pairs.append((f"a{AXES[d]}", f"__{d}"))
-    return transform(f.select(*mesh.modes, *cols), mesh, tuple(pairs), inverse=True, method=method).select(*mesh.cells, *[p[0] for p in pairs])
+    return real_backward(f.select(*mesh.modes, *cols), mesh, tuple(pairs), None, "slab").select(*mesh.cells, *[p[0] for p in pairs])
 
 
 def pm_force(particles: DataFrame, mesh: Mesh, order: int = 2, **options) -> DataFrame:

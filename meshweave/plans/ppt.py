@@ -37,7 +37,7 @@ def propagate(phi: DataFrame, mesh: Mesh, growth: float, h_bar: float | None = N
     start = phi.select(*mesh.cells, F.col("v").alias("__phi"))
     if second is not None:
         start = start.join(second.select(*mesh.cells, F.col("v").alias("__two")), mesh.cells).withColumn("__phi", F.col("__phi") + F.col("__two") * (growth / 2))
-    method = "block" if mesh.size <= 1 << 18 else "pencil"
+    method = "slab"
     wave = start.select(*mesh.cells, F.cos(F.col("__phi") / h).alias("re"), (-F.sin(F.col("__phi") / h)).alias("im"))
     spectrum = transform(wave, mesh, method=method)
     drift = wave_square(mesh) * (-0.5 * h * growth)

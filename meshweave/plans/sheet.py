@@ -18,7 +18,7 @@ def _moved(cells: DataFrame, mesh: Mesh, names: list[str], shifts: list[tuple[fl
             for x in names:
                 out = out.join(shifted(cells.select(*mesh.cells, F.col(x).alias("v")), mesh, shift, how).withColumnRenamed("v", f"{x}_{n}"), mesh.cells)
         return out
-    method = "block" if mesh.size <= 1 << 18 else "pencil"
+    method = "slab"
     f = transform(cells.select(*mesh.cells, *[c for x in names for c in (F.col(x), F.lit(0.0).alias(f"_{x}"))]), mesh, tuple((x, f"_{x}") for x in names), method=method)
     ks, cols, pairs = wave_numbers(mesh), [], []
     for n, shift in enumerate(shifts):

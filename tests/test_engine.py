@@ -52,7 +52,7 @@ def test_transforms_agree(frame):
     field = array(delta, MESH.cells)
     assert abs(field.sum()) < 1e-9
     want = np.fft.fftn(field)
-    for method in ("sql", "block", "pencil"):
+    for method in ("sql", "slab", "pencil"):
         s = X.forward(delta, MESH, method=method)
         assert np.abs(array(s, MESH.modes, "re") - want.real).max() < 1e-11
         assert np.abs(array(X.backward(s, MESH, method=method), MESH.cells) - field).max() < 1e-12
