@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -255,6 +256,27 @@ class Times:
         """Linear interpolation from one column to another, clamped at the ends."""
         return np.interp(x, self.columns[key], self.columns[to])
 
+    def column(self, to: str, x: Column | str, key: str = "a") -> Column:
+        """get for a column: from a, superconft or Dplus to any of the table's; null stays null."""
+        at, values = self.columns[key], self.columns[to]
+
+        @F.pandas_udf("double")
+        def found(v: pd.Series) -> pd.Series:
+            v = v.to_numpy(dtype=float, na_value=np.nan)
+            return pd.Series(np.interp(v, at, values)).where(~np.isnan(v), None)
+
+        return found(column(x).cast("double"))
+
+    def growth_rate_column(self, a: Column | str) -> Column:
+        """d ln D / d ln a."""
+        a = column(a)
+        return a * self.column("Dplusda", a) / self.column("Dplus", a)
+
+    def fplus_column(self, a: Column | str) -> Column:
+        """a^3 E dD/da."""
+        a = column(a)
+        return F.pow(a, 3) * expansion(self.cosmology, a) * self.column("Dplusda", a)
+
     def growth_rate(self, a):
         return a * self.get("Dplusda", a) / self.get("Dplus", a)
 
@@ -274,17 +296,6 @@ class Times:
         return replace(self, columns={**self.columns, **columns})
 
 
-def interpolate(table: DataFrame, x: DataFrame, key: str, to: str, at: str = "x", into: str = "y") -> DataFrame:
-    """Linear interpolation of each row's x in a small table, clamped at its ends: the table becomes one row of arrays, and the place is found by its rank."""
-    pair = F.array_sort(F.collect_list(F.struct(F.col(key).cast("double").alias("x"), F.col(to).cast("double").alias("y"))))
-    held = x.join(F.broadcast(table.agg(pair.alias("__t"))), how="cross")
-    n = F.size(F.filter("__t", lambda p: p["x"] <= F.col(at)))
-    low = F.greatest(F.lit(1), F.least(n, F.size("__t") - 1))
-    p, q = F.element_at("__t", low), F.element_at("__t", low + 1)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(at) - p["x"]) / (q["x"] - p["x"])))
-    return held.withColumn(into, p["y"] + t * (q["y"] - p["y"])).drop("__t")
-
-
 def superconformal_frame(c: Cosmology, table: DataFrame) -> DataFrame:
     """i, a, superconft by the trapezoid rule over a table i, a that ends at a = 1."""
     f = table.withColumn("__f", 1 / (expansion(c, F.col("a")) * F.col("a") ** 3))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import cosmology as C
 from ..operators import fourier as X
 from ..operators import mesh as M
-from ..operators import nufft, particles, statistics, tree
+from ..operators import asof, nufft, particles, statistics, tree
 from ..sources import files, fixtures, gadget, ranlux
 from . import initial, lpt, nbody, oracle, ppt, sheet
 
@@ -222,7 +222,26 @@ def superconft_table(spark, d):
 
 def interp_table(spark, d):
     x = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), (0.001 + F.col("value") / 100).alias("x"))
-    return C.interpolate(fixtures.spectrum_table(spark), x, "k", "pk").select("id", q("y", 8).alias("y"))
+    return asof.interpolate(fixtures.spectrum_table(spark), x, "k", "pk").select("id", q("y", 8).alias("y"))
+
+
+def interp_asof(spark, d):
+    """Knots from all orders, of equal prices the least key; probes from all events, some beyond the ends: the way of large tables."""
+    nbody_dir(spark)
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    probes = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), (F.col("value") * 4000 - 20000).alias("x"))
+    return asof.interpolate(orders, probes, "o_totalprice", "o_orderkey", small=0, ranges=16).select("id", q("y", 4).alias("y"))
+
+
+def time_maps(spark, d):
+    """Scale factors to superconformal time, growth and back, as columns, for every event; the table has eight knots with closed forms."""
+    import numpy as np
+
+    a = np.arange(1, 9) / 8
+    times = C.Times(C.EDS, {"a": a, "superconft": -2 * (a**-0.5 - 1), "Dplus": a**0.9, "Dplusda": 0.9 * a**-0.1})
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), (F.col("value") / 90).alias("a"))
+    s = times.column("superconft", "a")
+    return events.select("id", q(s, 7).alias("superconft"), q(times.column("a", s, "superconft"), 7).alias("back"), q(times.column("a", F.col("a"), "Dplus"), 7).alias("from_growth"), q(times.growth_rate_column("a"), 7).alias("rate"), q(times.fplus_column("a"), 6).alias("fplus"))
 
 
 def eds() -> C.Times:
@@ -550,7 +569,7 @@ def growth_table(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, short_range_force, tree_walk, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

@@ -213,6 +213,20 @@ def moves(order: int = 3) -> tuple[list[str], str]:
     return [f"d{x}" for x in "xyz"], f"move AS (SELECT s.*, {pick}, {', '.join(f'{e} AS d{x}' for e, x in zip(grads, 'xyz'))} FROM (SELECT *, {g} FROM moving) s, {froms})"
 
 
+def time_maps() -> str:
+    """Eight knots of a, superconformal time and growth, and linear steps between them."""
+
+    def line(x: str, key: str, to: str) -> str:
+        return f"(SELECT coalesce(max(CASE WHEN {x} >= t.{key} AND {x} < n.{key} THEN t.{to} + ({x} - t.{key}) / (n.{key} - t.{key}) * (n.{to} - t.{to}) END), CASE WHEN {x} < min(t.{key}) THEN arg_min(t.{to}, t.{key}) ELSE arg_max(n.{to}, n.{key}) END) FROM t JOIN t n ON n.i = t.i + 1)"
+
+    made = {"ms": line("e_a", "a", "s"), "md": line("e_a", "a", "d"), "mg": line("e_a", "a", "g"), "mf": line("e_a", "d", "a")}
+    return (
+        f"WITH t AS (SELECT i, i / 8.0::DOUBLE AS a, -2 * (pow(i / 8.0::DOUBLE, -0.5) - 1) AS s, pow(i / 8.0::DOUBLE, 0.9) AS d, 0.9 * pow(i / 8.0::DOUBLE, -0.1) AS g FROM range(1, 9) r(i)), "
+        f"e AS (SELECT event_id AS id, value / 90 AS e_a FROM events), m AS (SELECT id, e_a, {', '.join(f'{v} AS {k}' for k, v in made.items())} FROM e) "
+        f"SELECT id, {q('ms', 7)} AS superconft, {q(line('ms', 's', 'a'), 7)} AS back, {q('mf', 7)} AS from_growth, {q('e_a * mg / md', 7)} AS rate, {q('pow(e_a, 3) * pow(e_a, -1.5) * mg')} AS fplus FROM m"
+    )
+
+
 def pair_force(alpha: float) -> str:
     """CTE sr: the short-range force as a sum over pairs within six alpha; the error function by its series."""
     d = ", ".join(f"{min_image(f'a.{x} - b.{x}')} AS d{x}" for x in "xyz")
@@ -329,6 +343,9 @@ def statements() -> dict[str, str]:
         "sigma8": f"WITH {SPECTRUM} SELECT {q(sigma2('pk'), 9)} AS sigma2",
         "linear_ps": f"WITH ktable AS (SELECT CAST(i AS INTEGER) AS i, exp(ln(1e-5) + i * (ln(1e3) - ln(1e-5)) / 63) AS k FROM range(64) t(i)), pk AS (SELECT i, k, pow({transfer_eh(PLANCK)}, 2) * pow(k, {PLANCK.n_s!r}) AS pk FROM ktable) SELECT i, {q('pk * ' + repr(PLANCK.sigma8**2) + ' / ' + sigma2('pk'), 5)} AS pk FROM pk",
         "superconft_table": f"WITH {FACTORS}, g AS (SELECT i, a, 1 / ({expansion(PLANCK)} * a * a * a) AS f FROM factors), s AS (SELECT i, (lead(a) OVER (ORDER BY i) - a) * (lead(f) OVER (ORDER BY i) + f) / 2 AS s FROM g) SELECT i, {q('-coalesce(sum(s) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 0.0)', 5)} AS superconft FROM s",
+        "interp_asof": f"WITH t AS (SELECT *, lead(k) OVER (ORDER BY k) AS k2, lead(v) OVER (ORDER BY k) AS v2 FROM (SELECT o_totalprice AS k, CAST(min(o_orderkey) AS DOUBLE) AS v FROM orders GROUP BY 1)), p AS (SELECT event_id AS id, value * 4000 - 20000 AS x FROM events) "
+        f"SELECT id, {q('coalesce(CASE WHEN k2 IS NULL THEN v ELSE v + (x - k) / (k2 - k) * (v2 - v) END, (SELECT arg_min(v, k) FROM t))', 4)} AS y FROM p ASOF LEFT JOIN t ON p.x >= t.k",
+        "time_maps": time_maps(),
         "interp_table": f"WITH {SPECTRUM}, t AS (SELECT k, pk, lead(k) OVER (ORDER BY k) AS k2, lead(pk) OVER (ORDER BY k) AS pk2 FROM pk), x AS (SELECT event_id AS id, 0.001 + value / 100 AS x FROM events) "
         f"SELECT id, {q('CASE WHEN x >= (SELECT max(k) FROM pk) THEN (SELECT arg_max(pk, k) FROM pk) ELSE pk + (x - k) / (k2 - k) * (pk2 - pk) END', 8)} AS y FROM x LEFT JOIN t ON x >= k AND x < k2",
         "plane_wave": f"WITH w AS (SELECT i, i / 64.0 AS q FROM range(64) t(i)) SELECT i AS id, {q(f'q + 0.25 / 0.5 * sin({TAU} * q) / {TAU}', 9)} AS x, {q(f'0.125 * sin({TAU} * q) / ({TAU} * 0.5)', 9)} AS px, {q(f'-0.5 * cos({TAU} * q)', 9)} AS delta FROM w",
