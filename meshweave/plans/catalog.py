@@ -12,7 +12,7 @@ from ..functions import cosmology as C
 from ..operators import fourier as X
 from ..operators import mesh as M
 from ..operators import asof, nufft, particles, statistics, tree
-from ..sources import files, fixtures, gadget, ranlux
+from ..sources import curve, files, fixtures, gadget, ranlux
 from . import initial, lpt, nbody, oracle, ppt, sheet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,6 +331,15 @@ def snapshot_series(spark, d):
     return even.unionByName(one).select("snap", "id", q("y").alias("y"))
 
 
+def box_queries(spark, d):
+    """A slice, a skewer, a box over the edge and a small box, each read from particles stored along the curve."""
+    path = scratch(spark, "curve")
+    curve.write_sorted(fixtures.particles(spark, d), MESH, path)
+    boxes = {"slice": [(25.0, 37.5), None, None], "skewer": [(50.0, 62.5), (0.0, 12.5), None], "edge": [(90.0, 105.0), (-10.0, 20.0), (30.0, 80.0)], "small": [(40.0, 43.0), (71.0, 75.0), (11.0, 19.0)]}
+    parts = [curve.read_box(spark, path, MESH, box).select(F.lit(name).alias("box"), "id", *[q(x).alias(x) for x in "xyz"]) for name, box in boxes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def positions_from_psi(spark, d):
     psi = spark.range(MESH.size).select("id", F.sin("id").alias("sx"), (30 * F.cos("id")).alias("sy"), F.lit(-0.5).alias("sz"))
     return M.positions_from_displacement(psi, MESH).select("id", *[q(x).alias(x) for x in "xyz"])
@@ -569,7 +578,7 @@ def growth_table(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, box_queries, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, short_range_force, tree_walk, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

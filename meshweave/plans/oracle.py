@@ -355,6 +355,8 @@ def statements() -> dict[str, str]:
         "morton_3d": f"WITH {PART}, g AS (SELECT id, CAST(least(floor(x / {L} * 1024), 1023) AS BIGINT) AS a, CAST(least(floor(y / {L} * 1024), 1023) AS BIGINT) AS b, CAST(least(floor(z / {L} * 1024), 1023) AS BIGINT) AS c FROM part) SELECT id, CAST({bits('a', 2)} | {bits('b', 1)} | {bits('c', 0)} AS BIGINT) AS morton FROM g",
         "multipoles": " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS level, CAST(count(DISTINCT (floor(x / {L} * {1 << n}), floor(y / {L} * {1 << n}), floor(z / {L} * {1 << n}))) AS BIGINT) AS nodes, {q('CAST(count(*) AS DOUBLE)')} AS m, {q('sum(x)', 3)} AS dx, {q('sum(y * z)', 1)} AS qyz FROM (WITH {PART} SELECT * FROM part)" for n in range(4)),
         "short_range_pairs": f"WITH {PART}, d AS (SELECT a.id AS a, b.id AS b, {min_image('a.x - b.x')} AS dx, {min_image('a.y - b.y')} AS dy, {min_image('a.z - b.z')} AS dz FROM part a JOIN part b ON a.id < b.id) SELECT a, b, {q('sqrt(dx * dx + dy * dy + dz * dz)')} AS r FROM d WHERE sqrt(dx * dx + dy * dy + dz * dz) < 2",
+        "box_queries": f"WITH {PART} SELECT b AS box, id, {q('x')} AS x, {q('y')} AS y, {q('z')} AS z FROM part, (VALUES ('slice'), ('skewer'), ('edge'), ('small')) t(b) WHERE CASE b WHEN 'slice' THEN x >= 25 AND x < 37.5 WHEN 'skewer' THEN x >= 50 AND x < 62.5 AND y < 12.5 "
+        "WHEN 'edge' THEN (x >= 90 OR x < 5) AND (y >= 90 OR y < 20) AND z >= 30 AND z < 80 ELSE x >= 40 AND x < 43 AND y >= 71 AND y < 75 AND z >= 11 AND z < 19 END",
         "gadget_snapshot": f"WITH {MOVING} SELECT id, {q('x')} AS x, {q('z')} AS z, {q('py * 100 / pow(0.25, 1.5)')} AS vy, CAST(1.5 AS DOUBLE) AS mass FROM moving",
         "snapshot_series": f"WITH {MOVING} SELECT CAST(s AS INTEGER) AS snap, id, {q(pmod('y + py * (5.0 * s)', L))} AS y FROM moving, (VALUES (0), (2), (3)) t(s)",
         "gadget_units": f"WITH {MOVING} SELECT id, {q('x')} AS x, {q('px * 100 / pow(0.25, 1.5)')} AS vx, {q('pz * 100 / pow(0.25, 1.5)')} AS vz FROM moving",
