@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fourier import forward, gradient_kernel, real_forward, transform
-from .mesh import Mesh, multiplicity, wave_square
+from .fourier import forward, full_from_half, gradient_kernel, real_forward, transform
+from .mesh import Mesh, multiplicity, signed, wave_square
 
 
 def bin_edges(mesh: Mesh, bins: int | tuple[float, ...], logarithmic: bool = True) -> list[float]:
@@ -73,13 +73,18 @@ def bispectrum_edges(mesh: Mesh, bins: int) -> list[float]:
     return [mesh.fundamental + n * (top - mesh.fundamental) / bins for n in range(bins + 1)]
 
 
-def bispectrum(field: DataFrame, mesh: Mesh, bins: int = 3, equilateral: bool = False) -> DataFrame:
-    """b1, b2, b3, k1, k2, k3, triangles and b for every closed triple of shells.
+def bispectrum(field: DataFrame, mesh: Mesh, bins: int = 3, equilateral: bool = False, only_b: bool = False, direct: bool = False) -> DataFrame:
+    """b1, b2, b3, k1, k2, k3, triangles and b for every closed triple of shells; only_b leaves out all but the shells and b.
 
-    The field and the count of modes, each filtered to a shell, go back to real space in one pass of many columns;
+    direct: the sum over closed triangles of modes, for few modes; otherwise by transforms: the field and the count of modes, each filtered to a shell, go back to real space in one pass of many columns;
     a triple is then a sum over cells of products in the same row.
     """
     edges = bispectrum_edges(mesh, bins)
+    if direct:
+        centre = F.array(*[F.lit((a + b) / 2) for a, b in zip(edges, edges[1:])])
+        told = field.sparkSession.createDataFrame(triangles(mesh, bins, equilateral), "b1 int, b2 int, b3 int")  # some bins cubed
+        out = told.join(closed_triangles(field, mesh, edges), ["b1", "b2", "b3"], "left").select("b1", "b2", "b3", *[F.get(centre, F.col(f"b{n}")).alias(f"k{n}") for n in (1, 2, 3)], F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"), "b")
+        return out.select("b1", "b2", "b3", "b") if only_b else out
     shell = F.sqrt(wave_square(mesh))
     columns, pairs = [], []
     spectrum = forward(field, mesh).withColumn("__k", shell)
@@ -95,7 +100,41 @@ def bispectrum(field: DataFrame, mesh: Mesh, bins: int = 3, equilateral: bool =
     out = sums.select(F.inline("all"))
     # N^2d sum of the counts' product is the number of triangles; b = V^2 / N^3d times the mean product of modes
     count = F.col("t") * mesh.size**2
-    return out.select("b1", "b2", "b3", *[F.get(centre, F.col(f"b{n}")).alias(f"k{n}") for n in (1, 2, 3)], F.round(count).cast("long").alias("triangles"), (F.try_divide("s", "t") * (mesh.box ** (2 * mesh.dim) / mesh.size**3)).alias("b"))
+    mean = F.try_divide("s", "t") * (mesh.box ** (2 * mesh.dim) / mesh.size**3)
+    if only_b:
+        return out.select("b1", "b2", "b3", mean.alias("b"))
+    return out.select("b1", "b2", "b3", *[F.get(centre, F.col(f"b{n}")).alias(f"k{n}") for n in (1, 2, 3)], F.round(count).cast("long").alias("triangles"), mean.alias("b"))
+
+
+def closed_triangles(field: DataFrame, mesh: Mesh, edges: list[float], block: int = 2048) -> DataFrame:
+    """b1 >= b2 >= b3, triangles and b from all triples of modes that add up to zero, one mode in each shell.
+
+    Every triangle is met once: its modes are ordered by shell and number, a mode and its mirror having one number, and
+    the first is the positive of the two; orders of equal shells and the mirrored triangle are counted by a factor. Two
+    modes meet by the block of the second, and the third is looked up by what closes the triangle.
+    """
+    d, n = mesh.dim, mesh.n
+    k = [f"k{a}" for a in range(d)]
+    modes = full_from_half(real_forward(field, mesh), mesh).withColumn("s", bin_of(F.sqrt(wave_square(mesh)), edges)).where("s IS NOT NULL")
+    modes = modes.select("s", *[signed(F.col(j), n).cast("long").alias(c) for j, c in zip(mesh.modes, k)], "re", "im")
+    number = F.lit(0).cast("long")
+    for c in k:
+        number = number * (2 * n) + F.col(c)
+    modes = modes.select("*", F.abs(number).alias("m"), (number > 0).alias("up")).checkpoint()
+    parts = 1 + modes.count() // block
+    named = lambda p: modes.select(*[F.col(c).alias(p + c) for c in ("s", *k, "re", "im", "m", "up")])
+    a = named("a").where("aup").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    b = named("b").withColumn("part", F.pmod(F.xxhash64("bm", "bup"), F.lit(parts)).cast("int"))
+    after = lambda p, q: (F.col(p + "s") > F.col(q + "s")) | ((F.col(p + "s") == F.col(q + "s")) & ((F.col(p + "m") > F.col(q + "m")) | ((F.col(p + "m") == F.col(q + "m")) & (F.col(p + "up") == F.col(q + "up")))))
+    pairs = a.join(b, "part").where(after("a", "b")).withColumns({"c" + c: -(F.col("a" + c) + F.col("b" + c)) for c in k})
+    met = pairs.join(named("c"), [f"c{c}" for c in k]).where(after("b", "c"))
+    same = lambda p, q: (F.col(p + "m") == F.col(q + "m")) & (F.col(p + "up") == F.col(q + "up"))
+    alike = lambda p, q: F.col(p + "s") == F.col(q + "s")
+    twins = same("a", "b") | same("b", "c")
+    orders = F.when(alike("a", "b") & alike("b", "c"), F.when(twins, 3).otherwise(6)).when(alike("a", "b"), F.when(same("a", "b"), 1).otherwise(2)).when(alike("b", "c"), F.when(same("b", "c"), 1).otherwise(2)).otherwise(1)
+    product = F.col("are") * (F.col("bre") * F.col("cre") - F.col("bim") * F.col("cim")) - F.col("aim") * (F.col("bre") * F.col("cim") + F.col("bim") * F.col("cre"))
+    sums = met.select(*[F.col(p + "s").cast("int").alias(f"b{i + 1}") for i, p in enumerate("abc")], (2 * orders).alias("w"), product.alias("p"))
+    return sums.groupBy("b1", "b2", "b3").agg(F.sum("w").cast("long").alias("triangles"), (F.sum(F.col("w") * F.col("p")) / F.sum("w") * (mesh.box ** (2 * d) / mesh.size**3)).alias("b"))
 
 
 def jacobian(psi: DataFrame, mesh: Mesh, order: int = 0, values: bool = False) -> DataFrame:

@@ -192,6 +192,13 @@ def bispectrum(spark, d):
     return out.select("b1", "b2", "b3", "triangles", q("b", 0).alias("b"))
 
 
+def bispectrum_direct(spark, d):
+    nbody_dir(spark)
+    delta = particles.overdensity(fixtures.particles(spark, d), MESH)
+    out = statistics.bispectrum(delta, MESH, 2, direct=True)
+    return out.select("b1", "b2", "b3", "triangles", q("b", 0).alias("b"))
+
+
 def jacobian_det(spark, d):
     c = M.grid(spark, MESH)
     step = 2 * math.pi / N
@@ -578,7 +585,7 @@ def growth_table(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, box_queries, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, bispectrum_direct, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, box_queries, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, short_range_force, tree_walk, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

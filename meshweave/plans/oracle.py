@@ -278,6 +278,7 @@ def particle_statements() -> dict[str, str]:
         f"SELECT CAST(a.s AS INTEGER) AS b1, CAST(b.s AS INTEGER) AS b2, CAST(c.s AS INTEGER) AS b3, count(*) AS triangles, {q(f'avg({product}) * {L**6 / N**9!r}', 0)} AS b FROM s a JOIN s b ON a.s >= b.s "
         f"JOIN s c ON b.s >= c.s AND c.jx = (16 - a.jx - b.jx) % 8 AND c.jy = (16 - a.jy - b.jy) % 8 AND c.jz = (16 - a.jz - b.jz) % 8 GROUP BY a.s, b.s, c.s"
     )
+    out["bispectrum_direct"] = out["bispectrum"]
     flat = "flat AS (SELECT CAST(i // 8 AS INTEGER) AS jx, CAST(i % 8 AS INTEGER) AS jy, i FROM range(64) t(i))"
     angle = f"({kk('jx')} * x + {kk('jy')} * y)"
     out["nufft_type1"] = f"WITH {PART}, {flat} SELECT jx, jy, {q(f'sum(cos{angle})', 3)} AS re, {q(f'-sum(sin{angle})', 3)} AS im FROM part, flat GROUP BY jx, jy"
