@@ -13,7 +13,7 @@ from ..operators import fourier as X
 from ..operators import mesh as M
 from ..operators import asof, nufft, particles, statistics, tree
 from ..sources import curve, files, fixtures, gadget, ranlux
-from . import initial, lpt, nbody, oracle, ppt, sheet
+from . import gradients, initial, lpt, nbody, oracle, ppt, sheet
 
 Query = Callable[[SparkSession, str], DataFrame]
 MESH, BOX, N = fixtures.MESH, fixtures.BOX, 8
@@ -400,6 +400,18 @@ def spectrum_deviation(spark, d):
     return statistics.power_spectrum(delta, MESH, 6, deviation=True).select("bin", q("sd", 3).alias("sd"))
 
 
+def spectrum_gradient(spark, d):
+    """How a weighted sum of the spectrum's bins changes with every particle's position."""
+    out = gradients.spectrum_gradient(fixtures.particles(spark, d), MESH, [1.0, -0.5, 0.25, 2.0, 0.0, 1.0], 6, order=3)
+    return out.select("id", *[q(f"g{x}", 7).alias(f"g{x}") for x in "xyz"])
+
+
+def force_tangent(spark, d):
+    """The force's change along the particles' momenta."""
+    moving = fixtures.moving(spark, d).withColumns({f"t{x}": F.col(f"p{x}") for x in "xyz"})
+    return gradients.force_tangent(moving, MESH, 3).select("id", *[q(f"ta{x}", 5).alias(f"ta{x}") for x in "xyz"])
+
+
 def gather_gradient(spark, d):
     out = particles.gather(fixtures.waves(spark), fixtures.particles(spark, d), MESH, 3, gradient=True)
     return out.select("id", *[q(f"dv_d{x}").alias(f"g{x}") for x in "xyz"])
@@ -585,7 +597,7 @@ def growth_table(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, bispectrum_direct, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, box_queries, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, bispectrum_direct, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, box_queries, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, spectrum_gradient, force_tangent, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, short_range_force, tree_walk, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

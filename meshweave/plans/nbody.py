@@ -177,8 +177,11 @@ def momentum(state: DataFrame, mesh: Mesh, times: Times, a: float, to: str = "P"
     return state.withColumns({f"v{x}": F.col(f"v{x}") * (f if to == "P" else 1 / f) for x in AXES[: mesh.dim]})
 
 
-def tangent_step(state: DataFrame, mesh: Mesh, step: Step, box_force) -> DataFrame:
-    """Forward derivative through one step for forces given with their tangents: box_force maps id, x.., tx.. to id, a.., ta.. ."""
+def tangent_step(state: DataFrame, mesh: Mesh, step: Step, box_force=None, grid: Mesh | None = None, **options) -> DataFrame:
+    """Forward derivative through one step: of the particle-mesh force, or of one given with its tangent (box_force maps id, x.., tx.. to id, a.., ta..)."""
+    from .gradients import force_tangent
+
+    box_force = box_force or (lambda at: force_tangent(at, grid or mesh, **options))
     axes = AXES[: mesh.dim]
     moved = state.withColumns({**{f"s{x}": F.col(f"s{x}") + F.col(f"v{x}") * step.drift1 for x in axes}, **{f"ts{x}": F.col(f"ts{x}") + F.col(f"tv{x}") * step.drift1 for x in axes}})
     at = positions_from_displacement(moved, mesh).join(moved.select("id", *[F.col(f"ts{x}").alias(f"t{x}") for x in axes]), "id")

@@ -301,6 +301,24 @@ def particle_statements() -> dict[str, str]:
     p = f"((re * re + im * im) * {L**3 / N**6!r})"
     out["spectrum_deviation"] = f"WITH {PART}, {cells()}, {density('part', 2, 'rho')}, {dft('rho', 'f')} " + binned("f", f"{q(f'sqrt(greatest(0.0, sum(m * {p} * {p}) - pow(sum(m * {p}), 2) / sum(m)) / nullif(sum(m) - 1, 0))', 3)} AS sd")
     names, move = moves()
+    k = f"sqrt({K2})"
+    place = f"CASE {' '.join(f'WHEN {k} < {e!r} THEN {n - 1}' for n, e in enumerate(LOG_EDGES))} END"
+    bins = f"b AS (SELECT *, {place} AS bin FROM f), n AS (SELECT bin, count(*) AS n FROM b GROUP BY bin), g AS (SELECT jx, jy, jz, re * c AS re, im * c AS im FROM (SELECT b.*, coalesce([1.0, -0.5, 0.25, 2.0, 0.0, 1.0][b.bin + 1], 0) / n.n AS c FROM b JOIN n ON n.bin = b.bin AND b.bin >= 0))"
+    out["spectrum_gradient"] = (
+        f"WITH {MOVING}, {cells()}, {density('moving', 3, 'rho')}, {dft('rho', 'f')}, {bins}, {dft('g', 'back', inverse=True)}, {move} "
+        f"SELECT id, {', '.join(q(f'sum({c} * back.re) * {2 * L**3 / N**3!r} / (SELECT count(*) / {N**3}.0 FROM moving)', 7) + f' AS g{c[1]}' for c in names)} FROM move JOIN back USING (ix, iy, iz) GROUP BY id"
+    )
+    fields = []
+    for x in "xyz":
+        kernel = f"({gradient('j' + x, 0)}) / nullif({K2}, 0)"
+        for source, name in (("f", "a"), ("df", "t")):
+            fields += [f"{name}s{x} AS (SELECT jx, jy, jz, coalesce(-im * {kernel}, 0.0) AS re, coalesce(re * {kernel}, 0.0) AS im FROM {source})", dft(f"{name}s{x}", f"{name}{x}", inverse=True)]
+    changed = f"dm AS (SELECT ix, iy, iz, sum(dx * px + dy * py + dz * pz) AS v FROM move GROUP BY ALL), drho AS (SELECT c.ix, c.iy, c.iz, coalesce(dm.v, 0) / ((SELECT count(*) FROM moving) / {N**3}.0) AS re, 0.0 AS im FROM cells c LEFT JOIN dm USING (ix, iy, iz))"
+    parts = ", ".join(f"still{x} AS (SELECT id, sum(w * t{x}.re) AS s FROM near JOIN t{x} USING (ix, iy, iz) GROUP BY id), moved{x} AS (SELECT id, sum((dx * px + dy * py + dz * pz) * a{x}.re) AS s FROM move JOIN a{x} USING (ix, iy, iz) GROUP BY id)" for x in "xyz")
+    out["force_tangent"] = (
+        f"WITH {MOVING}, {cells()}, {density('moving', 3, 'rho')}, {dft('rho', 'f')}, {move}, {changed}, {dft('drho', 'df')}, {', '.join(fields)}, {stencil('moving', 3, out='near')}, {parts} "
+        f"SELECT id, {', '.join(q(f'still{x}.s + moved{x}.s', 5) + f' AS ta{x}' for x in 'xyz')} FROM {' JOIN '.join(f'still{x} USING (id) JOIN moved{x} USING (id)' if x != 'x' else 'stillx JOIN movedx USING (id)' for x in 'xyz')}"
+    )
     out["gather_gradient"] = f"WITH {MOVING}, {WAVES}, {move} SELECT id, {', '.join(q(f'sum({c} * waves.v)') + f' AS g{c[1]}' for c in names)} FROM move JOIN waves USING (ix, iy, iz) GROUP BY id"
     out["deposit_tangent"] = f"WITH {MOVING}, {cells()}, {move}, d AS (SELECT ix, iy, iz, sum(dx * px + dy * py + dz * pz) AS dv FROM move GROUP BY ix, iy, iz) SELECT ix, iy, iz, {q('coalesce(dv, 0)', 5)} AS dv FROM cells LEFT JOIN d USING (ix, iy, iz)"
     pair = lambda c, shift: " | ".join(f"((({c} >> {n}) & 1) << {2 * n + shift})" for n in range(10))
