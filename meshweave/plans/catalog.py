@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cosmology as C
+from ..functions import usercode
 from ..operators import fourier as X
 from ..operators import mesh as M
 from ..operators import asof, nufft, particles, statistics, tree
@@ -412,6 +413,16 @@ def force_tangent(spark, d):
     return gradients.force_tangent(moving, MESH, 3).select("id", *[q(f"ta{x}", 5).alias(f"ta{x}") for x in "xyz"])
 
 
+def user_code(spark, d):
+    """Cells through a user's table function, plane by plane, and a user's scalar function, from SQL text."""
+    import numpy as np
+
+    usercode.scalar(spark, "squeezed", lambda v: np.sign(v) * np.log1p(np.abs(v)))
+    usercode.table(spark, "plane_facts", lambda c: {"cells": [len(c["v"])], "top": [c["v"].max()], "spread": [c["v"].max() - c["v"].min()]}, "ix int, cells long, top double, spread double", keys=("ix",))
+    particles.overdensity(fixtures.particles(spark, d), MESH).createOrReplaceTempView("meshweave_cells")
+    return spark.sql("SELECT ix, cells, round(squeezed(top), 6) + 0.0D AS top, round(spread, 6) + 0.0D AS spread FROM plane_facts(TABLE(SELECT ix, v FROM meshweave_cells) PARTITION BY ix)")
+
+
 def gather_gradient(spark, d):
     out = particles.gather(fixtures.waves(spark), fixtures.particles(spark, d), MESH, 3, gradient=True)
     return out.select("id", *[q(f"dv_d{x}").alias(f"g{x}") for x in "xyz"])
@@ -597,7 +608,7 @@ def growth_table(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, bispectrum_direct, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, box_queries, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, spectrum_gradient, force_tangent, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
+    named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, bispectrum_direct, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, box_queries, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, spectrum_gradient, force_tangent, user_code, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
     free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, short_range_force, tree_walk, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}

@@ -319,6 +319,7 @@ def particle_statements() -> dict[str, str]:
         f"WITH {MOVING}, {cells()}, {density('moving', 3, 'rho')}, {dft('rho', 'f')}, {move}, {changed}, {dft('drho', 'df')}, {', '.join(fields)}, {stencil('moving', 3, out='near')}, {parts} "
         f"SELECT id, {', '.join(q(f'still{x}.s + moved{x}.s', 5) + f' AS ta{x}' for x in 'xyz')} FROM {' JOIN '.join(f'still{x} USING (id) JOIN moved{x} USING (id)' if x != 'x' else 'stillx JOIN movedx USING (id)' for x in 'xyz')}"
     )
+    out["user_code"] = f"WITH {PART}, {cells()}, {density('part', 2, 'rho')} SELECT ix, count(*) AS cells, {q('sign(max(re)) * ln(1 + abs(max(re)))')} AS top, {q('max(re) - min(re)')} AS spread FROM rho GROUP BY ix"
     out["gather_gradient"] = f"WITH {MOVING}, {WAVES}, {move} SELECT id, {', '.join(q(f'sum({c} * waves.v)') + f' AS g{c[1]}' for c in names)} FROM move JOIN waves USING (ix, iy, iz) GROUP BY id"
     out["deposit_tangent"] = f"WITH {MOVING}, {cells()}, {move}, d AS (SELECT ix, iy, iz, sum(dx * px + dy * py + dz * pz) AS dv FROM move GROUP BY ix, iy, iz) SELECT ix, iy, iz, {q('coalesce(dv, 0)', 5)} AS dv FROM cells LEFT JOIN d USING (ix, iy, iz)"
     pair = lambda c, shift: " | ".join(f"((({c} >> {n}) & 1) << {2 * n + shift})" for n in range(10))
