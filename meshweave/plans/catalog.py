@@ -40,12 +40,8 @@ def modes2(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*FLAT.modes, q("re", digits).alias("re"), q("im", digits).alias("im"))
 
 
-def waves_spectrum(spark: SparkSession) -> DataFrame:
-    return X.forward(fixtures.waves(spark), MESH)
-
-
-def all_modes(spark: SparkSession) -> DataFrame:
-    return M.fourier_grid(spark, MESH, full=True)
+def field_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    return X.forward(fixtures.field(spark, d), MESH)
 
 
 def wrap_positions(spark, d):
@@ -64,12 +60,14 @@ def pair_distance(spark, d):
 
 
 def lagrangian_grid(spark, d):
-    return M.lagrangian_grid(spark, MESH)
+    """The lattice, with how many events fall to each place by their number."""
+    found = spark.read.parquet(f"{d}/events.parquet").groupBy(F.pmod("event_id", F.lit(MESH.size)).alias("id")).agg(F.count("*").alias("n"))
+    return M.lagrangian_grid(spark, MESH).join(found, "id")
 
 
 def fourier_grid(spark, d):
-    g = M.fourier_grid(spark, MESH)
-    return g.select(*MESH.modes, *[q(c, 9).alias(c) for c in ("kx", "ky", "kz", "k")])
+    g = M.fourier_grid(spark, MESH).join(X.real_forward(fixtures.field(spark, d), MESH), MESH.modes)
+    return g.select(*MESH.modes, *[q(c, 9).alias(c) for c in ("kx", "ky", "kz", "k")], q(F.col("re") * F.col("re") + F.col("im") * F.col("im"), 4).alias("power"))
 
 
 def slice_filter(spark, d):
@@ -78,11 +76,12 @@ def slice_filter(spark, d):
 
 def subsample_stride(spark, d):
     mesh = M.Mesh(3, 16, BOX)
-    return M.stride(M.grid(spark, mesh).select("id", F.col("id").alias("was")), mesh, 4)
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.pmod("event_id", F.lit(mesh.size)).alias("id"), F.col("event_id").alias("was"))
+    return M.stride(rows, mesh, 4)
 
 
 def glass_detile(spark, d):
-    return spark.range(4096).select("id", M.detile(F.col("id"), 2, 8).alias("place"))
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), M.detile(F.pmod("event_id", F.lit(4096)), 2, 8).alias("place"))
 
 
 def deposit(order: int) -> Query:
@@ -99,7 +98,7 @@ def deposit_weighted(spark, d):
 
 def gather(order: int) -> Query:
     def run(spark, d):
-        return particles.gather(fixtures.waves(spark), fixtures.particles(spark, d), MESH, order).select("id", q("v").alias("v"))
+        return particles.gather(fixtures.field(spark, d), fixtures.particles(spark, d), MESH, order).select("id", q("v").alias("v"))
 
     return run
 
@@ -113,65 +112,65 @@ def cell_velocity(spark, d):
 
 
 def dft_forward(spark, d):
-    return modes(waves_spectrum(spark))
+    return modes(field_spectrum(spark, d))
 
 
 def dft_inverse(spark, d):
-    return field(X.backward(waves_spectrum(spark), MESH))
+    return field(X.backward(field_spectrum(spark, d), MESH))
 
 
 def grad_kernel(order: int) -> Query:
-    return lambda spark, d: all_modes(spark).select(*MESH.modes, q(X.gradient_kernel(MESH, 1, order)).alias("g"))
+    return lambda spark, d: field_spectrum(spark, d).select(*MESH.modes, q(F.col("re") * X.gradient_kernel(MESH, 1, order)).alias("g"))
 
 
 def inv_laplace(order: int) -> Query:
-    return lambda spark, d: all_modes(spark).select(*MESH.modes, q(X.inverse_laplacian_kernel(MESH, order), 7).alias("g"))
+    return lambda spark, d: field_spectrum(spark, d).select(*MESH.modes, q(F.col("im") * X.inverse_laplacian_kernel(MESH, order), 4).alias("g"))
 
 
 def mak_kernel(spark, d):
-    return all_modes(spark).select(*MESH.modes, q(X.assignment_kernel(MESH, 2)).alias("cic"), q(X.assignment_kernel(MESH, 3, twice=True), 5).alias("tsc_twice"))
+    return field_spectrum(spark, d).select(*MESH.modes, q(F.col("re") * X.assignment_kernel(MESH, 2)).alias("cic"), q(F.col("re") * X.assignment_kernel(MESH, 3, twice=True), 4).alias("tsc_twice"))
 
 
 def deconvolve(spark, d):
-    return field(X.deconvolved(fixtures.waves(spark), MESH))
+    return field(X.deconvolved(fixtures.field(spark, d), MESH))
 
 
 def poisson(spark, d):
-    return field(X.potential(fixtures.waves(spark), MESH), 4)
+    return field(X.potential(fixtures.field(spark, d), MESH), 4)
 
 
 def gaussian_split(spark, d):
-    return field(X.backward(X.long_range(waves_spectrum(spark), MESH, 10.0), MESH))
+    return field(X.backward(X.long_range(field_spectrum(spark, d), MESH, 10.0), MESH))
 
 
 def fourier_crop(spark, d):
-    return modes(M.crop(waves_spectrum(spark), MESH.at(4), MESH))
+    return modes(M.crop(field_spectrum(spark, d), MESH.at(4), MESH))
 
 
 def fourier_pad(spark, d):
-    return modes(M.pad(waves_spectrum(spark), MESH, MESH.at(12)))
+    return modes(M.pad(field_spectrum(spark, d), MESH, MESH.at(12)))
 
 
 def dealiased_product(spark, d):
-    w = waves_spectrum(spark)
+    w = field_spectrum(spark, d)
     return modes(X.dealiased_product(w, w, MESH))
 
 
 def hermitian_sym(spark, d):
-    g = M.fourier_grid(spark, MESH).select(*MESH.modes, F.sin(F.col("id") * 0.7).alias("re"), F.cos(F.col("id") * 1.3).alias("im"))
+    g = X.real_forward(fixtures.field(spark, d), MESH).select(*MESH.modes, (F.col("re") + 0.1 * F.col("jx")).alias("re"), (F.col("im") - 0.05 * F.col("jy")).alias("im"))
     return modes(X.hermitian(g, MESH))
 
 
 def k_order(kind: str) -> Query:
     def run(spark, d):
-        g = M.fourier_grid(spark, MESH).select(*MESH.modes)
-        return X.mode_order(g, MESH, kind).select(*MESH.modes, "rank")
+        g = X.real_forward(fixtures.field(spark, d), MESH)
+        return X.mode_order(g, MESH, kind).select(*MESH.modes, "rank", q("re").alias("re"))
 
     return run
 
 
 def fourier_shift(spark, d):
-    return field(X.shifted(fixtures.waves(spark), MESH, (3.0, 0.0, 5.0)))
+    return field(X.shifted(fixtures.field(spark, d), MESH, (3.0, 0.0, 5.0)))
 
 
 def power_spectrum(spark, d):
@@ -181,7 +180,7 @@ def power_spectrum(spark, d):
 
 
 def cross_spectrum(spark, d):
-    w = fixtures.waves(spark)
+    w = fixtures.field(spark, d)
     other = w.withColumn("v", F.col("v") * F.col("v") + 0.1 * F.col("ix"))
     out = statistics.cross_spectrum(w, other, MESH, 6)
     return out.select("bin", q("k").alias("k"), q("p1", 3).alias("p1"), q("p2", 3).alias("p2"))
@@ -201,23 +200,21 @@ def bispectrum_direct(spark, d):
 
 
 def jacobian_det(spark, d):
-    c = M.grid(spark, MESH)
-    step = 2 * math.pi / N
-    psi = c.select(*MESH.cells, (2 * F.sin(F.col("ix") * step)).alias("sx"), F.sin(F.col("iy") * step).alias("sy"), F.lit(0.0).alias("sz"))
+    psi = fixtures.field(spark, d).select(*MESH.cells, (2 * F.col("v")).alias("sx"), F.col("v").alias("sy"), (0.5 * F.col("v")).alias("sz"))
     return statistics.jacobian(psi, MESH).select(*MESH.cells, q("det").alias("det"))
 
 
 def e_of_a(spark, d):
     a = F.col("a")
-    return fixtures.scale_factors(spark).select("i", q(C.expansion(PLANCK, a), 5).alias("e"), q(C.hubble(PLANCK, a), 3).alias("h"), q(C.expansion_slope(PLANCK, a), 3).alias("slope"), q(C.omega_de(PLANCK, a)).alias("de"))
+    return fixtures.scale_factors(spark, d).select("id", q(C.expansion(PLANCK, a), 5).alias("e"), q(C.hubble(PLANCK, a), 3).alias("h"), q(C.expansion_slope(PLANCK, a), 3).alias("slope"), q(C.omega_de(PLANCK, a)).alias("de"))
 
 
 def transfer(kind: str) -> Query:
-    return lambda spark, d: fixtures.spectrum_table(spark).select("i", q(C.TRANSFER[kind](PLANCK, F.col("k")), 7).alias("t"))
+    return lambda spark, d: fixtures.wave_numbers(spark, d).select("id", q(C.TRANSFER[kind](PLANCK, F.col("k")), 7).alias("t"))
 
 
 def sigma8(spark, d):
-    return C.sigma_squared(fixtures.spectrum_table(spark)).select(q("sigma2", 9).alias("sigma2"))
+    return C.sigma_squared(fixtures.spectrum_table(spark, d)).select(q("sigma2", 9).alias("sigma2"))
 
 
 def linear_ps(spark, d):
@@ -225,12 +222,12 @@ def linear_ps(spark, d):
 
 
 def superconft_table(spark, d):
-    return C.superconformal_frame(PLANCK, fixtures.scale_factors(spark)).select("i", q("superconft", 5).alias("superconft"))
+    return C.superconformal_frame(PLANCK, fixtures.time_table(spark, d)).select("i", q("superconft", 5).alias("superconft"))
 
 
 def interp_table(spark, d):
     x = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), (0.001 + F.col("value") / 100).alias("x"))
-    return asof.interpolate(fixtures.spectrum_table(spark), x, "k", "pk").select("id", q("y", 8).alias("y"))
+    return asof.interpolate(fixtures.spectrum_table(spark, d), x, "k", "pk").select("id", q("y", 8).alias("y"))
 
 
 def interp_asof(spark, d):
@@ -267,9 +264,9 @@ def plane_wave(spark, d):
 
 
 def zeldovich_1d(spark, d):
-    k = 2 * math.pi
-    x = F.col("ix") / 64
-    phi = M.grid(spark, LINE).select("ix", (F.cos(x * k) / k**2 - 0.3 * F.sin(x * (2 * k)) / (2 * k)).alias("v"))
+    """The orders' overdensity on a line, weakened, as a potential."""
+    at = fixtures.line(spark, d).select("id", (F.col("x") / BOX).alias("x"))
+    phi = particles.overdensity(at, LINE).withColumn("v", F.col("v") * 1e-4)
     return lpt.displacements(X.forward(phi, LINE), LINE).select("id", q("s1x", 8).alias("sx"))
 
 
@@ -349,41 +346,41 @@ def box_queries(spark, d):
 
 
 def positions_from_psi(spark, d):
-    psi = spark.range(MESH.size).select("id", F.sin("id").alias("sx"), (30 * F.cos("id")).alias("sy"), F.lit(-0.5).alias("sz"))
+    psi = fixtures.particles(spark, d).select(F.pmod("id", F.lit(MESH.size)).alias("id"), (F.col("x") / 10).alias("sx"), (F.col("y") - 50).alias("sy"), F.lit(-0.5).alias("sz"))
     return M.positions_from_displacement(psi, MESH).select("id", *[q(x).alias(x) for x in "xyz"])
 
 
 def dilated_mask(spark, d):
-    return M.dilated(fixtures.waves(spark).select(*MESH.cells, (F.col("v") > 1.4).alias("v")), MESH)
+    return M.dilated(fixtures.field(spark, d).select(*MESH.cells, (F.col("v") > 0.4).alias("v")), MESH)
 
 
 def sphere_mode(spark, d):
-    return modes(M.spherical(waves_spectrum(spark), MESH))
+    return modes(M.spherical(field_spectrum(spark, d), MESH))
 
 
 def spectrum_cutoff(spark, d):
-    pk = fixtures.spectrum_table(spark)
+    pk = fixtures.spectrum_table(spark, d)
     return pk.select("i", *[q(F.col("pk") * C.cutoff(F.col("k"), kind, 0.1), 9).alias(kind) for kind in ("sharp", "gaussian")])
 
 
 def field_rescaled(spark, d):
-    return field(statistics.rescaled(fixtures.waves(spark), 0.5))
+    return field(statistics.rescaled(fixtures.field(spark, d), 0.5))
 
 
 def density_from_phi(spark, d):
-    return field(X.density(fixtures.waves(spark), MESH))
+    return field(X.density(fixtures.field(spark, d), MESH))
 
 
 def field_derivative(spark, d):
-    return field(X.derivative(fixtures.waves(spark), MESH, 1, 4))
+    return field(X.derivative(fixtures.field(spark, d), MESH, 1, 4))
 
 
 def shift_linear(spark, d):
-    return field(X.shifted(fixtures.waves(spark), MESH, (3.0, 0.0, 5.0), "linear"))
+    return field(X.shifted(fixtures.field(spark, d), MESH, (3.0, 0.0, 5.0), "linear"))
 
 
 def value_at(spark, d):
-    set_plane = M.with_value_at(fixtures.waves(spark), "v", F.col("ix") == 3, 9.0)
+    set_plane = M.with_value_at(fixtures.field(spark, d), "v", F.col("ix") == 3, 9.0)
     return field(M.with_value_at(set_plane, "v", F.col("iz") == 0, 0.5, add=True))
 
 
@@ -424,7 +421,7 @@ def user_code(spark, d):
 
 
 def gather_gradient(spark, d):
-    out = particles.gather(fixtures.waves(spark), fixtures.particles(spark, d), MESH, 3, gradient=True)
+    out = particles.gather(fixtures.field(spark, d), fixtures.particles(spark, d), MESH, 3, gradient=True)
     return out.select("id", *[q(f"dv_d{x}").alias(f"g{x}") for x in "xyz"])
 
 
@@ -437,7 +434,7 @@ def deposit_tangent(spark, d):
 
 
 def pencil_fft(spark, d):
-    return modes(X.forward(fixtures.waves(spark, M.Mesh(3, 16, BOX)), M.Mesh(3, 16, BOX), method="pencil"))
+    return modes(X.forward(fixtures.field(spark, d, M.Mesh(3, 16, BOX)), M.Mesh(3, 16, BOX), method="pencil"))
 
 
 def skewer(spark, d):
@@ -500,13 +497,16 @@ def tree_walk(spark, d):
     return near.join(exact, "id").join(F.broadcast(typical), how="cross").select("id", *[(F.abs(F.col(f"a{x}") - F.col(f"e{x}")) < 1e-3 * F.col("typical")).alias(f"a{x}") for x in "xyz"])
 
 
-def _potential(spark: SparkSession, mesh: M.Mesh) -> DataFrame:
-    pk = C.linear_spectrum(spark, PLANCK, mesh.box, mesh.n)
-    return initial.gaussian_potential(spark, mesh, pk, seed=3)
+def _potential(spark: SparkSession, d: str, mesh: M.Mesh) -> DataFrame:
+    """A potential with the particles' overdensity, weakened, as its Laplacian."""
+    delta = X.without_mean(X.forward(fixtures.field(spark, d, mesh), mesh), mesh)
+    return X.scaled(delta, X.inverse_laplacian_kernel(mesh) * 0.05)
 
 
 def gaussian_field(spark, d):
-    return modes(_potential(spark, MESH))
+    """The particles' overdensity as the noise of a Gaussian potential."""
+    pk = C.linear_spectrum(spark, PLANCK, MESH.box, MESH.n)
+    return modes(initial.gaussian_potential(spark, MESH, pk, noise=fixtures.field(spark, d)))
 
 
 def fourier_noise(spark, d):
@@ -530,7 +530,7 @@ def ngenic_modes(spark, d):
 
 def lpt_3(spark, d):
     nbody_dir(spark)
-    out = lpt.displacements(_potential(spark, MESH).checkpoint(), MESH, 3)
+    out = lpt.displacements(_potential(spark, d, MESH).checkpoint(), MESH, 3)
     return out.select("id", *[q(c).alias(c) for c in out.columns if c != "id"])
 
 
@@ -547,7 +547,7 @@ def nbody_dir(spark: SparkSession) -> None:
 
 def ppt_free(spark, d):
     nbody_dir(spark)
-    phi = X.backward(_potential(spark, MESH), MESH).checkpoint()
+    phi = X.backward(_potential(spark, d, MESH), MESH).checkpoint()
     out, _ = ppt.propagate(phi, MESH, 0.5, growth_rate=0.8, lyman=(1.0, 1.6))
     return out.select(*MESH.cells, *[q(c).alias(c) for c in out.columns if c not in MESH.cells])
 
@@ -564,7 +564,7 @@ def nbody_1d(spark, d):
 def nbody_3d(spark, d):
     nbody_dir(spark)
     times = C.Times.of(PLANCK)
-    orders = lpt.displacements(_potential(spark, MESH).checkpoint(), MESH, 2)
+    orders = lpt.displacements(_potential(spark, d, MESH).checkpoint(), MESH, 2)
     psi, pi = (lpt.evaluated(orders, MESH, times, 0.1, 2, what) for what in ("psi", "D"))
     state = psi.join(pi.select("id", *[F.col(f"s{x}").alias(f"v{x}") for x in "xyz"]), "id").checkpoint()
     out = nbody.run(state, MESH, times, nbody.step_times(times, 0.1, 1.0, 3), "bullfrog", "pm", MESH.at(16))
@@ -579,7 +579,7 @@ def sheet_resampled(spark, d):
 
 def waves_at_places(spark, d):
     places = M.lagrangian_grid(spark, MESH).select("id", (F.col("qx") + 3).alias("x"), F.col("qy").alias("y"), (F.col("qz") + 5).alias("z"))
-    return field(X.backward(initial.evaluated_at(waves_spectrum(spark), MESH, places, 1e-12), MESH))
+    return field(X.backward(initial.evaluated_at(field_spectrum(spark, d), MESH, places, 1e-12), MESH))
 
 
 def growth_eds(spark, d):
@@ -591,7 +591,7 @@ def growth_eds(spark, d):
 def lpt_exact(spark, d):
     """In an Einstein-de Sitter background the parts with their own growth add up to the orders with powers of D."""
     nbody_dir(spark)
-    orders = lpt.displacements(_potential(spark, MESH).checkpoint(), MESH, 3, split=True).checkpoint()
+    orders = lpt.displacements(_potential(spark, d, MESH).checkpoint(), MESH, 3, split=True).checkpoint()
     both, times = None, C.Times.of(C.EDS, C.a_grid(steps=4096))  # the table is read linearly
     for what in ("psi", "velocity", "D", "acceleration"):
         a, b = (lpt.evaluated(orders, MESH, times, 0.5, 3, what, exact) for exact in (True, False))

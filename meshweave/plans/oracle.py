@@ -28,10 +28,10 @@ def cells(n: int = N, name: str = "cells", to: tuple[str, ...] = ("ix", "iy", "i
     return f"{name} AS (SELECT CAST(i // {n * n} AS INTEGER) AS {to[0]}, CAST(i // {n} % {n} AS INTEGER) AS {to[1]}, CAST(i % {n} AS INTEGER) AS {to[2]}, i AS id FROM range({n**3}) t(i))"
 
 
-WAVES = f"{cells()}, waves AS (SELECT ix, iy, iz, cos(ix * {TAU} / {N}) + 0.5 * sin((ix + 2 * iy) * {TAU} / {N}) + 0.25 * cos((iy + 3 * iz) * {TAU} / {N}) AS v FROM cells)"
-KTABLE = f"ktable AS (SELECT CAST(i AS INTEGER) AS i, exp(ln(1e-4) + i * (ln(10) - ln(1e-4)) / 63) AS k FROM range(64) t(i))"
-SPECTRUM = KTABLE + ", pk AS (SELECT i, k, k / pow(1 + pow(k / 0.02, 2), 2) AS pk FROM ktable)"
-FACTORS = "factors AS (SELECT CAST(i AS INTEGER) AS i, CAST(i + 1 AS DOUBLE) / 64 AS a FROM range(64) t(i))"
+KTABLE = "ktable AS (SELECT event_id AS id, 0.001 + value / 100 AS k FROM events)"
+SPECTRUM = "pk AS (SELECT i, k, k / pow(1 + pow(k / 0.02, 2), 2) AS pk FROM (SELECT i, pow(CAST(i + 1 AS DOUBLE), 1.5) * 1e-3 AS k FROM (SELECT DISTINCT CAST(floor(value) AS INTEGER) AS i FROM events)))"
+FACTORS = "factors AS (SELECT event_id AS id, 0.05 + value / 100 AS a FROM events)"
+TIMES = "factors AS (SELECT i, CAST(i + 1 AS DOUBLE) / (max(i) OVER () + 1) AS a FROM (SELECT DISTINCT CAST(floor(value) AS INTEGER) AS i FROM events))"
 AXES = (("ix", "jx"), ("iy", "jy"), ("iz", "jz"))
 
 
@@ -89,10 +89,9 @@ def deposited(order: int) -> str:
 
 
 def gathered(order: int) -> str:
-    return f"WITH {PART}, {WAVES}, {stencil('part', order)} SELECT id, {q('sum(w * waves.v)')} AS v FROM sten JOIN waves USING (ix, iy, iz) GROUP BY id"
+    return f"WITH {WAVES}, {stencil('part', order)} SELECT id, {q('sum(w * waves.v)')} AS v FROM sten JOIN waves USING (ix, iy, iz) GROUP BY id"
 
 
-WAVE_SPECTRUM = WAVES + ", field AS (SELECT ix, iy, iz, v AS re, 0.0 AS im FROM waves), " + dft("field", "f")
 
 
 def spectral(expression_re: str, expression_im: str, digits: int = 6) -> str:
@@ -197,9 +196,14 @@ def slope(d: str) -> str:
     return f"(CASE WHEN abs({d}) <= 0.5 THEN -2 * {d} WHEN abs({d}) <= 1.5 THEN sign({d}) * (abs({d}) - 1.5) ELSE 0.0 END)"
 
 
-def density(source: str, order: int, name: str) -> str:
+def density(source: str, order: int, name: str, n: int = N) -> str:
     """CTEs of a source's overdensity on the mesh, as name with re and im."""
-    return f"{stencil(source, order, out=f'{name}_s')}, {name}_d AS (SELECT ix, iy, iz, sum(w) AS v FROM {name}_s GROUP BY ALL), {name} AS (SELECT c.ix, c.iy, c.iz, coalesce(d.v, 0) / ((SELECT count(*) FROM {source}) / {N**3}.0) - 1 AS re, 0.0 AS im FROM cells c LEFT JOIN {name}_d d USING (ix, iy, iz))"
+    return f"{stencil(source, order, n, out=f'{name}_s')}, {name}_d AS (SELECT ix, iy, iz, sum(w) AS v FROM {name}_s GROUP BY ALL), {name} AS (SELECT c.ix, c.iy, c.iz, coalesce(d.v, 0) / ((SELECT count(*) FROM {source}) / {n**3}.0) - 1 AS re, 0.0 AS im FROM cells c LEFT JOIN {name}_d d USING (ix, iy, iz))"
+
+
+FIELD = f"{cells()}, {density('part', 2, 'dens')}, waves AS (SELECT ix, iy, iz, re AS v FROM dens)"
+WAVES = f"{PART}, {FIELD}"
+WAVE_SPECTRUM = WAVES + ", field AS (SELECT ix, iy, iz, v AS re, 0.0 AS im FROM waves), " + dft("field", "f")
 
 
 def moves(order: int = 3) -> tuple[list[str], str]:
@@ -245,7 +249,7 @@ def pair_force(alpha: float) -> str:
 def particle_statements() -> dict[str, str]:
     """Forces, non-uniform transforms by definition, and the statistics of three points as sums over pairs of modes."""
     h, out = L / N, {}
-    wide = f"{cells(16)}, field AS (SELECT ix, iy, iz, cos(ix * {TAU} / 16) + 0.5 * sin((ix + 2 * iy) * {TAU} / 16) + 0.25 * cos((iy + 3 * iz) * {TAU} / 16) AS re, 0.0 AS im FROM cells), {dft('field', 'f', 16)}"
+    wide = f"{PART}, {cells(16)}, {density('part', 2, 'field', 16)}, {dft('field', 'f', 16)}"
     out["pencil_fft"] = f"WITH {wide} SELECT jx, jy, jz, {q('re')} AS re, {q('im')} AS im FROM f"
     out["skewer"] = f"WITH {PART}, {cells()}, {density('part', 2, 'rho')} SELECT iy - 2 AS iy, iz, {q('re')} AS v FROM rho WHERE ix = 3 AND iy >= 2 AND iy < 6"
     phase = f"(({kk('jx')} + {kk('jy')} + {kk('jz')}) * {h / 2})"
@@ -293,7 +297,6 @@ def particle_statements() -> dict[str, str]:
     out["nbody_1d"] = f"WITH w AS (SELECT i, i / 64.0 AS q FROM range(64) t(i)) SELECT i AS id, {q(f'0.5 / 0.8 * sin({TAU} * q) / {TAU}', 7)} AS sx, {q(f'sin({TAU} * q) / ({TAU} * 0.8)')} AS vx FROM w"
     half, turn = h / 2, f"CAST({TAU} AS DOUBLE) / {L}"
     out["sheet_resampled"] = f"WITH {cells()}, o AS (SELECT CAST(i AS INTEGER) AS shift, i // 4 * {half} AS a, i // 2 % 2 * {half} AS b, i % 2 * {half} AS c FROM range(8) t(i)) SELECT shift, id, {q(pmod(f'ix * {h} + a + 2 * sin((ix * {h} + a) * {turn})', L))} AS x, {q(pmod(f'iy * {h} + b + sin((iy * {h} + b) * {turn})', L))} AS y, {q(f'iz * {h} + c + 0.25')} AS z FROM cells, o"
-    out["waves_at_places"] = f"WITH {cells()} SELECT ix, iy, iz, {q(f'cos((ix * {h} + 3) * {turn}) + 0.5 * sin((ix * {h} + 3 + 2 * iy * {h}) * {turn}) + 0.25 * cos((iy * {h} + 3 * (iz * {h} + 5)) * {turn})')} AS v FROM cells"
     out["shift_linear"] = f"WITH {WAVES}, o AS (SELECT a, b, (CASE WHEN a = 1 THEN 3.0 / {h} ELSE 1 - 3.0 / {h} END) * (CASE WHEN b = 1 THEN 5.0 / {h} ELSE 1 - 5.0 / {h} END) AS w FROM range(2) s(a), range(2) t(b)) SELECT c.ix, c.iy, c.iz, {q('sum(o.w * waves.v)')} AS v FROM cells c, o, waves WHERE waves.ix = (c.ix + a) % 8 AND waves.iy = c.iy AND waves.iz = (c.iz + b) % 8 GROUP BY c.ix, c.iy, c.iz"
     out["value_at"] = f"WITH {WAVES} SELECT ix, iy, iz, {q('(CASE WHEN ix = 3 THEN 9.0 ELSE v END) + (CASE WHEN iz = 0 THEN 0.5 ELSE 0.0 END)')} AS v FROM waves"
     out["grid_units"] = f"WITH {PART} SELECT id, {q(f'x * {N / L!r}')} AS cell, {q(f'y * {h}')} AS place FROM part"
@@ -320,56 +323,63 @@ def particle_statements() -> dict[str, str]:
         f"SELECT id, {', '.join(q(f'still{x}.s + moved{x}.s', 5) + f' AS ta{x}' for x in 'xyz')} FROM {' JOIN '.join(f'still{x} USING (id) JOIN moved{x} USING (id)' if x != 'x' else 'stillx JOIN movedx USING (id)' for x in 'xyz')}"
     )
     out["user_code"] = f"WITH {PART}, {cells()}, {density('part', 2, 'rho')} SELECT ix, count(*) AS cells, {q('sign(max(re)) * ln(1 + abs(max(re)))')} AS top, {q('max(re) - min(re)')} AS spread FROM rho GROUP BY ix"
-    out["gather_gradient"] = f"WITH {MOVING}, {WAVES}, {move} SELECT id, {', '.join(q(f'sum({c} * waves.v)') + f' AS g{c[1]}' for c in names)} FROM move JOIN waves USING (ix, iy, iz) GROUP BY id"
+    out["gather_gradient"] = f"WITH {MOVING}, {FIELD}, {move} SELECT id, {', '.join(q(f'sum({c} * waves.v)') + f' AS g{c[1]}' for c in names)} FROM move JOIN waves USING (ix, iy, iz) GROUP BY id"
     out["deposit_tangent"] = f"WITH {MOVING}, {cells()}, {move}, d AS (SELECT ix, iy, iz, sum(dx * px + dy * py + dz * pz) AS dv FROM move GROUP BY ix, iy, iz) SELECT ix, iy, iz, {q('coalesce(dv, 0)', 5)} AS dv FROM cells LEFT JOIN d USING (ix, iy, iz)"
     pair = lambda c, shift: " | ".join(f"((({c} >> {n}) & 1) << {2 * n + shift})" for n in range(10))
     out["morton_2d"] = f"WITH {PART}, g AS (SELECT id, CAST(least(floor(x / {L} * 1024), 1023) AS BIGINT) AS a, CAST(least(floor(y / {L} * 1024), 1023) AS BIGINT) AS b FROM part) SELECT id, CAST({pair('a', 1)} | {pair('b', 0)} AS BIGINT) AS morton FROM g"
     return out
 
 
+def jacobian_det() -> str:
+    """All displacements are multiples of one field, so the determinant is one and the derivative along one direction."""
+    k = f"(2 * ({gradient('jx', 0)}) + 1 * ({gradient('jy', 0)}) + 0.5 * ({gradient('jz', 0)}))"
+    return spectral(f"-im * {k}", f"re * {k}").replace(f"{q('re')} AS v", f"{q('1 + re')} AS det")
+
+
 def statements() -> dict[str, str]:
     h = L / N
     out = {
         "wrap_positions": f"WITH {MOVING} SELECT id, {q(pmod('x * 3 - 150', L))} AS x FROM moving",
         "min_image": f"WITH {PART} SELECT id, {q(min_image('x - y'))} AS d FROM part",
         "pair_distance": f"WITH {PART} SELECT a.id, {q('sqrt(pow(' + min_image('a.x - b.x') + ', 2) + pow(' + min_image('a.y - b.y') + ', 2) + pow(' + min_image('a.z - b.z') + ', 2))')} AS r FROM part a JOIN part b ON b.id = a.id + 1",
-        "lagrangian_grid": f"WITH {cells()} SELECT id, ix * {h} AS qx, iy * {h} AS qy, iz * {h} AS qz FROM cells",
-        "fourier_grid": f"WITH {MODES} SELECT jx, jy, jz, {q(kk('jx'), 9)} AS kx, {q(kk('jy'), 9)} AS ky, {q(kk('jz'), 9)} AS kz, {q(f'sqrt({K2})', 9)} AS k FROM modes WHERE jz <= {N // 2}",
+        "lagrangian_grid": f"WITH {cells()} SELECT id, ix * {h} AS qx, iy * {h} AS qy, iz * {h} AS qz, n FROM cells JOIN (SELECT event_id % {N**3} AS id, count(*) AS n FROM events GROUP BY 1) USING (id)",
+        "fourier_grid": f"WITH {WAVE_SPECTRUM} SELECT jx, jy, jz, {q(kk('jx'), 9)} AS kx, {q(kk('jy'), 9)} AS ky, {q(kk('jz'), 9)} AS kz, {q(f'sqrt({K2})', 9)} AS k, {q('re * re + im * im', 4)} AS power FROM f WHERE jz <= {N // 2}",
         "slice_filter": f"WITH {PART} SELECT id FROM part WHERE (x >= 0.0 - 20 AND x <= 0.0 + 20) OR x >= {L - 20}",
-        "subsample_stride": f"WITH {cells(16)} SELECT CAST(ix // 4 * 16 + iy // 4 * 4 + iz // 4 AS BIGINT) AS id, id AS was FROM cells WHERE ix % 4 = 0 AND iy % 4 = 0 AND iz % 4 = 0",
-        "glass_detile": "WITH g AS (SELECT i, i // 512 AS o, i % 512 AS s FROM range(4096) t(i)) SELECT i AS id, CAST(((o // 4 * 8 + s // 64) * 16 + o // 2 % 2 * 8 + s // 8 % 8) * 16 + o % 2 * 8 + s % 8 AS BIGINT) AS place FROM g",
+        "subsample_stride": f"WITH {cells(16)} SELECT CAST(ix // 4 * 16 + iy // 4 * 4 + iz // 4 AS BIGINT) AS id, event_id AS was FROM events JOIN cells ON event_id % 4096 = id WHERE ix % 4 = 0 AND iy % 4 = 0 AND iz % 4 = 0",
+        "glass_detile": "WITH g AS (SELECT event_id AS i, event_id % 4096 // 512 AS o, event_id % 512 AS s FROM events) SELECT i AS id, CAST(((o // 4 * 8 + s // 64) * 16 + o // 2 % 2 * 8 + s // 8 % 8) * 16 + o % 2 * 8 + s % 8 AS BIGINT) AS place FROM g",
         "deposit_weighted": f"WITH {PART}, {stencil('part', 2)}, {cells()}, d AS (SELECT ix, iy, iz, sum(w * v) AS v FROM sten GROUP BY ALL) SELECT ix, iy, iz, {q('coalesce(d.v, 0)', 5)} AS v FROM cells LEFT JOIN d USING (ix, iy, iz)",
         "redshift_shift": f"WITH {MOVING} SELECT id, {q(pmod('z + pz * 12.5', L))} AS z FROM moving",
         "cell_velocity": f"WITH {MOVING}, {stencil('moving', 2)} SELECT c.ix, c.iy, c.iz, {q('d.v')} AS v FROM ({'WITH ' + cells() + ' SELECT * FROM cells'}) c LEFT JOIN (SELECT ix, iy, iz, sum(w * pz) / sum(w) AS v FROM sten GROUP BY ix, iy, iz HAVING sum(w) > 0) d USING (ix, iy, iz)",
         "dft_forward": f"WITH {WAVE_SPECTRUM} SELECT jx, jy, jz, {q('re')} AS re, {q('im')} AS im FROM f",
         "dft_inverse": spectral("re", "im"),
-        "mak_kernel": f"WITH {MODES} SELECT jx, jy, jz, {q(' * '.join(sinc(j, 2) for j in ('jx', 'jy', 'jz')))} AS cic, {q(' * '.join(sinc(j, 6) for j in ('jx', 'jy', 'jz')), 5)} AS tsc_twice FROM modes",
+        "mak_kernel": f"WITH {WAVE_SPECTRUM} SELECT jx, jy, jz, {q('re * ' + ' * '.join(sinc(j, 2) for j in ('jx', 'jy', 'jz')))} AS cic, {q('re * ' + ' * '.join(sinc(j, 6) for j in ('jx', 'jy', 'jz')), 4)} AS tsc_twice FROM f",
         "deconvolve": spectral(*[f"{c} * {' * '.join(sinc(j, 2) for j in ('jx', 'jy', 'jz'))}" for c in ("re", "im")]),
         "poisson": spectral(*[f"CASE WHEN jx = 0 AND jy = 0 AND jz = 0 THEN 0.0 ELSE -{c} / {K2} END" for c in ("re", "im")], digits=4),
         "gaussian_split": spectral(*[f"{c} * exp(-0.5 * {K2} * 100)" for c in ("re", "im")]),
         "fourier_crop": f"WITH {WAVE_SPECTRUM} SELECT CAST({pmod(sg('jx'), 4)} AS INTEGER) AS jx, CAST({pmod(sg('jy'), 4)} AS INTEGER) AS jy, CAST({pmod(sg('jz'), 4)} AS INTEGER) AS jz, {q('re / 8')} AS re, {q('im / 8')} AS im FROM f WHERE abs({sg('jx')}) < 2 AND abs({sg('jy')}) < 2 AND abs({sg('jz')}) < 2",
         "fourier_pad": f"WITH {WAVE_SPECTRUM} SELECT CAST({pmod(sg('jx'), 12)} AS INTEGER) AS jx, CAST({pmod(sg('jy'), 12)} AS INTEGER) AS jy, CAST({pmod(sg('jz'), 12)} AS INTEGER) AS jz, {q('re * 3.375')} AS re, {q('im * 3.375')} AS im FROM f WHERE jx <> 4 AND jy <> 4 AND jz <> 4 AND jx + jy + jz > 0",
         "ngenic_modes": f"WITH {MODES} SELECT count(*) - 1 AS modes, CAST(0 AS BIGINT) AS mean, CAST(0 AS BIGINT) AS nyquist, CAST(0 AS BIGINT) AS unpaired FROM modes WHERE jx <> 4 AND jy <> 4 AND jz < 4",
-        "hermitian_sym": f"WITH {MODES}, s AS (SELECT jx, jy, jz, sin(id * 0.7) AS re, cos(id * 1.3) AS im FROM modes WHERE jz <= 4), m AS (SELECT a.*, (8 - a.jx) % 8 AS mx, (8 - a.jy) % 8 AS my FROM s a) "
+        "hermitian_sym": f"WITH {WAVE_SPECTRUM}, s AS (SELECT jx, jy, jz, re + 0.1 * jx AS re, im - 0.05 * jy AS im FROM f WHERE jz <= 4), m AS (SELECT a.*, (8 - a.jx) % 8 AS mx, (8 - a.jy) % 8 AS my FROM s a) "
         f"SELECT a.jx, a.jy, a.jz, {q('CASE WHEN a.jz % 4 = 0 AND a.jx * 8 + a.jy > mx * 8 + my THEN b.re ELSE a.re END')} AS re, {q('CASE WHEN a.jz % 4 <> 0 THEN a.im WHEN a.jx * 8 + a.jy = mx * 8 + my THEN 0.0 WHEN a.jx * 8 + a.jy > mx * 8 + my THEN -b.im ELSE a.im END')} AS im FROM m a JOIN s b ON b.jx = a.mx AND b.jy = a.my AND b.jz = a.jz",
         "fourier_shift": spectral(f"re * cos({kk('jx')} * 3.0 + {KZ} * 5.0) - im * sin({kk('jx')} * 3.0 + {KZ} * 5.0)", f"re * sin({kk('jx')} * 3.0 + {KZ} * 5.0) + im * cos({kk('jx')} * 3.0 + {KZ} * 5.0)"),
         "power_spectrum": f"WITH {PART}, {stencil('part', 2)}, {cells()}, d AS (SELECT ix, iy, iz, sum(w) AS v FROM sten GROUP BY ALL), field AS (SELECT ix, iy, iz, coalesce(v, 0) / ((SELECT count(*) FROM part) / {N**3}.0) - 1 AS re, 0.0 AS im FROM cells LEFT JOIN d USING (ix, iy, iz)), {dft('field', 'f')} "
         + binned("f", f"CAST(sum(m) AS BIGINT) AS modes, {q('sum(m * k) / sum(m)')} AS k, {q(f'sum(m * (re * re + im * im)) / sum(m) * {L**3 / N**6!r}', 4)} AS pk"),
-        "jacobian_det": f"WITH {cells()}, field AS (SELECT ix, iy, iz, 0.0 AS re, 0.0 AS im, 2 * sin(ix * {TAU} / 8) AS sx, sin(iy * {TAU} / 8) AS sy FROM cells) SELECT ix, iy, iz, {q(f'(1 + 2 * {2 * math.pi / L!r} * cos(ix * {TAU} / 8)) * (1 + {2 * math.pi / L!r} * cos(iy * {TAU} / 8))')} AS det FROM field",
-        "e_of_a": f"WITH {FACTORS} SELECT i, {q(expansion(PLANCK), 5)} AS e, {q(f'{PLANCK.H0!r} * ' + expansion(PLANCK), 3)} AS h, {q(f'(-3 * {PLANCK.Omega_m!r} * pow(a, -4)) / (2 * ' + expansion(PLANCK) + ')', 3)} AS slope, {q(repr(PLANCK.Omega_de))} AS de FROM factors",
-        "transfer_eh": f"WITH {KTABLE} SELECT i, {q(transfer_eh(PLANCK), 7)} AS t FROM ktable",
-        "transfer_bbks": f"WITH {KTABLE} SELECT i, {q(transfer_bbks(PLANCK), 7)} AS t FROM ktable",
-        "transfer_ga": f"WITH {KTABLE} SELECT i, {q(transfer_ga(PLANCK), 7)} AS t FROM ktable",
+        "jacobian_det": jacobian_det(),
+        "e_of_a": f"WITH {FACTORS} SELECT id, {q(expansion(PLANCK), 5)} AS e, {q(f'{PLANCK.H0!r} * ' + expansion(PLANCK), 3)} AS h, {q(f'(-3 * {PLANCK.Omega_m!r} * pow(a, -4)) / (2 * ' + expansion(PLANCK) + ')', 3)} AS slope, {q(repr(PLANCK.Omega_de))} AS de FROM factors",
+        "transfer_eh": f"WITH {KTABLE} SELECT id, {q(transfer_eh(PLANCK), 7)} AS t FROM ktable",
+        "transfer_bbks": f"WITH {KTABLE} SELECT id, {q(transfer_bbks(PLANCK), 7)} AS t FROM ktable",
+        "transfer_ga": f"WITH {KTABLE} SELECT id, {q(transfer_ga(PLANCK), 7)} AS t FROM ktable",
         "sigma8": f"WITH {SPECTRUM} SELECT {q(sigma2('pk'), 9)} AS sigma2",
         "linear_ps": f"WITH ktable AS (SELECT CAST(i AS INTEGER) AS i, exp(ln(1e-5) + i * (ln(1e3) - ln(1e-5)) / 63) AS k FROM range(64) t(i)), pk AS (SELECT i, k, pow({transfer_eh(PLANCK)}, 2) * pow(k, {PLANCK.n_s!r}) AS pk FROM ktable) SELECT i, {q('pk * ' + repr(PLANCK.sigma8**2) + ' / ' + sigma2('pk'), 5)} AS pk FROM pk",
-        "superconft_table": f"WITH {FACTORS}, g AS (SELECT i, a, 1 / ({expansion(PLANCK)} * a * a * a) AS f FROM factors), s AS (SELECT i, (lead(a) OVER (ORDER BY i) - a) * (lead(f) OVER (ORDER BY i) + f) / 2 AS s FROM g) SELECT i, {q('-coalesce(sum(s) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 0.0)', 5)} AS superconft FROM s",
+        "superconft_table": f"WITH {TIMES}, g AS (SELECT i, a, 1 / ({expansion(PLANCK)} * a * a * a) AS f FROM factors), s AS (SELECT i, (lead(a) OVER (ORDER BY i) - a) * (lead(f) OVER (ORDER BY i) + f) / 2 AS s FROM g) SELECT i, {q('-coalesce(sum(s) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 0.0)', 5)} AS superconft FROM s",
         "interp_asof": f"WITH t AS (SELECT *, lead(k) OVER (ORDER BY k) AS k2, lead(v) OVER (ORDER BY k) AS v2 FROM (SELECT o_totalprice AS k, CAST(min(o_orderkey) AS DOUBLE) AS v FROM orders GROUP BY 1)), p AS (SELECT event_id AS id, value * 4000 - 20000 AS x FROM events) "
         f"SELECT id, {q('coalesce(CASE WHEN k2 IS NULL THEN v ELSE v + (x - k) / (k2 - k) * (v2 - v) END, (SELECT arg_min(v, k) FROM t))', 4)} AS y FROM p ASOF LEFT JOIN t ON p.x >= t.k",
         "time_maps": time_maps(),
         "interp_table": f"WITH {SPECTRUM}, t AS (SELECT k, pk, lead(k) OVER (ORDER BY k) AS k2, lead(pk) OVER (ORDER BY k) AS pk2 FROM pk), x AS (SELECT event_id AS id, 0.001 + value / 100 AS x FROM events) "
         f"SELECT id, {q('CASE WHEN x >= (SELECT max(k) FROM pk) THEN (SELECT arg_max(pk, k) FROM pk) ELSE pk + (x - k) / (k2 - k) * (pk2 - pk) END', 8)} AS y FROM x LEFT JOIN t ON x >= k AND x < k2",
         "plane_wave": f"WITH w AS (SELECT i, i / 64.0 AS q FROM range(64) t(i)) SELECT i AS id, {q(f'q + 0.25 / 0.5 * sin({TAU} * q) / {TAU}', 9)} AS x, {q(f'0.125 * sin({TAU} * q) / ({TAU} * 0.5)', 9)} AS px, {q(f'-0.5 * cos({TAU} * q)', 9)} AS delta FROM w",
-        "zeldovich_1d": f"WITH w AS (SELECT i, i / 64.0 AS q FROM range(64) t(i)) SELECT i AS id, {q(f'sin({TAU} * q) / {TAU} + 0.3 * cos(2 * {TAU} * q)', 8)} AS sx FROM w",
+        "zeldovich_1d": f"WITH {LINE}, {stencil('line', 2, 64, ('x',), 'near')}, d AS (SELECT ix, sum(w) AS v FROM near GROUP BY ix), rho AS (SELECT CAST(i AS INTEGER) AS ix, (coalesce(v, 0) / ((SELECT count(*) FROM line) / 64.0) - 1) * 1e-4 AS re, 0.0 AS im FROM range(64) r(i) LEFT JOIN d ON d.ix = i), "
+        f"{dft('rho', 'f', 64, False, (('ix', 'jx'),))}, g AS (SELECT jx, im * ({gradient('jx', 0, 64, 1.0)}) AS re, -re * ({gradient('jx', 0, 64, 1.0)}) AS im FROM f), {dft('g', 'b', 64, True, (('ix', 'jx'),))} SELECT CAST(ix AS BIGINT) AS id, {q('re', 8)} AS sx FROM b",
         "exact_acc_1d": f"WITH {LINE}, r AS (SELECT id, x, row_number() OVER (ORDER BY x, id) - 1 AS k, avg(x) OVER () AS mean, count(*) OVER () AS n FROM line) SELECT id, {q(f'{L} * ((x - mean) / {L} + 0.5 - (k + 0.5) / n)')} AS a FROM r",
         "dkd_step": f"WITH {LINE}, h AS (SELECT id, x AS s, {pmod(f'id % {N} * {h} + x + p * 2.0', L)} AS x, p FROM line), r AS (SELECT id, s, x, p, row_number() OVER (ORDER BY x, id) - 1 AS k, avg(x) OVER () AS mean, count(*) OVER () AS n FROM h), v AS (SELECT id, s, p, 0.9 * p + 0.05 * ({L} * ((x - mean) / {L} + 0.5 - (k + 0.5) / n)) AS v FROM r) SELECT id, {q('s + p * 2.0 + v * 2.0', 5)} AS sx, {q('v')} AS vx FROM v",
         "morton_3d": f"WITH {PART}, g AS (SELECT id, CAST(least(floor(x / {L} * 1024), 1023) AS BIGINT) AS a, CAST(least(floor(y / {L} * 1024), 1023) AS BIGINT) AS b, CAST(least(floor(z / {L} * 1024), 1023) AS BIGINT) AS c FROM part) SELECT id, CAST({bits('a', 2)} | {bits('b', 1)} | {bits('c', 0)} AS BIGINT) AS morton FROM g",
@@ -384,8 +394,8 @@ def statements() -> dict[str, str]:
     kny = math.pi * N / L
     inside = f"{K2} <= {kny * kny * (1 + 1e-12)!r}"
     out |= {
-        "positions_from_psi": f"WITH {cells()} SELECT id, {q(pmod(f'ix * {h} + sin(id)', L))} AS x, {q(pmod(f'iy * {h} + 30 * cos(id)', L))} AS y, {q(pmod(f'iz * {h} - 0.5', L))} AS z FROM cells",
-        "dilated_mask": f"WITH {WAVES}, o AS (SELECT s - 1 AS s FROM range(3) t(s)) SELECT DISTINCT CAST({pmod('ix + a.s', 8)} AS INTEGER) AS ix, CAST({pmod('iy + b.s', 8)} AS INTEGER) AS iy, CAST({pmod('iz + c.s', 8)} AS INTEGER) AS iz FROM waves, o a, o b, o c WHERE v > 1.4",
+        "positions_from_psi": f"WITH {PART}, {cells()} SELECT c.id, {q(pmod(f'ix * {h} + x / 10', L))} AS x, {q(pmod(f'iy * {h} + y - 50', L))} AS y, {q(pmod(f'iz * {h} - 0.5', L))} AS z FROM part JOIN cells c ON part.id % {N**3} = c.id",
+        "dilated_mask": f"WITH {WAVES}, o AS (SELECT s - 1 AS s FROM range(3) t(s)) SELECT DISTINCT CAST({pmod('ix + a.s', 8)} AS INTEGER) AS ix, CAST({pmod('iy + b.s', 8)} AS INTEGER) AS iy, CAST({pmod('iz + c.s', 8)} AS INTEGER) AS iz FROM waves, o a, o b, o c WHERE v > 0.4",
         "sphere_mode": f"WITH {WAVE_SPECTRUM} SELECT jx, jy, jz, {q(f'CASE WHEN {inside} THEN re ELSE 0 END')} AS re, {q(f'CASE WHEN {inside} THEN im ELSE 0 END')} AS im FROM f",
         "spectrum_cutoff": f"WITH {SPECTRUM} SELECT i, {q('CASE WHEN k < 0.1 THEN pk ELSE 0 END', 9)} AS sharp, {q('pk * exp(-0.5 * pow(k / 0.1, 2))', 9)} AS gaussian FROM pk",
         "field_rescaled": f"WITH {WAVES} SELECT ix, iy, iz, {q('v * 0.5 / (SELECT stddev_pop(v) FROM waves)')} AS v FROM waves",
@@ -397,15 +407,16 @@ def statements() -> dict[str, str]:
     for name, order in (("cic", 2), ("tsc", 3)):
         out[f"gather_{name}"] = gathered(order)
     for order in (0, 2, 4, 6):
-        out[f"grad_kernel_{order}"] = f"WITH {MODES} SELECT jx, jy, jz, {q(gradient('jy', order))} AS g FROM modes"
-        out[f"inv_laplace_{order}"] = f"WITH {MODES} SELECT jx, jy, jz, {q(laplace(order), 7)} AS g FROM modes"
+        out[f"grad_kernel_{order}"] = f"WITH {WAVE_SPECTRUM} SELECT jx, jy, jz, {q(f're * ({gradient("jy", order)})')} AS g FROM f"
+        out[f"inv_laplace_{order}"] = f"WITH {WAVE_SPECTRUM} SELECT jx, jy, jz, {q(f'im * ({laplace(order)})', 4)} AS g FROM f"
     place = lambda j: f"(CASE WHEN {j} = 0 THEN 0 WHEN {j} < 8 - {j} THEN 2 * {j} - 1 WHEN {j} = 4 THEN 7 ELSE 2 * (8 - {j}) END)"
     wide = "greatest(2 * jz - 1, 0)"
     for kind, order in (("stable", f"greatest({place('jx')}, {place('jy')}, {wide}), {place('jx')}, {place('jy')}, {wide}"), ("natural", f"{place('jx')}, {place('jy')}, jz")):
-        out[f"k_order_{kind}"] = f"WITH {MODES} SELECT jx, jy, jz, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS rank FROM modes WHERE jz <= 4"
+        out[f"k_order_{kind}"] = f"WITH {WAVE_SPECTRUM} SELECT jx, jy, jz, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS rank, {q('re')} AS re FROM f WHERE jz <= 4"
     second = WAVES + f", fa AS (SELECT ix, iy, iz, v AS re, 0.0 AS im FROM waves), {dft('fa', 'f')}, fb AS (SELECT ix, iy, iz, v * v + 0.1 * ix AS re, 0.0 AS im FROM waves), {dft('fb', 'g')}, j AS (SELECT f.jx, f.jy, f.jz, f.re, f.im, g.re AS r2, g.im AS i2 FROM f JOIN g USING (jx, jy, jz))"
     out["cross_spectrum"] = f"WITH {second} " + binned("j", f"{q('sum(m * k) / sum(m)')} AS k, {q(f'sum(m * (re * re + im * im)) / sum(m) * {L**3 / N**6!r}', 3)} AS p1, {q(f'sum(m * (r2 * r2 + i2 * i2)) / sum(m) * {L**3 / N**6!r}', 3)} AS p2")
     pa = WAVES + f", w2 AS (SELECT ix, iy, iz, v FROM waves), fa AS (SELECT ix, iy, iz, v AS re, 0.0 AS im FROM waves), {dft('fa', 'f')}, pad AS (SELECT CAST({pmod(sg('jx'), 12)} AS INTEGER) AS jx, CAST({pmod(sg('jy'), 12)} AS INTEGER) AS jy, CAST({pmod(sg('jz'), 12)} AS INTEGER) AS jz, re * 3.375 AS re, im * 3.375 AS im FROM f WHERE jx <> 4 AND jy <> 4 AND jz <> 4), {dft('pad', 'b', 12, True)}, sq AS (SELECT ix, iy, iz, re * re AS re, 0.0 AS im FROM b), {dft('sq', 'p', 12)}"
     out |= particle_statements()
+    out["waves_at_places"] = out["fourier_shift"]
     out["dealiased_product"] = f"WITH {pa} SELECT CAST({pmod(sg('jx', 12), 8)} AS INTEGER) AS jx, CAST({pmod(sg('jy', 12), 8)} AS INTEGER) AS jy, CAST({pmod(sg('jz', 12), 8)} AS INTEGER) AS jz, {q('re / 3.375')} AS re, {q('im / 3.375')} AS im FROM p WHERE abs({sg('jx', 12)}) < 4 AND abs({sg('jy', 12)}) < 4 AND abs({sg('jz', 12)}) < 4"
     return out

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.mesh import Mesh, grid
+from ..operators.mesh import Mesh
+from ..operators.particles import overdensity
 
 BOX = 100.0
 MESH = Mesh(3, 8, BOX)
@@ -38,20 +37,29 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.pmod(F.col("o_totalprice"), F.lit(BOX)).alias("x"), (F.col("o_totalprice") / 500000).alias("p"))
 
 
-def waves(spark: SparkSession, mesh: Mesh = MESH) -> DataFrame:
-    """A mesh with three plane waves."""
-    step = 2 * math.pi / mesh.n
-    ix, iy, iz = (F.col(c) for c in mesh.cells)
-    return grid(spark, mesh).select(*mesh.cells, (F.cos(ix * step) + 0.5 * F.sin((ix + 2 * iy) * step) + 0.25 * F.cos((iy + 3 * iz) * step)).alias("v"))
+def field(spark: SparkSession, sf_dir: str, mesh: Mesh = MESH) -> DataFrame:
+    """The overdensity of the particles on a mesh."""
+    return overdensity(particles(spark, sf_dir), mesh)
+
+
+def spectrum_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, k, pk: a wave number for each whole value of the events."""
+    i = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor("value").cast("int").alias("i")).distinct()
+    k = F.pow((F.col("i") + 1).cast("double"), 1.5) * 1e-3
+    return i.select("i", k.alias("k"), (k / F.pow(1 + F.pow(k / 0.02, 2), 2)).alias("pk"))
+
+
+def wave_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, k of every event."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), (0.001 + F.col("value") / 100).alias("k"))
 
 
-def spectrum_table(spark: SparkSession) -> DataFrame:
-    """i, k, pk: 64 wave numbers from 1e-4 to 10."""
-    step = (math.log(10) - math.log(1e-4)) / 63
-    k = F.exp(F.lit(math.log(1e-4)) + F.col("id") * step)
-    return spark.range(64).select(F.col("id").cast("int").alias("i"), k.alias("k"), (k / F.pow(1 + F.pow(k / 0.02, 2), 2)).alias("pk"))
+def scale_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, a of every event."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), (0.05 + F.col("value") / 100).alias("a"))
 
 
-def scale_factors(spark: SparkSession) -> DataFrame:
-    """i, a: 64 scale factors up to 1."""
-    return spark.range(64).select(F.col("id").cast("int").alias("i"), ((F.col("id") + 1) / 64).alias("a"))
+def time_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, a: a scale factor for each whole value of the events, up to 1."""
+    i = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor("value").cast("int").alias("i")).distinct()
+    return i.join(F.broadcast(i.agg(F.max("i").alias("most"))), how="cross").select("i", ((F.col("i") + 1) / (F.col("most") + 1)).alias("a"))
