@@ -1,9 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join by bands of MinHash signatures and exact verification.
 
 A text is the set of its five-word shingles. Texts with equal sets are one class. Every class has one MinHash
-signature of several trees; sorted, a tree's signatures are a prefix trie, and classes that share a prefix are
-candidates. The matched prefix is shortened from the full depth until the expected recall at the threshold reaches
-the target. Prefixes of one member, and prefixes all of whose members share one in an earlier tree already, go.
+signature of several trees, and classes that share a tree's prefix are candidates. The prefix's length is the longest at
+which the expected recall at the threshold reaches the target: it follows from the settings and is the same for all texts,
+where a forest would shorten it text by text until it has enough neighbours, which a join at one threshold does not need.
+Prefixes of one member, and prefixes all of whose members share one in an earlier tree already, go.
 The rest are verified on the shingles in blocks of at most BLOCK by BLOCK members, a pair in the first tree it
 shares only, so a prefix of any size is many small tasks, and only sums and a spanning forest leave them.
 """
