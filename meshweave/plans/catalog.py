@@ -475,6 +475,12 @@ def pm_force(spark, d):
     return nbody.pm_force(fixtures.particles(spark, d), MESH, 3, deconvolve=True).select("id", *[q(c).alias(c) for c in ("ax", "ay", "az")])
 
 
+def mesh_64(spark, d):
+    """Forces on the cells of a mesh of 64 an axis: deposit by blocks, half spectra by planes and columns; sums over planes are compared."""
+    cells = nbody.force_field(fixtures.particles(spark, d), MESH.at(64), 2)
+    return cells.groupBy("ix").agg(F.count("*").alias("cells"), *[q(F.sum(F.col(f"a{x}") * F.col(f"a{x}")), 3).alias(f"a{x}") for x in "xyz"])
+
+
 def tree_pm(spark, d):
     """Mesh and tree; at this alpha no node within reach is far enough to serve as one mass, so the walk is the pair sum."""
     nbody_dir(spark)
@@ -609,7 +615,7 @@ def growth_table(spark, d):
 
 def queries() -> dict[str, Query]:
     named = [wrap_positions, min_image, pair_distance, lagrangian_grid, fourier_grid, slice_filter, subsample_stride, glass_detile, deposit_weighted, redshift_shift, cell_velocity, dft_forward, dft_inverse, mak_kernel, deconvolve, poisson, gaussian_split, fourier_crop, fourier_pad, dealiased_product, hermitian_sym, fourier_shift, power_spectrum, cross_spectrum, bispectrum, bispectrum_direct, jacobian_det, e_of_a, sigma8, linear_ps, superconft_table, interp_table, interp_asof, time_maps, plane_wave, zeldovich_1d, exact_acc_1d, dkd_step, morton_3d, multipoles, short_range_pairs, gadget_units, gadget_snapshot, snapshot_series, box_queries, positions_from_psi, dilated_mask, sphere_mode, spectrum_cutoff, field_rescaled, density_from_phi, field_derivative, ngenic_modes, shift_linear, value_at, grid_units, snapshot_stride, spectrum_deviation, spectrum_gradient, force_tangent, user_code, gather_gradient, deposit_tangent, morton_2d, nufft_type2, nufft_force_fine, growth_eds, lpt_exact, sheet_resampled, waves_at_places]
-    free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, tree_pm, short_range_force, tree_walk, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
+    free = [pencil_fft, skewer, interlaced, redshift_field, nufft_type1, nufft_force, pm_force, mesh_64, tree_pm, short_range_force, tree_walk, gaussian_field, fourier_noise, ngenic_noise, lpt_3, ppt_free, nbody_1d, nbody_3d, growth_table]
     out: dict[str, Query] = {f.__name__: f for f in named + free}
     out |= {f"deposit_{n}": deposit(k) for n, k in (("ngp", 1), ("cic", 2), ("tsc", 3), ("pcs", 4))}
     out |= {f"gather_{n}": gather(k) for n, k in (("cic", 2), ("tsc", 3))}

@@ -266,6 +266,12 @@ def particle_statements() -> dict[str, str]:
         k = f"({gradient('j' + x, 0)}) / nullif({K2}, 0) * {' * '.join(sinc(j, 6) for j in ('jx', 'jy', 'jz'))}"
         ctes += [f"g{x} AS (SELECT jx, jy, jz, coalesce(-im * {k}, 0.0) AS re, coalesce(re * {k}, 0.0) AS im FROM f)", dft(f"g{x}", f"back_{x}", inverse=True)]
     out["pm_force"] = f"WITH {PART}, {cells()}, {density('part', 3, 'rho')}, {dft('rho', 'f')}, {', '.join(ctes)}, {stencil('part', 3, out='near')} SELECT id, {', '.join(q(f'sum(w * back_{x}.re)') + f' AS a{x}' for x in axes)} FROM near JOIN back_x USING (ix, iy, iz) JOIN back_y USING (ix, iy, iz) JOIN back_z USING (ix, iy, iz) GROUP BY id"
+    k2 = f"({kk('jx', 64)} * {kk('jx', 64)} + {kk('jy', 64)} * {kk('jy', 64)} + {kk('jz', 64)} * {kk('jz', 64)})"
+    fine = f"{PART}, {cells(64)}, {density('part', 2, 'rho', 64)}, {dft('rho', 'f', 64)}"
+    for x in axes:
+        k = f"({gradient('j' + x, 0, 64)}) / nullif({k2}, 0)"
+        fine += f", f{x} AS (SELECT jx, jy, jz, coalesce(-im * {k}, 0.0) AS re, coalesce(re * {k}, 0.0) AS im FROM f), {dft(f'f{x}', f'on_{x}', 64, True)}"
+    out["mesh_64"] = f"WITH {fine} SELECT ix, count(*) AS cells, {', '.join(q(f'sum(on_{x}.re * on_{x}.re)', 3) + f' AS a{x}' for x in axes)} FROM on_x JOIN on_y USING (ix, iy, iz) JOIN on_z USING (ix, iy, iz) GROUP BY ix"
     for x in axes:
         k = f"({gradient('j' + x, 0)}) / nullif({K2}, 0) * {' * '.join(sinc(j, 4) for j in ('jx', 'jy', 'jz'))} * exp(-0.5 * {K2})"
         ctes += [f"l{x} AS (SELECT jx, jy, jz, coalesce(-im * {k}, 0.0) AS re, coalesce(re * {k}, 0.0) AS im FROM f)", dft(f"l{x}", f"far_{x}", inverse=True)]
