@@ -218,7 +218,9 @@ def sigma8(spark, d):
 
 
 def linear_ps(spark, d):
-    return C.linear_spectrum(spark, PLANCK, BOX, N, modes=64).select("i", q("pk", 5).alias("pk"))
+    """The linear spectrum at every event's wave number."""
+    table = C.linear_spectrum(spark, PLANCK, BOX, N, modes=64)
+    return asof.interpolate(table, fixtures.wave_numbers(spark, d), "k", "pk", at="k", into="pk").select("id", q("pk", 3).alias("pk"))
 
 
 def superconft_table(spark, d):
@@ -259,7 +261,7 @@ def plane_wave(spark, d):
     a = np.array([0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0])
     times = C.Times(C.EDS, {"a": a, "superconft": -2 * (a**-0.5 - 1), "Dplus": a, "Dplusda": np.ones(8)})
     w = initial.plane_wave(times, LINE, 0.25, a_cross=0.5)
-    g = M.lagrangian_grid(spark, LINE)
+    g = fixtures.line(spark, d).select("id", (F.col("x") / BOX).alias("qx"))
     return g.select("id", q(w["x"], 9).alias("x"), q(w["px"], 9).alias("px"), q(w["delta"], 9).alias("delta"))
 
 

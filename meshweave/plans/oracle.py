@@ -376,14 +376,15 @@ def statements() -> dict[str, str]:
         "transfer_bbks": f"WITH {KTABLE} SELECT id, {q(transfer_bbks(PLANCK), 7)} AS t FROM ktable",
         "transfer_ga": f"WITH {KTABLE} SELECT id, {q(transfer_ga(PLANCK), 7)} AS t FROM ktable",
         "sigma8": f"WITH {SPECTRUM} SELECT {q(sigma2('pk'), 9)} AS sigma2",
-        "linear_ps": f"WITH ktable AS (SELECT CAST(i AS INTEGER) AS i, exp(ln(1e-5) + i * (ln(1e3) - ln(1e-5)) / 63) AS k FROM range(64) t(i)), pk AS (SELECT i, k, pow({transfer_eh(PLANCK)}, 2) * pow(k, {PLANCK.n_s!r}) AS pk FROM ktable) SELECT i, {q('pk * ' + repr(PLANCK.sigma8**2) + ' / ' + sigma2('pk'), 5)} AS pk FROM pk",
+        "linear_ps": f"WITH ktable AS (SELECT CAST(i AS INTEGER) AS i, exp(ln(1e-5) + i * (ln(1e3) - ln(1e-5)) / 63) AS k FROM range(64) t(i)), pk AS (SELECT i, k, pow({transfer_eh(PLANCK)}, 2) * pow(k, {PLANCK.n_s!r}) AS pk FROM ktable), n AS (SELECT k, pk * {PLANCK.sigma8**2!r} / {sigma2('pk')} AS pk FROM pk), "
+        f"t AS (SELECT k, pk, lead(k) OVER (ORDER BY k) AS k2, lead(pk) OVER (ORDER BY k) AS pk2 FROM n), x AS (SELECT event_id AS id, 0.001 + value / 100 AS x FROM events) SELECT id, {q('pk + (x - k) / (k2 - k) * (pk2 - pk)', 3)} AS pk FROM x JOIN t ON x >= k AND x < k2",
         "superconft_table": f"WITH {TIMES}, g AS (SELECT i, a, 1 / ({expansion(PLANCK)} * a * a * a) AS f FROM factors), s AS (SELECT i, (lead(a) OVER (ORDER BY i) - a) * (lead(f) OVER (ORDER BY i) + f) / 2 AS s FROM g) SELECT i, {q('-coalesce(sum(s) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 0.0)', 5)} AS superconft FROM s",
         "interp_asof": f"WITH t AS (SELECT *, lead(k) OVER (ORDER BY k) AS k2, lead(v) OVER (ORDER BY k) AS v2 FROM (SELECT o_totalprice AS k, CAST(min(o_orderkey) AS DOUBLE) AS v FROM orders GROUP BY 1)), p AS (SELECT event_id AS id, value * 4000 - 20000 AS x FROM events) "
         f"SELECT id, {q('coalesce(CASE WHEN k2 IS NULL THEN v ELSE v + (x - k) / (k2 - k) * (v2 - v) END, (SELECT arg_min(v, k) FROM t))', 4)} AS y FROM p ASOF LEFT JOIN t ON p.x >= t.k",
         "time_maps": time_maps(),
         "interp_table": f"WITH {SPECTRUM}, t AS (SELECT k, pk, lead(k) OVER (ORDER BY k) AS k2, lead(pk) OVER (ORDER BY k) AS pk2 FROM pk), x AS (SELECT event_id AS id, 0.001 + value / 100 AS x FROM events) "
         f"SELECT id, {q('CASE WHEN x >= (SELECT max(k) FROM pk) THEN (SELECT arg_max(pk, k) FROM pk) ELSE pk + (x - k) / (k2 - k) * (pk2 - pk) END', 8)} AS y FROM x LEFT JOIN t ON x >= k AND x < k2",
-        "plane_wave": f"WITH w AS (SELECT i, i / 64.0 AS q FROM range(64) t(i)) SELECT i AS id, {q(f'q + 0.25 / 0.5 * sin({TAU} * q) / {TAU}', 9)} AS x, {q(f'0.125 * sin({TAU} * q) / ({TAU} * 0.5)', 9)} AS px, {q(f'-0.5 * cos({TAU} * q)', 9)} AS delta FROM w",
+        "plane_wave": f"WITH {LINE}, w AS (SELECT id AS i, x / {L} AS q FROM line) SELECT i AS id, {q(f'q + 0.25 / 0.5 * sin({TAU} * q) / {TAU}', 9)} AS x, {q(f'0.125 * sin({TAU} * q) / ({TAU} * 0.5)', 9)} AS px, {q(f'-0.5 * cos({TAU} * q)', 9)} AS delta FROM w",
         "zeldovich_1d": f"WITH {LINE}, {stencil('line', 2, 64, ('x',), 'near')}, d AS (SELECT ix, sum(w) AS v FROM near GROUP BY ix), rho AS (SELECT CAST(i AS INTEGER) AS ix, (coalesce(v, 0) / ((SELECT count(*) FROM line) / 64.0) - 1) * 1e-4 AS re, 0.0 AS im FROM range(64) r(i) LEFT JOIN d ON d.ix = i), "
         f"{dft('rho', 'f', 64, False, (('ix', 'jx'),))}, g AS (SELECT jx, im * ({gradient('jx', 0, 64, 1.0)}) AS re, -re * ({gradient('jx', 0, 64, 1.0)}) AS im FROM f), {dft('g', 'b', 64, True, (('ix', 'jx'),))} SELECT CAST(ix AS BIGINT) AS id, {q('re', 8)} AS sx FROM b",
         "exact_acc_1d": f"WITH {LINE}, r AS (SELECT id, x, row_number() OVER (ORDER BY x, id) - 1 AS k, avg(x) OVER () AS mean, count(*) OVER () AS n FROM line) SELECT id, {q(f'{L} * ((x - mean) / {L} + 0.5 - (k + 0.5) / n)')} AS a FROM r",
