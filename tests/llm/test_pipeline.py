@@ -80,5 +80,5 @@ def test_rows_of_one_id_are_judged_each(spark, tmp_path):
 
 
 def test_registration():
-    assert sorted(registered.queries()) == sorted(f"op{n}_{x}" for n, x in enumerate("packing topk urls decontam lines toxicity jaccard chat warc quality".split(), 1))
+    assert sorted(registered.queries()) == sorted(f"op{n}_{x}" for n, x in enumerate("packing topk urls decontam lines toxicity jaccard chat warc quality secrets repair trie".split(), 1))
     assert set(registered.oracle_sql()) <= set(registered.queries())
