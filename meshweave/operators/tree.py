@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mesh import Mesh, wrap
+from .mesh import Mesh, nearest_image, wrap
 from .octree import GROUP, Nodes, apart, grouped, within
 from .tree_keys import keyed, morton, unmorton
 
@@ -47,12 +47,33 @@ def points_of(column: pa.ListArray, row: int, places: list[str]) -> tuple[np.nda
     return struct.field("id").to_numpy()[order], keys[order], at[order]
 
 
-def neighbour_pairs(particles: DataFrame, mesh: Mesh, radius: float, most: int = 512, bits: int | None = None) -> DataFrame:
+def pairs_by_cells(particles: DataFrame, mesh: Mesh, radius: float, n: int) -> DataFrame:
+    """neighbour_pairs by joining each of n equal cells an axis, at least three and as wide as the radius, with those around it."""
+    here = particles.select("id", *[wrap(F.col(x), mesh.box).alias(x) for x in mesh.places])
+    cell = lambda x: F.least(F.floor(F.col(x) * (n / mesh.box)), F.lit(n - 1)).cast("int")
+    left = here.select(F.col("id").alias("a"), *[F.col(x).alias(f"a{x}") for x in mesh.places], *[cell(x).alias(f"c{x}") for x in mesh.places])
+    right = here.select(F.col("id").alias("b"), *[F.col(x).alias(f"b{x}") for x in mesh.places], *[cell(x).alias(f"c{x}") for x in mesh.places])
+    for x in mesh.places:
+        right = right.withColumn(f"c{x}", F.explode(F.array(*[F.pmod(F.col(f"c{x}") + s, F.lit(n)).cast("int") for s in (-1, 0, 1)])))
+    both = left.join(right, [f"c{x}" for x in mesh.places]).where(F.col("a") < F.col("b"))
+    parts = [nearest_image(F.col(f"a{x}") - F.col(f"b{x}"), mesh.box) for x in mesh.places]
+    r = F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+    return both.select("a", "b", r.alias("r"), *[p.alias(f"d{x}") for p, x in zip(parts, mesh.places)]).where(F.col("r") < radius)
+
+
+def neighbour_pairs(particles: DataFrame, mesh: Mesh, radius: float, most: int = 128, bits: int | None = None) -> DataFrame:
     """a, b (a < b), r and the shortest differences dx, dy, dz of all pairs nearer than a radius.
 
-    Particles meet in groups of at most so many, whatever their places; two groups within the radius are one task's
-    small matrix of distances.
+    Particles meet in groups of at most so many, whatever their places; of two groups within the radius, the particles
+    near the other's box are a small matrix of distances. Where equal cells as wide as the radius hold no more than a
+    group anyway (they are counted), these are joined instead.
     """
+    cells = int(mesh.box / radius)
+    if cells >= 3:
+        place = [F.floor(wrap(F.col(x), mesh.box) * (cells / mesh.box)).alias(f"c{x}") for x in mesh.places]
+        crowd = particles.groupBy(*place).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if crowd is not None and crowd <= most:
+            return pairs_by_cells(particles, mesh, radius, cells)
     places, bits = mesh.places, bits or (12 if mesh.dim == 3 else 16)
     groups, packed = grouped(particles, mesh, bits, most)
     packed = packed.drop("n").checkpoint()
@@ -61,11 +82,20 @@ def neighbour_pairs(particles: DataFrame, mesh: Mesh, radius: float, most: int =
     met = pairs.join(packed, GROUP).join(other, [f"o_{c}" for c in GROUP]).select("points", "others", (F.struct(*GROUP) == F.struct(*[f"o_{c}" for c in GROUP])).alias("same"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("r", pa.float64()), *[(f"d{x}", pa.float64()) for x in places]])
 
+    def beside(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+        low, high = others.min(axis=0), others.max(axis=0)
+        return (apart(x, (low + high) / 2, mesh.box) - (high - low) / 2 <= radius).all(axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 a_id, _, a_at = points_of(batch.column(0), row, places)
                 b_id, _, b_at = points_of(batch.column(1), row, places)
+                if not batch.column(2)[row].as_py():  # only those that are near the other group's box meet
+                    a_near, b_near = beside(a_at, b_at), beside(b_at, a_at)
+                    a_id, a_at, b_id, b_at = a_id[a_near], a_at[a_near], b_id[b_near], b_at[b_near]
+                    if not len(a_id) or not len(b_id):
+                        continue
                 d = np.mod(a_at[:, None, :] - b_at[None, :, :] + mesh.box / 2, mesh.box) - mesh.box / 2
                 r = np.sqrt((d * d).sum(axis=2))
                 near = r < radius
