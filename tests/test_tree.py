@@ -81,6 +81,20 @@ def test_pairs_on_clustered_points(spark, dim, radius):
         assert abs(row["r"] - r[i, j]) < 1e-12 and np.allclose([row[f"d{c}"] for c in "xyz"[:dim]], d[i, j])
 
 
+def test_join_of_cells_is_never_broadcast(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x, mesh = rng.uniform(0, BOX, (500, 3)), Mesh(3, 8, BOX)
+    frame_of(spark, x).write.parquet(f"file://{tmp_path}/points")
+    pairs = tree.neighbour_pairs(spark.read.parquet(f"file://{tmp_path}/points"), mesh, 4.0)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    d = np.mod(x[:, None] - x[None] + BOX / 2, BOX) - BOX / 2
+    r = np.sqrt((d**2).sum(axis=2))
+    a, b = np.nonzero((r < 4.0) & (np.arange(len(x))[:, None] < np.arange(len(x))[None]))
+    got = {(row["a"], row["b"]): [row[c] for c in ("r", "dx", "dy", "dz")] for row in pairs.collect()}
+    assert got.keys() == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) == pairs.count()
+    assert all(np.allclose(got[i, j], [r[i, j], *d[i, j]]) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_empty_single_and_null_places(spark):
     mesh = Mesh(3, 8, BOX)
     none = spark.createDataFrame([], "id long, x double, y double, z double")
