@@ -274,6 +274,18 @@ def test_very_long_lines_are_told_quickly():
     assert lines.alike(*(lines.spelt(" ".join(x)) for x in (words, other)), 0.8) and not lines.alike(*(lines.spelt(" ".join(x)) for x in (words, far)), 0.8)
 
 
+def test_lines_with_letters_changed_in_most_words_are_similar():
+    rng = random.Random(3)
+    for _ in range(100):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 11))) for _ in range(rng.randint(16, 40))]
+        # every second word has another letter, and one word has one more, so that the lines share half of their words
+        other = [w[:2] + ("q" if w[2] != "q" else "z") + w[3:] if n % 2 else w for n, w in enumerate(words)]
+        other[0] = other[0][0] + " " + other[0][1:]
+        x, y = " ".join(words), " ".join(other)
+        assert lines.distance(x, y) <= 0.2 * max(len(x), len(y))
+        assert lines.alike(lines.spelt(x), lines.spelt(y), 0.8)
+
+
 def test_distance_matches_the_table():
     def plain(a, b):
         row = list(range(len(b) + 1))
