@@ -137,6 +137,26 @@ def by_differences(at, source, mass, mesh, alpha, reach):
     return np.stack([np.bincount(i, weight * d[i, j, k], len(at)) for k in range(mesh.dim)], axis=1)
 
 
+def test_far_nodes_keep_the_force(spark):
+    """One mass a node misses a thousandth of the typical force where nodes hold many particles."""
+    rng, mesh = np.random.default_rng(6), Mesh(3, 8, BOX)
+    df = frame_of(spark, np.concatenate([rng.uniform(4, 19, (3500, 3)), 10 + rng.normal(0, 1.5, (500, 3))]))
+    exact, opened = (forces(tree.tree_force(df, mesh, 2.5, theta), 3) for theta in (0.0, 0.5))
+    off = np.abs(opened - exact).max() / np.sqrt((exact**2).sum(axis=1).mean())
+    assert 1e-9 < off < 3e-4
+
+
+def test_masses_of_a_node_keep_its_moments():
+    rng = np.random.default_rng(8)
+    at = np.concatenate([rng.uniform(3, 4, (100, 3)), rng.normal(3.5, 0.01, (50, 3))])
+    for n in (2, 4):
+        got = tree.gathered(at, n)
+        for power in np.ndindex(n, n, n):
+            assert np.isclose((got[:, 0] * (got[:, 1:] ** power).prod(axis=1)).sum(), (at**power).prod(axis=1).sum(), rtol=1e-12)
+    flat = tree.gathered(np.array([[1.0, 2.0], [1.0, 3.0], [1.0, 2.5]]), 3)
+    assert (flat[:, 1] == 1).all() and np.isclose(flat[:, 0].sum(), 3) and np.isclose((flat[:, 0] * flat[:, 2]).sum(), 7.5)
+
+
 def test_error_function():
     at = np.linspace(0, 8.5, 5001)
     assert np.abs(tree.erfc(at) - np.array([math.erfc(v) for v in at])).max() < 1e-12
