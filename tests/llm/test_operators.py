@@ -3,6 +3,7 @@
 import collections
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -253,6 +254,39 @@ def test_large_families_lose_no_link(spark, monkeypatch):
     assert ask(family=3) == want
 
 
+def test_lines_of_a_large_key_are_sent_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    common = " ".join(word() for _ in range(14))
+    own = [common + " " + " ".join(word() for _ in range(10)) for _ in range(600)]
+    texts = own + [own[k].replace(own[k][-9:-1], "changed", 1) for k in (5, 77, 400)]
+    sent, kind = [], type(spark.range(0))
+
+    def seen(self, *args, real=kind.mapInPandas, **names):
+        if {"key", "low", "high"} <= set(self.columns):
+            sent.append((self.count(), self.select("key", "lid").distinct().count()))
+        return real(self, *args, **names)
+
+    monkeypatch.setattr(kind, "mapInPandas", seen)
+    gone = {r.doc_id for r in lines.dedup_lines(docs(spark, enumerate(texts))).collect() if r.dropped}
+    assert gone == {600, 601, 602}
+    assert sent and sent[0][1] > 600 and sent[0][0] == sent[0][1]
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    was, held = files(), S.Held()
+    cut, n = held.cut(spark.range(1000).repartition(5, "id"), "rows")
+    late = time.time() + 20
+    while len(files() - was) > 3 and time.time() < late:  # three of the count of the table
+        time.sleep(0.2)
+    assert n == 1000 and len(files() - was) <= 3 and cut.count() == 1000
+    held.drop()
+
+
 def test_the_crowd_of_a_key_changes_no_link(spark):
     """Two near lines join alone, among unlike lines that share most of their words, and at any family."""
     rng = random.Random(23)
