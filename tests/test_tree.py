@@ -146,6 +146,19 @@ def test_far_nodes_keep_the_force(spark):
     assert 1e-9 < off < 3e-4
 
 
+def test_what_is_sent_grows_with_the_particles(spark, monkeypatch):
+    """Not with their square: the groups grow, and what a group is sent comes in rows of bounded size."""
+    rng, mesh, most = np.random.default_rng(12), Mesh(3, 8, BOX), []
+    monkeypatch.setattr(tree, "grouped", lambda particles, mesh, bits, n: most.append(n) or octree.grouped(particles, mesh, bits, 2048))
+    for count in (10**7, 10**8):
+        df = frame_of(spark, rng.uniform(0, BOX, (20, 3)))
+        monkeypatch.setattr(df, "count", lambda n=count: n, raising=False)
+        tree.tree_force(df, mesh, 1.0, 0.0)
+    assert most[1] >= 1.5 * most[0] >= 10**7 // 50
+    assert [x.stop - x.start for x in tree.parted(np.full(100, 32), 320)] == [10] * 10
+    assert sum(x.stop - x.start for x in tree.parted(np.array([5000, 1, 5000]), 10)) == 3
+
+
 def test_masses_of_a_node_keep_its_moments():
     rng = np.random.default_rng(8)
     at = np.concatenate([rng.uniform(3, 4, (100, 3)), rng.normal(3.5, 0.01, (50, 3))])
