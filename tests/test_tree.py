@@ -159,6 +159,19 @@ def test_what_is_sent_grows_with_the_particles(spark, monkeypatch):
     assert sum(x.stop - x.start for x in tree.parted(np.array([5000, 1, 5000]), 10)) == 3
 
 
+def test_groups_of_pairs_grow_with_the_particles(spark, monkeypatch):
+    """Small groups would be sent to hundreds of others; pairs are the same in groups larger than a run."""
+    rng, mesh, most = np.random.default_rng(13), Mesh(3, 8, BOX), []
+    x = rng.uniform(0, BOX, (300, 3))
+    df = frame_of(spark, x)
+    monkeypatch.setattr(df, "count", lambda: 10**8, raising=False)
+    monkeypatch.setattr(tree, "grouped", lambda particles, mesh, bits, n: most.append(n) or octree.grouped(particles, mesh, bits, 100))
+    got = [(r["a"], r["b"]) for r in tree.neighbour_pairs(df, mesh, 20.0, most=7).collect()]
+    d = np.mod(x[:, None] - x[None] + BOX / 2, BOX) - BOX / 2
+    a, b = np.nonzero((np.sqrt((d**2).sum(axis=2)) < 20.0) & (np.arange(300)[:, None] < np.arange(300)[None]))
+    assert most == [1 << 17] and len(got) == len(set(got)) and set(got) == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_masses_of_a_node_keep_its_moments():
     rng = np.random.default_rng(8)
     at = np.concatenate([rng.uniform(3, 4, (100, 3)), rng.normal(3.5, 0.01, (50, 3))])
